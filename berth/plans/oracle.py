@@ -1,0 +1,265 @@
+"""Oracle SQL (DuckDB) for each registered query.
+
+Each entry is an independent SQL formulation of the operator over the same
+adapter views (prepended as CTEs), written in the plainest relational form:
+EXISTS / NOT EXISTS, ROW_NUMBER, arg_min, FILTER aggregates.
+"""
+
+from __future__ import annotations
+
+from berth.operators import report as R
+from berth.sources import fixtures as fx
+
+AS_OF = f"DATE '{fx.AS_OF}'"
+
+ORACLE: dict[str, str] = {}
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) AS t({names})"
+
+
+# Reusable CTE fragments: name -> (sql, needed views, needed fragments)
+FRAG: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {}
+
+
+def frag(name: str, sql: str, views: tuple[str, ...] = (), deps: tuple[str, ...] = ()):
+    FRAG[name] = (sql, views, deps)
+
+
+def register(name: str, body: str, views: tuple[str, ...] = (), deps: tuple[str, ...] = ()):
+    order: list[str] = []
+    all_views: set[str] = set(views)
+
+    def visit(f: str):
+        if f in order:
+            return
+        for d in FRAG[f][2]:
+            visit(d)
+        all_views.update(FRAG[f][1])
+        order.append(f)
+
+    for d in deps:
+        visit(d)
+    prelude = fx.cte_prelude(sorted(all_views), fx.DUCKDB) if all_views else "WITH "
+    extra = ",\n".join(f"{f} AS ({FRAG[f][0].strip()})" for f in order)
+    if all_views and extra:
+        sql = prelude.rstrip("\n") + ",\n" + extra + "\n" + body
+    elif extra:
+        sql = "WITH " + extra + "\n" + body
+    else:
+        sql = prelude + body
+    ORACLE[name] = sql
+
+
+def urgency_sql(days: str) -> str:
+    return (f"CASE WHEN {days} < 0 THEN 'EXPIRED' WHEN {days} <= 30 THEN 'CRITICAL' "
+            f"WHEN {days} <= 90 THEN 'WARNING' ELSE 'OK' END")
+
+
+DAYS = f"date_diff('day', {AS_OF}, x.date_of_expiry)"
+
+# ---------------------------------------------------------------- fragments
+
+frag("cx", "SELECT * FROM fx_ext WHERE status = 'COMPLETE'", ("fx_ext",))
+frag("role_q", """
+SELECT session_id, CASE WHEN d AND e THEN 'BOTH' WHEN d THEN 'DECK' WHEN e THEN 'ENGINE' ELSE 'N/A' END AS detected_role,
+  n AS document_count
+FROM (SELECT session_id, COALESCE(bool_or(applicable_role IN ('DECK', 'BOTH')), false) AS d,
+        COALESCE(bool_or(applicable_role IN ('ENGINE', 'BOTH')), false) AS e, COUNT(*) AS n
+      FROM cx GROUP BY session_id) a
+""", (), ("cx",))
+frag("flag_id", """
+SELECT id, bool_or(severity = 'CRITICAL') AS c, bool_or(severity IN ('HIGH', 'MEDIUM')) AS w
+FROM fx_ext_flags GROUP BY id
+""", ("fx_ext_flags",))
+frag("health_q", f"""
+SELECT x.session_id,
+  CASE WHEN bool_or(COALESCE(fl.c, false) OR COALESCE(x.is_expired AND x.is_required, false)) THEN 'CRITICAL'
+       WHEN bool_or(COALESCE(fl.w, false) OR COALESCE(x.date_of_expiry > {AS_OF}
+                    AND x.date_of_expiry <= {AS_OF} + 90, false)) THEN 'WARN'
+       ELSE 'OK' END AS overall_health
+FROM cx x LEFT JOIN flag_id fl ON fl.id = x.id GROUP BY x.session_id
+""", (), ("cx", "flag_id"))
+frag("roles", """
+SELECT s.session_id, COALESCE(r.detected_role, 'N/A') AS detected_role
+FROM fx_sessions s LEFT JOIN role_q r ON r.session_id = s.session_id
+""", ("fx_sessions",), ("role_q",))
+_matrix = ([("DECK", i, c) for i, c in enumerate(R.DECK_CERTS)]
+           + [("ENGINE", i, c) for i, c in enumerate(R.ENGINE_CERTS)]
+           + [("BOTH", i, c) for i, c in enumerate(R.BOTH_CERTS)])
+frag("matrix", _values(_matrix, "role, ord, document_type"))
+frag("req", """
+SELECT r.session_id, m.ord, m.document_type FROM roles r
+JOIN matrix m ON m.role = CASE WHEN r.detected_role IN ('ENGINE', 'BOTH') THEN r.detected_role ELSE 'DECK' END
+""", (), ("roles", "matrix"))
+_ECDIS = "('ECDIS_GENERIC', 'ECDIS_TYPE')"
+_SAT = (f"EXISTS (SELECT 1 FROM cx x WHERE x.session_id = q.session_id AND (x.document_type = q.document_type "
+        f"OR (q.document_type IN {_ECDIS} AND x.document_type IN {_ECDIS})))")
+frag("present", f"SELECT q.* FROM req q WHERE {_SAT}", (), ("req", "cx"))
+frag("missing", f"""
+SELECT q.*, CASE WHEN q.document_type IN ('COC', 'SIRB', 'PASSPORT', 'PEME', 'DRUG_TEST') THEN 'CRITICAL'
+  ELSE 'HIGH' END AS impact FROM req q WHERE NOT {_SAT}""", (), ("req", "cx"))
+frag("additional", """
+SELECT x.id, x.session_id, x.document_type, x.document_name FROM cx x
+WHERE NOT EXISTS (SELECT 1 FROM req q WHERE q.session_id = x.session_id AND q.document_type = x.document_type)
+""", (), ("req", "cx"))
+frag("timeline", f"""
+SELECT x.id, x.session_id, x.seq, x.document_type, x.document_name, x.date_of_expiry,
+  {DAYS} AS days_until_expiry, {urgency_sql(DAYS)} AS urgency
+FROM cx x WHERE x.date_of_expiry IS NOT NULL""", (), ("cx",))
+frag("flagsum", """
+SELECT x.session_id, COUNT(f.pos) AS total, COUNT(*) FILTER (WHERE f.severity = 'CRITICAL') AS critical,
+  COUNT(*) FILTER (WHERE f.severity = 'HIGH') AS high, COUNT(*) FILTER (WHERE f.severity = 'MEDIUM') AS medium,
+  COUNT(*) FILTER (WHERE f.severity = 'LOW') AS low
+FROM cx x LEFT JOIN fx_ext_flags f ON f.id = x.id GROUP BY x.session_id""", ("fx_ext_flags",), ("cx",))
+frag("first_peme", """
+SELECT * FROM (SELECT x.*, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY seq) AS rn
+               FROM cx x WHERE document_type = 'PEME') WHERE rn = 1""", (), ("cx",))
+frag("first_drug", """
+SELECT * FROM (SELECT x.*, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY seq) AS rn
+               FROM cx x WHERE document_type = 'DRUG_TEST') WHERE rn = 1""", (), ("cx",))
+frag("medical", """
+SELECT s.session_id,
+  CASE WHEN p.session_id IS NULL THEN 'NOT_SUBMITTED' ELSE p.fitness_result END AS fitness_result,
+  CASE WHEN d.session_id IS NULL THEN 'NOT_SUBMITTED' ELSE d.drug_test_result END AS drug_test_result,
+  p.date_of_expiry AS peme_expiry, p.is_expired AS peme_expired
+FROM fx_sessions s LEFT JOIN first_peme p ON p.session_id = s.session_id
+LEFT JOIN first_drug d ON d.session_id = s.session_id""", ("fx_sessions",), ("first_peme", "first_drug"))
+frag("latest_val", """
+SELECT session_id, validation_id, overall_status, overall_score FROM (
+  SELECT v.*, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, validation_id DESC) AS rn
+  FROM fx_validations v) WHERE rn = 1""", ("fx_validations",))
+frag("blk", """
+SELECT session_id, 1 AS ord, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS sort_key,
+  CAST(NULL AS BIGINT) AS doc_id, 'Missing required document: ' || document_type AS text
+FROM missing WHERE impact = 'CRITICAL'
+UNION ALL
+SELECT session_id, 2, days_until_expiry, id,
+  'Expired: ' || COALESCE(document_type, 'null') || ' (' || COALESCE(document_name, 'null') || ')'
+FROM timeline WHERE urgency = 'EXPIRED'
+UNION ALL SELECT session_id, 3, 0, NULL, 'Seafarer declared medically UNFIT' FROM medical WHERE fitness_result = 'UNFIT'
+UNION ALL SELECT session_id, 4, 0, NULL, 'Positive drug test result' FROM medical WHERE drug_test_result = 'POSITIVE'
+UNION ALL SELECT session_id, 5, 0, NULL, 'PEME not submitted' FROM medical WHERE fitness_result = 'NOT_SUBMITTED'
+UNION ALL SELECT session_id, 6, 0, NULL, 'Drug test not submitted' FROM medical WHERE drug_test_result = 'NOT_SUBMITTED'
+UNION ALL SELECT session_id, 7, 0, NULL, CAST(critical AS VARCHAR) || ' CRITICAL flag(s) on uploaded documents'
+FROM flagsum WHERE critical > 0""", (), ("missing", "timeline", "medical", "flagsum"))
+frag("blk_c", """
+SELECT *, (text LIKE 'Missing%' OR text LIKE 'Expired%' OR contains(text, 'UNFIT')
+           OR contains(text, 'POSITIVE')) AS is_critical FROM blk""", (), ("blk",))
+frag("ready", """
+SELECT s.session_id,
+  CASE WHEN v.validation_id IS NOT NULL THEN v.overall_status WHEN COALESCE(b.n, 0) = 0 THEN 'LIKELY_APPROVED'
+       WHEN COALESCE(b.c, 0) > 0 THEN 'LIKELY_REJECTED' ELSE 'NEEDS_REVIEW' END AS readiness_status,
+  CASE WHEN v.validation_id IS NOT NULL THEN v.overall_score
+       WHEN COALESCE(b.n, 0) = 0 THEN 100 - 10 * COALESCE(f.high, 0) - 5 * COALESCE(f.medium, 0)
+       ELSE greatest(0, 100 - 20 * COALESCE(b.c, 0) - 10 * COALESCE(f.high, 0) - 5 * COALESCE(f.medium, 0))
+  END AS readiness_score,
+  COALESCE(b.n, 0) AS blocker_count, COALESCE(b.c, 0) AS critical_blocker_count,
+  v.validation_id IS NOT NULL AS validated
+FROM fx_sessions s
+LEFT JOIN (SELECT session_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE is_critical) AS c FROM blk_c GROUP BY session_id) b
+  ON b.session_id = s.session_id
+LEFT JOIN flagsum f ON f.session_id = s.session_id
+LEFT JOIN latest_val v ON v.session_id = s.session_id""", ("fx_sessions",), ("blk_c", "flagsum", "latest_val"))
+frag("profile", """
+SELECT session_id,
+  arg_min(holder_name, seq) FILTER (WHERE holder_name <> '') AS full_name,
+  arg_min(date_of_birth, seq) FILTER (WHERE date_of_birth <> '') AS date_of_birth,
+  arg_min(nationality, seq) FILTER (WHERE nationality <> '') AS nationality,
+  arg_min(passport_number, seq) FILTER (WHERE passport_number <> '') AS passport_number,
+  arg_min(sirb_number, seq) FILTER (WHERE sirb_number <> '') AS sirb_number,
+  arg_min(rank, seq) FILTER (WHERE rank <> '') AS rank
+FROM cx GROUP BY session_id""", (), ("cx",))
+
+# ---------------------------------------------------------------- sessions
+
+register("q1_document_listing", """
+SELECT x.id, x.session_id, x.file_name, x.document_type, x.document_name, x.applicable_role, x.category,
+  x.holder_name, x.confidence, x.is_expired, COALESCE(f.n, 0) AS flag_count, COALESCE(f.c, 0) AS critical_flag_count
+FROM cx x LEFT JOIN (SELECT id, COUNT(*) AS n, COUNT(*) FILTER (WHERE severity = 'CRITICAL') AS c
+                     FROM fx_ext_flags GROUP BY id) f ON f.id = x.id""", ("fx_ext_flags",), ("cx",))
+
+register("q2_pending_jobs", """
+SELECT job_id, session_id, file_name, status, epoch_ms(queued_at) AS queued_ms,
+  CASE WHEN status <> 'QUEUED' THEN epoch_ms(queued_at) + (job_id % 50) * 1000 END AS started_ms
+FROM fx_jobs_full WHERE status IN ('QUEUED', 'PROCESSING')""", ("fx_jobs_full",))
+
+register("q3_detected_role", "SELECT session_id, detected_role FROM role_q", (), ("role_q",))
+register("q4_overall_health", "SELECT session_id, overall_health FROM health_q", (), ("health_q",))
+register("q5_session_summary", """
+SELECT s.session_id, COALESCE(r.document_count, 0) AS document_count,
+  COALESCE(r.detected_role, 'N/A') AS detected_role, COALESCE(h.overall_health, 'OK') AS overall_health,
+  COALESCE(p.n, 0) AS pending_job_count
+FROM fx_sessions s LEFT JOIN role_q r ON r.session_id = s.session_id
+LEFT JOIN health_q h ON h.session_id = s.session_id
+LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM fx_jobs WHERE status IN ('QUEUED', 'PROCESSING')
+           GROUP BY session_id) p ON p.session_id = s.session_id""",
+         ("fx_sessions", "fx_jobs"), ("role_q", "health_q"))
+register("q6_expiring_documents", f"""
+SELECT x.id, x.session_id, x.file_name, x.document_type, x.document_name, x.date_of_expiry, x.is_expired,
+  {DAYS} AS days_until_expiry, {urgency_sql(DAYS)} AS urgency
+FROM cx x WHERE x.date_of_expiry IS NOT NULL AND x.date_of_expiry <= {AS_OF} + 90""", (), ("cx",))
+register("q7_sessions_with_expired", """
+SELECT DISTINCT session_id FROM fx_ext WHERE document_type = 'MARPOL' AND is_expired""", ("fx_ext",))
+frag("del_s", "SELECT DISTINCT session_id FROM fx_ext WHERE document_type = 'MARPOL' AND is_expired", ("fx_ext",))
+frag("gone_e", """
+SELECT id FROM fx_ext WHERE session_id IN (SELECT session_id FROM del_s)
+UNION SELECT id FROM fx_ext WHERE status = 'FAILED'""", ("fx_ext",), ("del_s",))
+register("q8_cascade_delete", """
+SELECT 'extractions' AS tbl, id AS row_id, session_id, CAST(NULL AS BIGINT) AS ref_id FROM fx_ext
+WHERE session_id NOT IN (SELECT session_id FROM del_s) AND status <> 'FAILED'
+UNION ALL
+SELECT 'jobs', job_id, session_id, CASE WHEN extraction_id IN (SELECT id FROM gone_e) THEN NULL ELSE extraction_id END
+FROM fx_jobs WHERE session_id NOT IN (SELECT session_id FROM del_s)
+UNION ALL
+SELECT 'validations', validation_id, session_id, NULL FROM fx_validations
+WHERE session_id NOT IN (SELECT session_id FROM del_s)
+UNION ALL
+SELECT 'sessions', session_id, session_id, NULL FROM fx_sessions WHERE session_id NOT IN (SELECT session_id FROM del_s)
+""", ("fx_ext", "fx_jobs", "fx_validations", "fx_sessions"), ("del_s", "gone_e"))
+
+# ------------------------------------------------------------------ report
+
+register("r1_holder_profile", "SELECT * FROM profile", (), ("profile",))
+register("r2_required_certs", "SELECT session_id, ord, document_type FROM req", (), ("req",))
+register("r3_cert_present", "SELECT session_id, ord, document_type FROM present", (), ("present",))
+register("r4_cert_missing", "SELECT session_id, ord, document_type, impact FROM missing", (), ("missing",))
+register("r5_cert_additional", "SELECT * FROM additional", (), ("additional",))
+register("r6_expiry_timeline", """
+SELECT id, session_id, document_type, document_name, date_of_expiry, days_until_expiry, urgency
+FROM timeline""", (), ("timeline",))
+register("r7_flag_summary", "SELECT * FROM flagsum", (), ("flagsum",))
+register("r8_medical_status", "SELECT * FROM medical", (), ("medical",))
+register("r9_latest_validation", "SELECT * FROM latest_val", (), ("latest_val",))
+register("r10_blockers", "SELECT session_id, ord, sort_key, doc_id, text, is_critical FROM blk_c", (), ("blk_c",))
+register("r11_readiness", "SELECT * FROM ready", (), ("ready",))
+register("r12_compliance_report", """
+SELECT s.session_id, COALESCE(r.document_count, 0) AS total, p.full_name, p.date_of_birth, p.nationality,
+  p.passport_number, p.sirb_number, p.rank, COALESCE(r.detected_role, 'N/A') AS detected_role,
+  (SELECT COUNT(*) FROM present q WHERE q.session_id = s.session_id) AS present_count,
+  (SELECT COUNT(*) FROM missing q WHERE q.session_id = s.session_id) AS missing_count,
+  (SELECT COUNT(*) FROM missing q WHERE q.session_id = s.session_id AND q.impact = 'CRITICAL') AS missing_critical_count,
+  (SELECT COUNT(*) FROM additional q WHERE q.session_id = s.session_id) AS additional_count,
+  (SELECT COUNT(*) FROM timeline q WHERE q.session_id = s.session_id) AS timeline_count,
+  (SELECT COUNT(*) FROM timeline q WHERE q.session_id = s.session_id AND q.days_until_expiry < 0) AS expired_count,
+  COALESCE(f.total, 0) AS flags_total, COALESCE(f.critical, 0) AS flags_critical, COALESCE(f.high, 0) AS flags_high,
+  COALESCE(f.medium, 0) AS flags_medium, COALESCE(f.low, 0) AS flags_low,
+  m.fitness_result, m.drug_test_result, m.peme_expiry, m.peme_expired,
+  v.validation_id AS latest_validation_id, rd.readiness_status, rd.readiness_score, rd.blocker_count, rd.validated
+FROM fx_sessions s
+LEFT JOIN role_q r ON r.session_id = s.session_id
+LEFT JOIN profile p ON p.session_id = s.session_id
+LEFT JOIN flagsum f ON f.session_id = s.session_id
+LEFT JOIN medical m ON m.session_id = s.session_id
+LEFT JOIN latest_val v ON v.session_id = s.session_id
+LEFT JOIN ready rd ON rd.session_id = s.session_id""", ("fx_sessions",),
+         ("role_q", "profile", "present", "missing", "additional", "timeline", "flagsum", "medical",
+          "latest_val", "ready"))

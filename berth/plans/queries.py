@@ -1,0 +1,186 @@
+"""Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
+
+Every query reads the driver tables through the adapter views and runs the
+operator over the whole tables. Checked outputs are flat (scalar) projections
+with the same column names as the oracle SQL in ``berth.plans.oracle``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from berth.operators import report as R
+from berth.operators import sessions as Q
+from berth.sources import fixtures as fx
+
+AS_OF = fx.AS_OF
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, QueryFn] = {}
+
+
+def query(name: str):
+    def deco(fn: QueryFn) -> QueryFn:
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def _long(c):
+    return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
+
+
+# ---------------------------------------------------------------- sessions
+
+@query("q1_document_listing")
+def q1(spark, sf):
+    return Q.document_listing(fx.extractions(spark, sf)).select(
+        "id", "session_id", "file_name", "document_type", "document_name", "applicable_role",
+        "category", "holder_name", "confidence", "is_expired",
+        _long("flag_count").alias("flag_count"),
+        _long("critical_flag_count").alias("critical_flag_count"))
+
+
+@query("q2_pending_jobs")
+def q2(spark, sf):
+    return Q.pending_jobs(fx.jobs(spark, sf)).select(
+        "job_id", "session_id", "file_name", "status",
+        F.unix_millis("queued_at").alias("queued_ms"),
+        F.unix_millis("started_at").alias("started_ms"))
+
+
+@query("q3_detected_role")
+def q3(spark, sf):
+    return Q.detected_role(fx.extractions(spark, sf))
+
+
+@query("q4_overall_health")
+def q4(spark, sf):
+    return Q.overall_health(fx.extractions(spark, sf), AS_OF)
+
+
+@query("q5_session_summary")
+def q5(spark, sf):
+    return Q.session_summary(fx.sessions(spark, sf), fx.extractions(spark, sf),
+                             fx.jobs(spark, sf), AS_OF).select(
+        "session_id", _long("document_count").alias("document_count"), "detected_role",
+        "overall_health", _long("pending_job_count").alias("pending_job_count"))
+
+
+@query("q6_expiring_documents")
+def q6(spark, sf):
+    return Q.expiring_documents(fx.extractions(spark, sf), AS_OF, 90).select(
+        "id", "session_id", "file_name", "document_type", "document_name", "date_of_expiry",
+        "is_expired", _long("days_until_expiry").alias("days_until_expiry"), "urgency")
+
+
+@query("q7_sessions_with_expired")
+def q7(spark, sf):
+    return Q.sessions_with_expired(fx.extractions(spark, sf), "MARPOL")
+
+
+@query("q8_cascade_delete")
+def q8(spark, sf):
+    ext = fx.extractions(spark, sf)
+    out = Q.cascade_delete(
+        fx.sessions(spark, sf), ext, fx.jobs(spark, sf), fx.validations(spark, sf),
+        session_ids=Q.sessions_with_expired(ext, "MARPOL"),
+        extraction_ids=ext.filter(F.col("status") == "FAILED").select("id"))
+    return (out["extractions"].select(F.lit("extractions").alias("tbl"), F.col("id").alias("row_id"),
+                                      "session_id", F.lit(None).cast("long").alias("ref_id"))
+            .unionByName(out["jobs"].select(F.lit("jobs").alias("tbl"), F.col("job_id").alias("row_id"),
+                                            "session_id", F.col("extraction_id").alias("ref_id")))
+            .unionByName(out["validations"].select(
+                F.lit("validations").alias("tbl"), F.col("validation_id").alias("row_id"),
+                "session_id", F.lit(None).cast("long").alias("ref_id")))
+            .unionByName(out["sessions"].select(
+                F.lit("sessions").alias("tbl"), F.col("session_id").alias("row_id"),
+                "session_id", F.lit(None).cast("long").alias("ref_id"))))
+
+
+# ------------------------------------------------------------------ report
+
+@query("r1_holder_profile")
+def r1(spark, sf):
+    return R.holder_profile(fx.extractions(spark, sf))
+
+
+def _roles(spark, sf):
+    """Detected role of every session (N/A when no COMPLETE document)."""
+    roles = Q.detected_role(fx.extractions(spark, sf))
+    return (fx.sessions(spark, sf).select("session_id").join(roles, "session_id", "left")
+            .select("session_id", F.coalesce("detected_role", F.lit("N/A")).alias("detected_role")))
+
+
+@query("r2_required_certs")
+def r2(spark, sf):
+    return R.required_certs(_roles(spark, sf)).select(
+        "session_id", _long("ord").alias("ord"), "document_type")
+
+
+@query("r3_cert_present")
+def r3(spark, sf):
+    req = R.required_certs(_roles(spark, sf))
+    return R.cert_present(req, fx.extractions(spark, sf)).select(
+        "session_id", _long("ord").alias("ord"), "document_type")
+
+
+@query("r4_cert_missing")
+def r4(spark, sf):
+    req = R.required_certs(_roles(spark, sf))
+    return R.cert_missing(req, fx.extractions(spark, sf)).select(
+        "session_id", _long("ord").alias("ord"), "document_type", "impact")
+
+
+@query("r5_cert_additional")
+def r5(spark, sf):
+    req = R.required_certs(_roles(spark, sf))
+    return R.cert_additional(req, fx.extractions(spark, sf))
+
+
+@query("r6_expiry_timeline")
+def r6(spark, sf):
+    return R.expiry_timeline(fx.extractions(spark, sf), AS_OF).select(
+        "id", "session_id", "document_type", "document_name", "date_of_expiry",
+        _long("days_until_expiry").alias("days_until_expiry"), "urgency")
+
+
+@query("r7_flag_summary")
+def r7(spark, sf):
+    return R.flag_summary(fx.extractions(spark, sf))
+
+
+@query("r8_medical_status")
+def r8(spark, sf):
+    return R.medical_status(fx.sessions(spark, sf), fx.extractions(spark, sf))
+
+
+@query("r9_latest_validation")
+def r9(spark, sf):
+    return R.latest_validation(fx.validations(spark, sf))
+
+
+def _base(spark, sf):
+    return R.report_base(fx.sessions(spark, sf), fx.extractions(spark, sf),
+                         fx.validations(spark, sf), AS_OF)
+
+
+@query("r10_blockers")
+def r10(spark, sf):
+    return R.blockers(_base(spark, sf), fx.extractions(spark, sf), AS_OF).select(
+        "session_id", _long("ord").alias("ord"), _long("sort_key").alias("sort_key"),
+        "doc_id", "text", "is_critical")
+
+
+@query("r11_readiness")
+def r11(spark, sf):
+    return R.readiness(_base(spark, sf))
+
+
+@query("r12_compliance_report")
+def r12(spark, sf):
+    return R.compliance_report(fx.sessions(spark, sf), fx.extractions(spark, sf),
+                               fx.validations(spark, sf), AS_OF)
