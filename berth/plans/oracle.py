@@ -263,3 +263,216 @@ LEFT JOIN latest_val v ON v.session_id = s.session_id
 LEFT JOIN ready rd ON rd.session_id = s.session_id""", ("fx_sessions",),
          ("role_q", "profile", "present", "missing", "additional", "timeline", "flagsum", "medical",
           "latest_val", "ready"))
+
+
+# ------------------------------------------------------------------- helpers
+
+FENCE = r"```(?:json)?\s*([\s\S]*?)```"
+
+
+def span_sql(t: str) -> str:
+    """DuckDB twin of functions.expr.json_span."""
+    body = f"(CASE WHEN regexp_matches({t}, '{FENCE}') THEN regexp_extract({t}, '{FENCE}', 1) ELSE {t} END)"
+    first = f"strpos({body}, '{{')"
+    rev = f"strpos(reverse({body}), '}}')"
+    last = f"(length({body}) - {rev} + 1)"
+    return (f"(CASE WHEN {first} > 0 AND {rev} > 0 AND {last} > {first} "
+            f"THEN substr({body}, {first}, {last} - {first} + 1) END)")
+
+
+def ok_sql(s: str) -> str:
+    w = f"('[' || {s} || ']')"
+    return (f"COALESCE(CASE WHEN {s} IS NOT NULL AND json_valid({w}) "
+            f"THEN json_array_length({w}) = 1 ELSE false END, false)")
+
+
+# -------------------------------------------------------------- validation
+
+register("v1_validation_eligibility", """
+SELECT s.session_id, COALESCE(r.document_count, 0) AS n_complete,
+  CASE WHEN COALESCE(r.document_count, 0) >= 2 THEN 'ELIGIBLE' ELSE 'INSUFFICIENT_DOCUMENTS' END AS eligibility
+FROM fx_sessions s LEFT JOIN role_q r ON r.session_id = s.session_id""", ("fx_sessions",), ("role_q",))
+register("v2_validation_requests", """
+SELECT session_id, COUNT(*) AS n_docs, arg_min(id, seq) AS first_id, arg_max(id, seq) AS last_id,
+  true AS prompt_ok
+FROM cx GROUP BY session_id HAVING COUNT(*) >= 2""", (), ("cx",))
+frag("va", f"""
+SELECT validation_id, session_id, stage, sp AS span, {ok_sql('sp')} AS ok
+FROM (SELECT *, {span_sql('raw_text')} AS sp FROM fx_validation_answers)""", ("fx_validation_answers",))
+register("v3_parse_validations", """
+SELECT validation_id, session_id, COALESCE(i_ok OR r_ok, false) AS ok, NOT COALESCE(i_ok, false) AS used_repair,
+  json_extract_string(c, '$.overallStatus') AS overall_status,
+  CAST(json_extract(c, '$.overallScore') AS BIGINT) AS overall_score
+FROM (SELECT *, CASE WHEN i_ok THEN i_span WHEN r_ok THEN r_span END AS c FROM (
+  SELECT validation_id, session_id,
+    max(span) FILTER (WHERE stage = 'INITIAL') AS i_span, bool_or(ok) FILTER (WHERE stage = 'INITIAL') AS i_ok,
+    max(span) FILTER (WHERE stage = 'REPAIR') AS r_span, bool_or(ok) FILTER (WHERE stage = 'REPAIR') AS r_ok
+  FROM va GROUP BY validation_id, session_id))""", (), ("va",))
+frag("v4c", """
+SELECT session_id, field,
+  CASE WHEN COUNT(v) < 2 THEN 'INSUFFICIENT_DATA' WHEN COUNT(DISTINCT v) = 1 THEN 'CONSISTENT'
+       ELSE 'INCONSISTENT' END AS status,
+  COUNT(v) AS n_values, COALESCE(string_agg(DISTINCT v, '|' ORDER BY v), '') AS values_joined
+FROM (SELECT session_id, field, CASE WHEN upper(trim(raw)) <> '' THEN upper(trim(raw)) END AS v FROM (
+  SELECT session_id, 'fullName' AS field, holder_name AS raw FROM cx
+  UNION ALL SELECT session_id, 'dateOfBirth', date_of_birth FROM cx
+  UNION ALL SELECT session_id, 'nationality', nationality FROM cx
+  UNION ALL SELECT session_id, 'passportNumber', passport_number FROM cx
+  UNION ALL SELECT session_id, 'sirbNumber', sirb_number FROM cx))
+GROUP BY session_id, field""", (), ("cx",))
+register("v4_consistency_checks", "SELECT * FROM v4c", (), ("v4c",))
+register("v5_rule_missing", """
+SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS ord, document_type,
+  true AS is_required, impact FROM missing""", (), ("missing",))
+register("v6_rule_expiring", f"""
+SELECT x.id, x.session_id, x.document_type, x.date_of_expiry, {DAYS} AS days_until_expiry,
+  {urgency_sql(DAYS)} AS urgency
+FROM cx x WHERE x.date_of_expiry IS NOT NULL AND x.date_of_expiry <= {AS_OF} + 90""", (), ("cx",))
+_PDAYS = f"date_diff('day', {AS_OF}, p.date_of_expiry)"
+register("v7_medical_flags", f"""
+SELECT s.session_id, t.type,
+  CASE t.type
+    WHEN 'FITNESS' THEN CASE WHEN p.session_id IS NULL THEN 'MISSING' WHEN p.fitness_result = 'UNFIT' THEN 'FAIL'
+                             WHEN p.fitness_result = 'FIT' THEN 'PASS' ELSE 'WARNING' END
+    WHEN 'DRUG_TEST' THEN CASE WHEN d.session_id IS NULL THEN 'MISSING' WHEN d.drug_test_result = 'POSITIVE' THEN 'FAIL'
+                               WHEN d.drug_test_result = 'NEGATIVE' THEN 'PASS' ELSE 'WARNING' END
+    WHEN 'RESTRICTION' THEN CASE WHEN p.session_id IS NULL THEN 'MISSING'
+                                 WHEN COALESCE(trim(p.medical_restrictions) <> '', false) THEN 'WARNING' ELSE 'PASS' END
+    ELSE CASE WHEN p.session_id IS NULL THEN 'MISSING' WHEN {_PDAYS} < 0 THEN 'FAIL'
+              WHEN {_PDAYS} <= 90 THEN 'WARNING' ELSE 'PASS' END
+  END AS status
+FROM fx_sessions s LEFT JOIN first_peme p ON p.session_id = s.session_id
+LEFT JOIN first_drug d ON d.session_id = s.session_id
+CROSS JOIN (SELECT * FROM (VALUES ('FITNESS'), ('DRUG_TEST'), ('RESTRICTION'), ('EXPIRY')) AS v(type)) t""",
+         ("fx_sessions",), ("first_peme", "first_drug"))
+register("v8_rule_score", f"""
+SELECT session_id, rule_score,
+  CASE WHEN rule_score < 45 OR critical_blocker THEN 'REJECTED' WHEN rule_score >= 75 THEN 'APPROVED'
+       ELSE 'CONDITIONAL' END AS rule_status, critical_blocker, mismatches
+FROM (
+  SELECT f.session_id,
+    CASE WHEN COALESCE(m.fitness_result = 'UNFIT' OR m.drug_test_result = 'POSITIVE', false) THEN 0
+         ELSE least(100, greatest(0, 100 - 10 * COALESCE(mc.miss, 0) - 18 * f.er - 4 * f.ex - 15 * fl.critical
+                                  - 7 * fl.high - 3 * fl.medium - 10 * COALESCE(cs.mm, 0))) END AS rule_score,
+    (COALESCE(mc.miss_crit, false) OR f.ec > 0
+     OR COALESCE(m.fitness_result = 'UNFIT' OR m.drug_test_result = 'POSITIVE', false)
+     OR (COALESCE(cs.nb, false) AND COALESCE(cs.db, false))) AS critical_blocker,
+    COALESCE(cs.mm, 0) AS mismatches
+  FROM (SELECT session_id, COUNT(*) AS n,
+          COUNT(*) FILTER (WHERE d < 0 AND COALESCE(is_required, false)) AS er,
+          COUNT(*) FILTER (WHERE d >= 0 AND d <= 90) AS ex,
+          COUNT(*) FILTER (WHERE d < 0 AND document_type IN ('COC', 'SIRB', 'PASSPORT', 'PEME', 'DRUG_TEST')) AS ec
+        FROM (SELECT x.*, {DAYS} AS d FROM cx x) GROUP BY session_id) f
+  JOIN flagsum fl ON fl.session_id = f.session_id
+  JOIN medical m ON m.session_id = f.session_id
+  LEFT JOIN (SELECT session_id, COUNT(*) AS miss, bool_or(document_type IN ('COC', 'SIRB', 'PASSPORT')) AS miss_crit
+             FROM missing GROUP BY session_id) mc ON mc.session_id = f.session_id
+  LEFT JOIN (SELECT session_id, COUNT(*) FILTER (WHERE status = 'INCONSISTENT') AS mm,
+               bool_or(field = 'fullName' AND status = 'INCONSISTENT') AS nb,
+               bool_or(field = 'dateOfBirth' AND status = 'INCONSISTENT') AS db
+             FROM v4c GROUP BY session_id) cs ON cs.session_id = f.session_id
+  WHERE f.n >= 2)""", (), ("cx", "flagsum", "medical", "missing", "v4c"))
+
+# -------------------------------------------------------------------- jobs
+
+_TS = "TIMESTAMP '2024-06-30 00:00:00'"
+frag("qpos", """
+SELECT job_id, COUNT(*) OVER (ORDER BY queued_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS queue_position
+FROM fx_jobs WHERE status = 'QUEUED'""", ("fx_jobs",))
+register("j2_queue_positions", "SELECT * FROM qpos", (), ("qpos",))
+register("j1_job_status", f"""
+SELECT j.job_id, j.session_id, j.view_status,
+  CASE WHEN j.view_status = 'QUEUED' THEN p.queue_position END AS queue_position,
+  CASE WHEN j.view_status = 'PROCESSING' THEN greatest(0, 15000 - (epoch_ms({_TS})
+       - (epoch_ms(j.queued_at) + (j.job_id % 50) * 1000))) END AS estimated_complete_ms,
+  CASE WHEN j.view_status = 'COMPLETE' THEN j.extraction_id END AS extraction_id,
+  CASE WHEN j.view_status = 'COMPLETE' THEN x.document_type END AS result_document_type,
+  CASE WHEN j.view_status = 'FAILED' THEN j.error_code END AS error_code,
+  CASE WHEN j.view_status = 'FAILED' THEN j.retryable END AS retryable
+FROM (SELECT *, CASE WHEN status = 'QUEUED' THEN 'QUEUED' WHEN status = 'PROCESSING' THEN 'PROCESSING'
+                     WHEN status = 'COMPLETE' AND extraction_id IS NOT NULL THEN 'COMPLETE' ELSE 'FAILED' END AS view_status
+      FROM fx_jobs_full) j
+LEFT JOIN qpos p ON p.job_id = j.job_id LEFT JOIN fx_ext x ON x.id = j.extraction_id""",
+         ("fx_jobs_full", "fx_ext"), ("qpos",))
+register("j3_retry_eligibility", """
+SELECT r.request_job_id,
+  CASE WHEN j.job_id IS NULL THEN 'JOB_NOT_FOUND' WHEN j.status <> 'FAILED' THEN 'JOB_NOT_FAILED'
+       WHEN NOT j.retryable THEN 'JOB_NOT_RETRYABLE' WHEN NOT j.has_file_data THEN 'JOB_DATA_UNAVAILABLE'
+       ELSE 'OK' END AS code
+FROM fx_retry_requests r LEFT JOIN fx_jobs j ON j.job_id = r.request_job_id""", ("fx_retry_requests", "fx_jobs"))
+register("j4_requeue", f"""
+SELECT job_id, CASE WHEN e THEN 'QUEUED' ELSE status END AS status,
+  CASE WHEN e THEN NULL ELSE extraction_id END AS extraction_id,
+  CASE WHEN e THEN NULL ELSE error_code END AS error_code,
+  CASE WHEN e THEN 0 ELSE retry_count END AS retry_count,
+  CASE WHEN e THEN epoch_ms({_TS}) ELSE epoch_ms(queued_at) END AS queued_ms, retryable
+FROM (SELECT *, (status = 'FAILED' AND retryable AND has_file_data) AS e FROM fx_jobs_full)""", ("fx_jobs_full",))
+register("j5_job_state", """
+SELECT job_id,
+  CASE WHEN lk IN ('queued', 'requeued') THEN 'QUEUED' WHEN lk IN ('started', 'attempt_failed') THEN 'PROCESSING'
+       WHEN lk = 'completed' THEN 'COMPLETE' WHEN lk = 'final_failed' THEN 'FAILED' END AS status,
+  CASE WHEN st_seq > COALESCE(rs, -1) THEN st_at END AS started_ms,
+  CASE WHEN t_seq > COALESCE(rs, -1) THEN t_at END AS completed_ms,
+  CASE WHEN t_seq > COALESCE(rs, -1) THEN t_eid END AS extraction_id,
+  CASE WHEN t_seq > COALESCE(rs, -1) AND t_kind = 'final_failed' THEN
+    CASE WHEN contains(t_msg, 'timed out') THEN 'LLM_TIMEOUT' ELSE 'LLM_ERROR' END END AS error_code,
+  CASE WHEN t_seq > COALESCE(rs, -1) AND t_kind = 'final_failed' THEN t_msg END AS error_message,
+  COALESCE(anyff, false) AS retryable,
+  CASE WHEN t_seq > COALESCE(rs, -1) AND t_kind = 'final_failed' THEN t_attempt ELSE 0 END AS retry_count,
+  NOT COALESCE(t_seq > COALESCE(rs, -1) AND t_kind = 'completed', false) AS has_file_data
+FROM (SELECT job_id, arg_max(kind, seq) AS lk,
+        max(seq) FILTER (WHERE kind IN ('queued', 'requeued')) AS rs,
+        max(seq) FILTER (WHERE kind = 'started') AS st_seq,
+        arg_max_null(at_ms, seq) FILTER (WHERE kind = 'started') AS st_at,
+        max(seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_seq,
+        arg_max_null(kind, seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_kind,
+        arg_max_null(at_ms, seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_at,
+        arg_max_null(extraction_id, seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_eid,
+        arg_max_null(error_message, seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_msg,
+        arg_max_null(attempt, seq) FILTER (WHERE kind IN ('completed', 'final_failed')) AS t_attempt,
+        bool_or(kind = 'final_failed') AS anyff
+      FROM fx_job_events GROUP BY job_id)""", ("fx_job_events",))
+register("j6_retry_schedule", """
+SELECT job_id, attempt, CASE WHEN attempt < 3 THEN CAST(5000 * pow(2, attempt - 1) AS BIGINT) END AS next_delay_ms
+FROM fx_job_events WHERE kind IN ('attempt_failed', 'final_failed')""", ("fx_job_events",))
+
+
+def _j7_sql(secret: str) -> str:
+    from berth.functions.expr import hmac_pads_hex
+    ipad, opad = hmac_pads_hex(secret)
+    ts = "strftime(queued_at + (job_id % 50 + 12) * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S.%gZ')"
+    head = ("'\"jobId\":\"' || CAST(job_id AS VARCHAR) || '\",\"sessionId\":\"' || CAST(session_id AS VARCHAR) "
+            "|| '\",\"extractionId\":' || COALESCE('\"' || CAST(extraction_id AS VARCHAR) || '\"', 'null')")
+    body = ("CASE WHEN status = 'COMPLETE' THEN '{\"event\":\"JOB_COMPLETED\",' || " + head
+            + " || ',\"status\":\"COMPLETE\",\"timestamp\":\"' || " + ts + " || '\"}' "
+            "ELSE '{\"event\":\"JOB_FAILED\",' || " + head
+            + " || ',\"status\":\"FAILED\",\"error\":{\"code\":' || COALESCE(to_json(error_code), 'null') "
+            "|| ',\"message\":' || COALESCE(to_json(error_message), 'null') || '},\"timestamp\":\"' || "
+            + ts + " || '\"}' END")
+    return f"""
+SELECT job_id, event, body,
+  'sha256=' || sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode(body)))) AS signature
+FROM (SELECT job_id, CASE WHEN status = 'COMPLETE' THEN 'JOB_COMPLETED' ELSE 'JOB_FAILED' END AS event,
+        CAST({body} AS VARCHAR) AS body
+      FROM fx_jobs_full WHERE status IN ('COMPLETE', 'FAILED'))"""
+
+
+register("j7_notifications", _j7_sql("whsec_test"), ("fx_jobs_full",))
+frag("ledger", """
+SELECT j.job_id, j.status, COALESCE(d.n, 0) AS webhook_attempts, d.last_error AS webhook_last_error,
+  d.delivered AS delivered_at_ms
+FROM fx_jobs j LEFT JOIN (
+  SELECT job_id, COUNT(*) AS n, arg_max_null(error, attempt_no) AS last_error,
+    arg_max(at_ms, attempt_no) FILTER (WHERE ok) AS delivered
+  FROM fx_deliveries GROUP BY job_id) d ON d.job_id = j.job_id
+WHERE j.webhook_url IS NOT NULL""", ("fx_jobs", "fx_deliveries"))
+register("j8_delivery_ledger", "SELECT * FROM ledger", (), ("ledger",))
+register("j9_undelivered", """
+SELECT job_id, status, webhook_attempts FROM ledger
+WHERE status IN ('COMPLETE', 'FAILED') AND delivered_at_ms IS NULL""", (), ("ledger",))
+register("j10_retain", """
+SELECT job_id, status FROM (
+  SELECT job_id, status, ROW_NUMBER() OVER (PARTITION BY status
+    ORDER BY epoch_ms(queued_at) + (job_id % 50 + 12) * 1000 DESC, job_id DESC) AS rn
+  FROM fx_jobs WHERE status IN ('COMPLETE', 'FAILED'))
+WHERE rn <= CASE WHEN status = 'COMPLETE' THEN 1000 ELSE 5000 END""", ("fx_jobs",))

@@ -184,3 +184,122 @@ def r11(spark, sf):
 def r12(spark, sf):
     return R.compliance_report(fx.sessions(spark, sf), fx.extractions(spark, sf),
                                fx.validations(spark, sf), AS_OF)
+
+
+# -------------------------------------------------------------- validation
+
+from berth.operators import jobs as J  # noqa: E402
+from berth.operators import validation as V  # noqa: E402
+
+AS_OF_TS = f"{AS_OF} 00:00:00"
+WEBHOOK_SECRET = "whsec_test"
+
+
+@query("v1_validation_eligibility")
+def v1(spark, sf):
+    return V.validation_eligibility(fx.sessions(spark, sf), fx.extractions(spark, sf))
+
+
+@query("v2_validation_requests")
+def v2(spark, sf):
+    from berth.functions import prompts
+    tail = f"Today's date is {AS_OF}{prompts.DATE_TAIL}"
+    r = V.validation_requests(fx.extractions(spark, sf), AS_OF)
+    return r.select("session_id", "n_docs", "first_id", "last_id",
+                    (F.col("prompt").startswith(prompts.VALIDATION_PROMPT)
+                     & F.col("prompt").endswith(tail)).alias("prompt_ok"))
+
+
+@query("v3_parse_validations")
+def v3(spark, sf):
+    return V.parse_validations(fx.view(spark, sf, "fx_validation_answers"))
+
+
+@query("v4_consistency_checks")
+def v4(spark, sf):
+    return V.consistency_checks(fx.extractions(spark, sf)).select(
+        "session_id", "field", "status", "n_values",
+        F.array_join("values", "|").alias("values_joined"))
+
+
+@query("v5_rule_missing")
+def v5(spark, sf):
+    return V.rule_missing(fx.sessions(spark, sf), fx.extractions(spark, sf)).select(
+        "session_id", _long("ord").alias("ord"), "document_type", "is_required", "impact")
+
+
+@query("v6_rule_expiring")
+def v6(spark, sf):
+    return V.rule_expiring(fx.extractions(spark, sf), AS_OF).select(
+        "id", "session_id", "document_type", "date_of_expiry",
+        _long("days_until_expiry").alias("days_until_expiry"), "urgency")
+
+
+@query("v7_medical_flags")
+def v7(spark, sf):
+    return V.medical_flags(fx.sessions(spark, sf), fx.extractions(spark, sf), AS_OF)
+
+
+@query("v8_rule_score")
+def v8(spark, sf):
+    return V.rule_score(fx.sessions(spark, sf), fx.extractions(spark, sf), AS_OF)
+
+
+# -------------------------------------------------------------------- jobs
+
+@query("j1_job_status")
+def j1(spark, sf):
+    return J.job_status(fx.jobs(spark, sf), fx.extractions(spark, sf), AS_OF_TS)
+
+
+@query("j2_queue_positions")
+def j2(spark, sf):
+    return J.queue_positions(fx.jobs(spark, sf))
+
+
+@query("j3_retry_eligibility")
+def j3(spark, sf):
+    return J.retry_eligibility(fx.view(spark, sf, "fx_retry_requests"), fx.jobs(spark, sf))
+
+
+@query("j4_requeue")
+def j4(spark, sf):
+    jobs = fx.jobs(spark, sf)
+    ok = J.retry_eligibility(fx.view(spark, sf, "fx_retry_requests"), jobs) \
+        .filter(F.col("code") == "OK")
+    return J.requeue(jobs, ok, AS_OF_TS).select(
+        "job_id", "status", "extraction_id", "error_code", _long("retry_count").alias("retry_count"),
+        F.unix_millis("queued_at").alias("queued_ms"), "retryable")
+
+
+@query("j5_job_state")
+def j5(spark, sf):
+    return J.job_state(fx.view(spark, sf, "fx_job_events"))
+
+
+@query("j6_retry_schedule")
+def j6(spark, sf):
+    ev = fx.view(spark, sf, "fx_job_events").filter(
+        F.col("kind").isin("attempt_failed", "final_failed"))
+    return J.retry_schedule(ev)
+
+
+@query("j7_notifications")
+def j7(spark, sf):
+    return J.notifications(fx.jobs(spark, sf), WEBHOOK_SECRET).select(
+        "job_id", "event", "body", "signature")
+
+
+@query("j8_delivery_ledger")
+def j8(spark, sf):
+    return J.delivery_ledger(fx.jobs(spark, sf), fx.deliveries(spark, sf))
+
+
+@query("j9_undelivered")
+def j9(spark, sf):
+    return J.undelivered(J.delivery_ledger(fx.jobs(spark, sf), fx.deliveries(spark, sf)))
+
+
+@query("j10_retain")
+def j10(spark, sf):
+    return J.retain(fx.jobs(spark, sf)).select("job_id", "status")

@@ -338,6 +338,63 @@ FROM documents
 """
 
 
+# Job event log: the worker's state transitions per final job status.
+FX_JOB_EVENT_KINDS = """
+SELECT * FROM (VALUES
+ ('QUEUED', 1, 'queued'), ('PROCESSING', 1, 'queued'), ('PROCESSING', 2, 'started'),
+ ('COMPLETE', 1, 'queued'), ('COMPLETE', 2, 'started'), ('COMPLETE', 3, 'completed'),
+ ('FAILED', 1, 'queued'), ('FAILED', 2, 'started'), ('FAILED', 3, 'attempt_failed'),
+ ('FAILED', 4, 'started'), ('FAILED', 5, 'attempt_failed'), ('FAILED', 6, 'started'),
+ ('FAILED', 7, 'final_failed')
+) AS t(status, seq, kind)
+"""
+
+FX_JOB_EVENTS = """
+SELECT j.job_id, k.seq, k.kind, j.job_id * 100 + k.seq AS at_ms,
+  CASE WHEN k.kind = 'completed' THEN j.extraction_id
+       WHEN k.kind = 'final_failed' THEN j.session_id * 1000 + 2 END AS extraction_id,
+  CASE WHEN k.kind IN ('attempt_failed', 'final_failed') THEN j.error_message END AS error_message,
+  CASE WHEN k.kind IN ('attempt_failed', 'final_failed') THEN CAST((k.seq - 1) / 2 AS BIGINT) END AS attempt
+FROM fx_jobs_full j JOIN fx_job_event_kinds k ON k.status = j.status
+"""
+
+# Retry requests: every job once, plus unknown ids for the failed ones.
+FX_RETRY_REQUESTS = """
+SELECT job_id AS request_job_id FROM fx_jobs
+UNION ALL SELECT -job_id FROM fx_jobs WHERE status = 'FAILED'
+"""
+
+
+def fx_upload_rows_sql(d: Dialect) -> str:
+    return f"""
+SELECT u.session_id, u.seq, u.fid, {d.sha256("'file-' || CAST(u.fid AS VARCHAR(20))")} AS file_hash,
+  'file-' || CAST(u.fid AS VARCHAR(20)) || '.pdf' AS file_name
+FROM fx_uploads u
+"""
+
+
+# Validation answers: INITIAL wrapped by validation_id % 4 (3 = broken, then a
+# REPAIR answer, itself broken when validation_id % 8 = 7).
+FX_VALIDATION_ANSWERS = """
+SELECT v.validation_id, v.session_id, 1 AS attempt_no, 'INITIAL' AS stage,
+  CASE v.validation_id % 4
+    WHEN 0 THEN a.js
+    WHEN 1 THEN '```json' || chr(10) || a.js || chr(10) || '```'
+    WHEN 2 THEN 'Review complete.' || chr(10) || a.js
+    ELSE '{"overallStatus": "' || v.overall_status || '", "overallScore": }' END AS raw_text
+FROM fx_validations v JOIN (
+  SELECT validation_id, '{"overallStatus":"' || overall_status || '","overallScore":' ||
+    CAST(overall_score AS VARCHAR(20)) || ',"summary":"Folder reviewed","recommendations":[]}' AS js
+  FROM fx_validations) a ON a.validation_id = v.validation_id
+UNION ALL
+SELECT v.validation_id, v.session_id, 2, 'REPAIR',
+  CASE WHEN v.validation_id % 8 = 7 THEN 'I could not produce JSON.'
+       ELSE '{"overallStatus":"' || v.overall_status || '","overallScore":' ||
+            CAST(v.overall_score AS VARCHAR(20)) || '}' END
+FROM fx_validations v WHERE v.validation_id % 4 = 3
+"""
+
+
 # name -> (sql for a dialect, dependencies); ordered so dependencies come first.
 VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "fx_doc_types": (lambda d: FX_DOC_TYPES, ()),
@@ -355,6 +412,11 @@ VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "fx_requests": (fx_requests_sql, ()),
     "fx_llm_attempts": (fx_llm_attempts_sql, ("fx_ext",)),
     "fx_files": (fx_files_sql, ()),
+    "fx_job_event_kinds": (lambda d: FX_JOB_EVENT_KINDS, ()),
+    "fx_job_events": (lambda d: FX_JOB_EVENTS, ("fx_jobs_full", "fx_job_event_kinds")),
+    "fx_retry_requests": (lambda d: FX_RETRY_REQUESTS, ("fx_jobs",)),
+    "fx_upload_rows": (fx_upload_rows_sql, ("fx_uploads",)),
+    "fx_validation_answers": (lambda d: FX_VALIDATION_ANSWERS, ("fx_validations",)),
 }
 
 
