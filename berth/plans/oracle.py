@@ -48,7 +48,7 @@ def register(name: str, body: str, views: tuple[str, ...] = (), deps: tuple[str,
 
     for d in deps:
         visit(d)
-    prelude = fx.cte_prelude(sorted(all_views), fx.DUCKDB) if all_views else "WITH "
+    prelude = fx.cte_prelude(sorted(all_views), fx.DUCKDB) if all_views else ""
     extra = ",\n".join(f"{f} AS ({FRAG[f][0].strip()})" for f in order)
     if all_views and extra:
         sql = prelude.rstrip("\n") + ",\n" + extra + "\n" + body
@@ -476,3 +476,294 @@ SELECT job_id, status FROM (
     ORDER BY epoch_ms(queued_at) + (job_id % 50 + 12) * 1000 DESC, job_id DESC) AS rn
   FROM fx_jobs WHERE status IN ('COMPLETE', 'FAILED'))
 WHERE rn <= CASE WHEN status = 'COMPLETE' THEN 1000 ELSE 5000 END""", ("fx_jobs",))
+
+
+# ------------------------------------------------------------- limiter
+
+frag("rl", """
+WITH RECURSIVE r AS (
+  SELECT client, request_id, ms, ROW_NUMBER() OVER (PARTITION BY client ORDER BY ms, request_id) AS rn
+  FROM fx_requests),
+s AS (
+  SELECT client, rn, request_id, ms, ms AS anchor, 9 AS tok, true AS allowed FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.client, r.rn, r.request_id, r.ms,
+    CASE WHEN r.ms - s.anchor >= 60000 THEN r.ms ELSE s.anchor END,
+    CASE WHEN r.ms - s.anchor >= 60000 THEN 9 WHEN s.tok > 0 THEN s.tok - 1 ELSE 0 END,
+    (r.ms - s.anchor >= 60000) OR s.tok > 0
+  FROM s JOIN r ON r.client = s.client AND r.rn = s.rn + 1)
+SELECT client, request_id, ms, allowed,
+  CASE WHEN NOT allowed THEN 60000 - (ms - anchor) END AS retry_after_ms,
+  CASE WHEN NOT allowed THEN CAST(ceil((60000 - (ms - anchor)) / 1000.0) AS BIGINT) END AS retry_after_sec
+FROM s""", ("fx_requests",))
+register("t1_rate_limit", "SELECT * FROM rl", (), ("rl",))
+
+# ------------------------------------------------------------------ intake
+
+register("p1_triage_uploads", r"""
+SELECT f.upload_id,
+  CASE WHEN NOT COALESCE(v.allowed, true) THEN 'RATE_LIMITED'
+       WHEN f.text IS NOT NULL AND f.mime_type NOT IN ('image/jpeg', 'image/png', 'application/pdf') THEN 'UNSUPPORTED_FORMAT'
+       WHEN f.text IS NOT NULL AND f.size_bytes > 10485760 THEN 'FILE_TOO_LARGE'
+       WHEN f.text IS NULL THEN 'MISSING_FILE'
+       WHEN COALESCE(lower(f.mode) = 'sync', false) = false AND f.webhook_url IS NOT NULL AND f.webhook_url <> ''
+            AND NOT COALESCE(regexp_matches(f.webhook_url, '^https?://[^/\s]+'), false) THEN 'INVALID_WEBHOOK_URL'
+       ELSE 'ACCEPTED' END AS outcome,
+  CASE WHEN lower(f.mode) = 'sync' THEN 'sync' ELSE 'async' END AS mode
+FROM fx_files f LEFT JOIN rl v ON v.request_id = f.request_id""", ("fx_files",), ("rl",))
+register("p2_resolve_sessions", """
+SELECT f.upload_id,
+  CASE WHEN s.session_id IS NOT NULL THEN CAST(f.session_id AS VARCHAR)
+       ELSE sha256('session:' || CAST(f.upload_id AS VARCHAR)) END AS resolved_session_id,
+  s.session_id IS NULL AS is_new
+FROM fx_files f LEFT JOIN fx_sessions s ON s.session_id = f.session_id""", ("fx_files", "fx_sessions"))
+register("p3_find_duplicates", """
+SELECT u.session_id, u.seq, x.id AS existing_extraction_id
+FROM fx_upload_rows u JOIN cx x ON x.session_id = u.session_id AND x.file_hash = u.file_hash""",
+         ("fx_upload_rows",), ("cx",))
+register("p4_new_work", """
+SELECT session_id, seq, fid, file_hash FROM (
+  SELECT u.*, ROW_NUMBER() OVER (PARTITION BY u.session_id, u.file_hash ORDER BY u.seq) AS rn
+  FROM fx_upload_rows u
+  WHERE NOT EXISTS (SELECT 1 FROM cx x WHERE x.session_id = u.session_id AND x.file_hash = u.file_hash))
+WHERE rn = 1""", ("fx_upload_rows",), ("cx",))
+register("p5_unknown_ids", """
+SELECT DISTINCT session_id FROM fx_files f
+WHERE session_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_sessions s WHERE s.session_id = f.session_id)""",
+         ("fx_files", "fx_sessions"))
+
+# ----------------------------------------------------------------- sources
+
+register("s1_read_table", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+register("s2_intake_files", """
+SELECT upload_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS file_hash,
+  length(to_base64(encode(text))) AS b64_len, file_name, mime_type
+FROM fx_files""", ("fx_files",))
+register("s3_intake_stream", """
+SELECT doc_id AS upload_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS file_hash,
+  length(to_base64(encode(text))) AS b64_len
+FROM documents""")
+register("s4_write_snapshot", "SELECT id, session_id, document_type, status, is_expired FROM cx", (), ("cx",))
+
+# ----------------------------------------------------------------- answers
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _x1_sql() -> str:
+    from berth.functions import prompts
+    p = f"to_json({_sql_str(prompts.EXTRACTION_PROMPT)})"
+    anth = ("'{\"model\":\"model-x\",\"max_tokens\":4096,\"messages\":[{\"role\":\"user\",\"content\":"
+            "[{\"type\":\"image\",\"source\":{\"type\":\"base64\",\"media_type\":\"' || mime_type || "
+            "'\",\"data\":\"' || b64 || '\"}},{\"type\":\"text\",\"text\":' || " + p + " || '}]}]}'")
+    oai = ("'{\"model\":\"model-x\",\"max_tokens\":4096,\"messages\":[{\"role\":\"user\",\"content\":"
+           "[{\"type\":\"image_url\",\"image_url\":{\"url\":\"data:' || mime_type || ';base64,' || b64 || "
+           "'\"}},{\"type\":\"text\",\"text\":' || " + p + " || '}]}]}'")
+    gem = ("'{\"contents\":[{\"parts\":[{\"inline_data\":{\"mime_type\":\"' || mime_type || "
+           "'\",\"data\":\"' || b64 || '\"}},{\"text\":' || " + p + " || '}]}]}'")
+    return f"""
+SELECT upload_id, provider, length(body) AS body_len, sha256(body) AS body_sha FROM (
+  SELECT upload_id, provider,
+    CASE provider WHEN 'anthropic' THEN {anth} WHEN 'openai' THEN {oai} ELSE {gem} END AS body
+  FROM (SELECT upload_id, mime_type, to_base64(encode(text)) AS b64,
+          CASE WHEN upload_id % 3 = 0 THEN 'anthropic' WHEN upload_id % 3 = 1 THEN 'openai' ELSE 'gemini' END AS provider
+        FROM fx_files WHERE text IS NOT NULL AND mime_type IN ('image/jpeg', 'image/png', 'application/pdf')))"""
+
+
+register("x1_request_rows", _x1_sql(), ("fx_files",))
+register("x2_decode_envelopes", """
+SELECT session_id, fid, attempt_no, provider,
+  COALESCE(CASE provider WHEN 'gemini' THEN json_extract_string(envelope, '$.candidates[0].content.parts[0].text')
+                WHEN 'anthropic' THEN json_extract_string(envelope, '$.content[0].text')
+                ELSE json_extract_string(envelope, '$.choices[0].message.content') END, '') AS text,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.promptTokenCount') AS BIGINT)
+                WHEN 'anthropic' THEN CAST(json_extract(envelope, '$.usage.input_tokens') AS BIGINT)
+                ELSE CAST(json_extract(envelope, '$.usage.prompt_tokens') AS BIGINT) END AS prompt_tokens,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.candidatesTokenCount') AS BIGINT)
+                WHEN 'anthropic' THEN CAST(json_extract(envelope, '$.usage.output_tokens') AS BIGINT)
+                ELSE CAST(json_extract(envelope, '$.usage.completion_tokens') AS BIGINT) END AS completion_tokens,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.totalTokenCount') AS BIGINT)
+                WHEN 'anthropic' THEN CASE WHEN json_extract(envelope, '$.usage') IS NOT NULL THEN
+                  COALESCE(CAST(json_extract(envelope, '$.usage.input_tokens') AS BIGINT), 0)
+                  + COALESCE(CAST(json_extract(envelope, '$.usage.output_tokens') AS BIGINT), 0) END
+                ELSE CAST(json_extract(envelope, '$.usage.total_tokens') AS BIGINT) END AS total_tokens
+FROM fx_envelopes""", ("fx_envelopes",))
+frag("att", f"""
+SELECT a.*, sp AS span, {ok_sql('sp')} AS ok,
+  CASE WHEN {ok_sql('sp')} THEN json_type(sp, '$.detection') = 'OBJECT' END AS has_det,
+  CASE WHEN {ok_sql('sp')} THEN json_extract_string(sp, '$.detection.confidence') END AS conf
+FROM (SELECT *, {span_sql('raw_text')} AS sp FROM fx_llm_attempts) a""", ("fx_llm_attempts",))
+register("x3_json_span", "SELECT session_id, fid, attempt_no, span FROM att", (), ("att",))
+register("x4_parse_extractions", """
+SELECT session_id, fid, attempt_no, ok,
+  CASE WHEN ok THEN json_extract_string(span, '$.detection.documentType') END AS document_type,
+  conf AS confidence FROM att""", (), ("att",))
+
+
+def _stage(stage: str, p: str) -> str:
+    f = f"FILTER (WHERE stage = '{stage}')"
+    return (f"count(*) {f} > 0 AS {p}_has, max(error_message) {f} AS {p}_msg, "
+            f"COALESCE(bool_or(ok) {f}, false) AS {p}_ok0, max(raw_text) {f} AS {p}_raw, "
+            f"max(span) {f} AS {p}_span, bool_or(has_det) {f} AS {p}_det, max(conf) {f} AS {p}_conf")
+
+
+frag("res", f"""
+SELECT session_id, fid, error_message,
+  CASE WHEN error_message IS NULL THEN 'COMPLETE' ELSE 'FAILED' END AS status,
+  CASE WHEN error_message IS NULL THEN stage0 END AS stage, raw_text, retry_count,
+  CASE WHEN error_message IS NOT NULL THEN
+    CASE WHEN contains(error_message, 'timed out') THEN 'LLM_TIMEOUT' ELSE 'LLM_ERROR' END END AS error_code
+FROM (
+  SELECT session_id, fid,
+    CASE WHEN i_err THEN i_msg WHEN r_err THEN r_msg
+         WHEN need_r AND NOT r_has THEN 'No JSON object found in LLM response'
+         WHEN need_r AND NOT r_ok THEN CASE WHEN r_span IS NULL THEN 'No JSON object found in LLM response'
+                                            ELSE 'Unexpected token in JSON' END
+         WHEN NOT COALESCE(c_det, false) THEN 'Cannot read properties of undefined (reading ''confidence'')'
+         WHEN l_err THEN l_msg END AS error_message,
+    CASE WHEN adopt THEN 'LOW_CONF_RETRY' WHEN use_i THEN 'INITIAL' WHEN r_ok THEN 'REPAIR' END AS stage0,
+    CASE WHEN i_err THEN NULL WHEN adopt THEN l_raw WHEN use_i THEN i_raw ELSE r_raw END AS raw_text,
+    CAST(need_r AS INTEGER) + CAST(low_run AS INTEGER) AS retry_count
+  FROM (
+    SELECT *, low_run AND l_has AND l_msg IS NOT NULL AS l_err,
+      low_run AND l_has AND l_msg IS NULL AND l_ok0 AND COALESCE(l_det, false) AND COALESCE(l_conf, '') <> 'LOW' AS adopt
+    FROM (
+      SELECT *, (use_i OR r_ok) AND COALESCE(c_det, false) AND COALESCE(c_conf, '') = 'LOW' AS low_run
+      FROM (
+        SELECT *, CASE WHEN use_i THEN COALESCE(i_det, false) WHEN r_ok THEN COALESCE(r_det, false) END AS c_det,
+          CASE WHEN use_i THEN i_conf WHEN r_ok THEN r_conf END AS c_conf
+        FROM (
+          SELECT *, need_r AND r_has AND r_msg IS NOT NULL AS r_err,
+            need_r AND r_has AND r_msg IS NULL AND r_ok0 AS r_ok
+          FROM (
+            SELECT *, i_msg IS NOT NULL AS i_err, i_msg IS NULL AND i_ok0 AS use_i,
+              i_msg IS NULL AND NOT i_ok0 AS need_r
+            FROM (SELECT session_id, fid, {_stage('INITIAL', 'i')}, {_stage('REPAIR', 'r')},
+                    {_stage('LOW_CONF_RETRY', 'l')}
+                  FROM att GROUP BY session_id, fid)))))))""", (), ("att",))
+register("x5_resolve_attempts", """
+SELECT session_id, fid, status, stage, retry_count, error_code, error_message FROM res""", (), ("res",))
+
+
+def _low_prompt_sql() -> str:
+    from berth.functions import prompts as pr
+    return (f"{_sql_str(pr.EXTRACTION_PROMPT + pr.LOW_CONF_HEAD)} || file_name || "
+            f"{_sql_str(pr.LOW_CONF_MIME)} || mime_type || {_sql_str(pr.LOW_CONF_TAIL)}")
+
+
+def _repair_prompt_sql() -> str:
+    from berth.functions import prompts as pr
+    return f"{_sql_str(pr.REPAIR_PREFIX)} || raw_text || {_sql_str(pr.REPAIR_SUFFIX)}"
+
+
+register("x6_followup_requests", f"""
+SELECT session_id, fid, kind, length(prompt) AS prompt_len, sha256(prompt) AS prompt_sha FROM (
+  SELECT session_id, fid, 'REPAIR' AS kind, {_repair_prompt_sql()} AS prompt
+  FROM att WHERE stage = 'INITIAL' AND error_message IS NULL AND NOT ok
+  UNION ALL
+  SELECT session_id, fid, 'LOW_CONF_RETRY', {_low_prompt_sql()} FROM (
+    SELECT session_id, fid, arg_min(file_name, attempt_no) AS file_name, arg_min(mime_type, attempt_no) AS mime_type,
+      arg_min_null(conf, attempt_no) AS conf
+    FROM att WHERE stage IN ('INITIAL', 'REPAIR') AND ok AND error_message IS NULL GROUP BY session_id, fid)
+  WHERE conf = 'LOW')""", (), ("att",))
+register("x7_classify_failures", """
+SELECT session_id, fid, attempt_no,
+  CASE WHEN contains(error_message, 'timed out') THEN 'LLM_TIMEOUT' ELSE 'LLM_ERROR' END AS error_code
+FROM fx_llm_attempts WHERE error_message IS NOT NULL""", ("fx_llm_attempts",))
+
+_DMY = r"'^\d{2}/\d{2}/\d{4}\z'"
+
+
+def dmy_sql(x: str) -> str:
+    return f"(CASE WHEN COALESCE(regexp_matches({x}, {_DMY}), false) THEN CAST(try_strptime({x}, '%d/%m/%Y') AS DATE) END)"
+
+
+def dmy_bad_sql(x: str) -> str:
+    return (f"(COALESCE(regexp_matches({x}, {_DMY}), false) AND try_strptime({x}, '%d/%m/%Y') IS NULL)")
+
+
+register("x8_parse_dmy", f"""
+SELECT session_id, fid, attempt_no, e AS raw_expiry, {dmy_sql('e')} AS expiry_date,
+  {dmy_bad_sql('e')} AS expiry_impossible, {dmy_sql('i')} AS issue_date
+FROM (SELECT *, json_extract_string(span, '$.validity.dateOfExpiry') AS e,
+        json_extract_string(span, '$.validity.dateOfIssue') AS i FROM att WHERE ok)""", (), ("att",))
+frag("prom", f"""
+SELECT session_id, fid,
+  CASE WHEN bad THEN 'FAILED' ELSE status END AS status,
+  CASE WHEN bad THEN 'LLM_ERROR' ELSE error_code END AS error_code,
+  CASE WHEN bad THEN 'Extraction could not be stored' ELSE error_message END AS error_message,
+  retry_count, raw_text,
+  CASE WHEN ok2 THEN json_extract_string(sp, '$.detection.documentType') END AS document_type,
+  CASE WHEN ok2 THEN json_extract_string(sp, '$.detection.confidence') END AS confidence,
+  CASE WHEN ok2 THEN json_extract_string(sp, '$.holder.fullName') END AS holder_name,
+  CASE WHEN ok2 THEN {dmy_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")} END AS date_of_expiry,
+  CASE WHEN ok2 THEN CAST(json_extract(sp, '$.validity.isExpired') AS BOOLEAN) END AS is_expired,
+  CASE WHEN ok2 THEN json_array_length(sp, '$.flags') END AS n_flags,
+  CASE WHEN ok2 THEN json_array_length(sp, '$.fields') END AS n_fields
+FROM (
+  SELECT *, status = 'COMPLETE' AND NOT bad AS ok2 FROM (
+    SELECT *, status = 'COMPLETE' AND (
+      COALESCE(json_type(sp, '$.detection'), '') <> 'OBJECT' OR COALESCE(json_type(sp, '$.holder'), '') <> 'OBJECT'
+      OR COALESCE(json_type(sp, '$.validity'), '') <> 'OBJECT' OR COALESCE(json_type(sp, '$.compliance'), '') <> 'OBJECT'
+      OR COALESCE(json_type(sp, '$.medicalData'), '') <> 'OBJECT'
+      OR COALESCE(json_type(sp, '$.validity.isExpired'), '') <> 'BOOLEAN'
+      OR {dmy_bad_sql("json_extract_string(sp, '$.validity.dateOfIssue')")}
+      OR {dmy_bad_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")}) AS bad
+    FROM (SELECT *, CASE WHEN status = 'COMPLETE' THEN {span_sql('raw_text')} END AS sp FROM res)))""", (), ("res",))
+register("x9_promote", """
+SELECT session_id, fid, status, error_code, document_type, holder_name, date_of_expiry, is_expired, n_flags, n_fields
+FROM prom""", (), ("prom",))
+register("x10_explode_fields", """
+SELECT id, session_id, pos, key, label, value, importance, field_status FROM fx_ext_fields""", ("fx_ext_fields",))
+register("x10_explode_flags", "SELECT id, session_id, pos, severity, message FROM fx_ext_flags", ("fx_ext_flags",))
+register("x11_search_fields", """
+SELECT DISTINCT id, session_id FROM fx_ext_fields WHERE contains(lower(value), 'peme')""", ("fx_ext_fields",))
+register("x12_upsert_extractions", """
+SELECT session_id, file_hash,
+  COALESCE(CAST(arg_min_null(id, version) AS VARCHAR), sha256(CAST(session_id AS VARCHAR) || ':' || file_hash)) AS id,
+  arg_max_null(status, version) AS status, arg_max_null(error_code, version) AS error_code,
+  arg_max_null(retry_count, version) AS retry_count,
+  arg_max_null(document_type, version) FILTER (WHERE status = 'COMPLETE') AS document_type,
+  arg_max_null(confidence, version) FILTER (WHERE status = 'COMPLETE') AS confidence,
+  arg_max_null(holder_name, version) FILTER (WHERE status = 'COMPLETE') AS holder_name,
+  arg_max_null(date_of_expiry, version) FILTER (WHERE status = 'COMPLETE') AS date_of_expiry,
+  arg_max_null(is_expired, version) FILTER (WHERE status = 'COMPLETE') AS is_expired
+FROM (
+  SELECT session_id, file_hash, 1 AS version, id, status, error_code, retry_count, document_type, confidence,
+    holder_name, date_of_expiry, is_expired FROM fx_ext
+  UNION ALL
+  SELECT p.session_id, f.file_hash, 2, NULL, p.status, p.error_code, p.retry_count, p.document_type, p.confidence,
+    p.holder_name, p.date_of_expiry, p.is_expired
+  FROM prom p JOIN (SELECT DISTINCT session_id, fid, file_hash FROM fx_llm_attempts) f
+    ON f.session_id = p.session_id AND f.fid = p.fid)
+GROUP BY session_id, file_hash""", ("fx_ext", "fx_llm_attempts"), ("prom",))
+register("x13_usage_rollup", """
+SELECT provider, 'model-' || provider AS model, '1.0.0' AS prompt_version, COUNT(*) AS calls,
+  COUNT(*) FILTER (WHERE error_message IS NULL) AS successes,
+  SUM(pt) AS prompt_tokens, SUM(ct) AS completion_tokens, SUM(tt) AS total_tokens,
+  AVG(latency_ms) AS avg_latency_ms, quantile_cont(latency_ms, 0.5) AS p50_latency_ms
+FROM (SELECT *,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.promptTokenCount') AS BIGINT)
+    WHEN 'anthropic' THEN CAST(json_extract(envelope, '$.usage.input_tokens') AS BIGINT)
+    ELSE CAST(json_extract(envelope, '$.usage.prompt_tokens') AS BIGINT) END AS pt,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.candidatesTokenCount') AS BIGINT)
+    WHEN 'anthropic' THEN CAST(json_extract(envelope, '$.usage.output_tokens') AS BIGINT)
+    ELSE CAST(json_extract(envelope, '$.usage.completion_tokens') AS BIGINT) END AS ct,
+  CASE provider WHEN 'gemini' THEN CAST(json_extract(envelope, '$.usageMetadata.totalTokenCount') AS BIGINT)
+    WHEN 'anthropic' THEN CASE WHEN json_extract(envelope, '$.usage') IS NOT NULL THEN
+      COALESCE(CAST(json_extract(envelope, '$.usage.input_tokens') AS BIGINT), 0)
+      + COALESCE(CAST(json_extract(envelope, '$.usage.output_tokens') AS BIGINT), 0) END
+    ELSE CAST(json_extract(envelope, '$.usage.total_tokens') AS BIGINT) END AS tt
+  FROM fx_envelopes)
+GROUP BY provider""", ("fx_envelopes",))
+register("x14_run_extractor", """
+SELECT upload_id,
+  CASE WHEN octet_length(encode(text)) % 13 = 0 THEN NULL
+       ELSE '{"detection":{"documentType":"OTHER","confidence":"' ||
+            CASE WHEN octet_length(encode(text)) % 2 = 1 THEN 'LOW' ELSE 'HIGH' END ||
+            '"},"size":' || CAST(octet_length(encode(text)) AS VARCHAR) || '}' END AS raw_text,
+  CASE WHEN octet_length(encode(text)) % 13 = 0 THEN 'LLM request timed out after 90000ms' END AS error_message
+FROM fx_files WHERE text IS NOT NULL""", ("fx_files",))

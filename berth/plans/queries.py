@@ -303,3 +303,224 @@ def j9(spark, sf):
 @query("j10_retain")
 def j10(spark, sf):
     return J.retain(fx.jobs(spark, sf)).select("job_id", "status")
+
+
+# ------------------------------------------------------------ intake / T1
+
+from berth.operators import answers as X  # noqa: E402
+from berth.operators import intake as P  # noqa: E402
+from berth.operators import ratelimit as T  # noqa: E402
+from berth.sources import tables as S  # noqa: E402
+
+
+@query("t1_rate_limit")
+def t1(spark, sf):
+    return T.rate_limit(fx.requests(spark, sf))
+
+
+@query("p1_triage_uploads")
+def p1(spark, sf):
+    verdicts = T.rate_limit(fx.requests(spark, sf))
+    return P.triage_uploads(fx.files(spark, sf), verdicts)
+
+
+@query("p2_resolve_sessions")
+def p2(spark, sf):
+    return P.resolve_sessions(fx.files(spark, sf).select("upload_id", "session_id"),
+                              fx.sessions(spark, sf))
+
+
+@query("p3_find_duplicates")
+def p3(spark, sf):
+    return P.find_duplicates(fx.view(spark, sf, "fx_upload_rows"), fx.extractions(spark, sf)) \
+        .select("session_id", "seq", "existing_extraction_id")
+
+
+@query("p4_new_work")
+def p4(spark, sf):
+    return P.new_work(fx.view(spark, sf, "fx_upload_rows"), fx.extractions(spark, sf)) \
+        .select("session_id", "seq", "fid", "file_hash")
+
+
+@query("p5_unknown_ids")
+def p5(spark, sf):
+    return P.unknown_ids(fx.files(spark, sf), fx.sessions(spark, sf), "session_id")
+
+
+# ----------------------------------------------------------------- sources
+
+@query("s1_read_table")
+def s1(spark, sf):
+    return S.read_table(spark, "orders", f"{sf}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+def _intake_cols(df):
+    return df.select("upload_id", "size_bytes", "file_hash",
+                     F.length("content_b64").cast("long").alias("b64_len"))
+
+
+@query("s2_intake_files")
+def s2(spark, sf):
+    return _intake_cols(S.intake_files(fx.files(spark, sf))).join(
+        fx.files(spark, sf).select("upload_id", "file_name", "mime_type"), "upload_id")
+
+
+@query("s3_intake_stream")
+def s3(spark, sf):
+    from berth.streaming import streams as ST
+    docs = ST.intake_stream(spark, sf, S.SCHEMAS["documents"], glob="documents.parquet",
+                            max_files_per_trigger=1)
+    rows = S.intake_files(docs.select(F.col("doc_id").alias("upload_id"),
+                                      F.encode("text", "UTF-8").alias("content")))
+    base = ST.drain(_intake_cols(rows), "s3_intake")
+    return spark.read.parquet(f"{base}/data")
+
+
+@query("s4_write_snapshot")
+def s4(spark, sf):
+    ext = Q.complete(fx.extractions(spark, sf)).select(
+        "id", "session_id", "status", "is_expired", "document_type")
+    path = S.snapshot_path(spark, "extractions")
+    S.write_snapshot(ext, path, ["document_type"])
+    return spark.read.parquet(path).select("id", "session_id", "document_type", "status", "is_expired")
+
+
+# ----------------------------------------------------------------- answers
+
+def _provider(c):
+    return F.when(c % 3 == 0, "anthropic").when(c % 3 == 1, "openai").otherwise("gemini")
+
+
+@query("x1_request_rows")
+def x1(spark, sf):
+    work = fx.files(spark, sf).filter(F.col("content").isNotNull()
+                                      & F.col("mime_type").isin(*P.ALLOWED_MIME_TYPES))
+    r = X.request_rows(work, _provider(F.col("upload_id")), "model-x")
+    return r.select("upload_id", "provider", F.length("body").cast("long").alias("body_len"),
+                    F.sha2("body", 256).alias("body_sha"))
+
+
+@query("x2_decode_envelopes")
+def x2(spark, sf):
+    return X.decode_envelopes(fx.view(spark, sf, "fx_envelopes")).select(
+        "session_id", "fid", "attempt_no", "provider", "text", "prompt_tokens",
+        "completion_tokens", "total_tokens")
+
+
+@query("x3_json_span")
+def x3(spark, sf):
+    from berth.functions.expr import json_span
+    return llm(spark, sf).select("session_id", "fid", "attempt_no", json_span("raw_text").alias("span"))
+
+
+def llm(spark, sf):
+    return fx.llm_attempts(spark, sf)
+
+
+@query("x4_parse_extractions")
+def x4(spark, sf):
+    return X.parse_extractions(llm(spark, sf)).select(
+        "session_id", "fid", "attempt_no", "ok",
+        F.col("parsed.detection.documentType").alias("document_type"),
+        F.col("parsed.detection.confidence").alias("confidence"))
+
+
+@query("x5_resolve_attempts")
+def x5(spark, sf):
+    return X.resolve_attempts(llm(spark, sf)).select(
+        "session_id", "fid", "status", "stage", _long("retry_count").alias("retry_count"),
+        "error_code", "error_message")
+
+
+@query("x6_followup_requests")
+def x6(spark, sf):
+    return X.followup_requests(llm(spark, sf)).select(
+        "session_id", "fid", "kind", F.length("prompt").cast("long").alias("prompt_len"),
+        F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+@query("x7_classify_failures")
+def x7(spark, sf):
+    return X.classify_failures(llm(spark, sf)).select("session_id", "fid", "attempt_no", "error_code")
+
+
+@query("x8_parse_dmy")
+def x8(spark, sf):
+    from berth.functions.expr import dmy_impossible, parse_dmy
+    p = X.parse_extractions(llm(spark, sf)).filter("ok")
+    e = F.col("parsed.validity.dateOfExpiry")
+    return p.select("session_id", "fid", "attempt_no", e.alias("raw_expiry"),
+                    parse_dmy(e).alias("expiry_date"), dmy_impossible(e).alias("expiry_impossible"),
+                    parse_dmy(F.col("parsed.validity.dateOfIssue")).alias("issue_date"))
+
+
+def _promoted(spark, sf):
+    return X.promote(X.resolve_attempts(llm(spark, sf)))
+
+
+@query("x9_promote")
+def x9(spark, sf):
+    ok = F.col("status") == "COMPLETE"
+    return _promoted(spark, sf).select(
+        "session_id", "fid", "status", "error_code", "document_type", "holder_name",
+        "date_of_expiry", "is_expired",
+        F.when(ok, F.size("flags")).cast("long").alias("n_flags"),
+        F.when(ok, F.size("fields")).cast("long").alias("n_fields"))
+
+
+@query("x10_explode_fields")
+def x10a(spark, sf):
+    return X.explode_fields(fx.extractions(spark, sf)).withColumn("pos", _long("pos"))
+
+
+@query("x10_explode_flags")
+def x10b(spark, sf):
+    return X.explode_flags(fx.extractions(spark, sf)).withColumn("pos", _long("pos"))
+
+
+@query("x11_search_fields")
+def x11(spark, sf):
+    return X.search_fields(X.explode_fields(fx.extractions(spark, sf)), "PEME")
+
+
+X12_CONTENT = ["document_type", "confidence", "holder_name", "date_of_expiry", "is_expired"]
+
+
+def _x12_inputs(spark, sf):
+    cur = (fx.extractions(spark, sf).withColumn("version", F.lit(1))
+           .withColumn("raw_text", F.lit(None).cast("string")))
+    files = llm(spark, sf).select("session_id", "fid", "file_hash", "file_name", "mime_type").distinct()
+    batch = (_promoted(spark, sf).join(files, ["session_id", "fid"])
+             .withColumn("version", F.lit(2)).withColumn("id", F.lit(None).cast("long"))
+             .withColumn("created_at", F.lit(None).cast("timestamp"))
+             .withColumn("prompt_version", F.lit("1.0.0")))
+    return cur, batch
+
+
+@query("x12_upsert_extractions")
+def x12(spark, sf):
+    cur, batch = _x12_inputs(spark, sf)
+    return X.upsert_extractions(cur, batch, X12_CONTENT).select(
+        "session_id", "file_hash", "id", "status", "error_code",
+        _long("retry_count").alias("retry_count"), *X12_CONTENT)
+
+
+def _calls(spark, sf):
+    return (X.decode_envelopes(fx.view(spark, sf, "fx_envelopes"))
+            .withColumn("model", F.concat(F.lit("model-"), F.col("provider")))
+            .withColumn("prompt_version", F.lit("1.0.0")))
+
+
+@query("x13_usage_rollup")
+def x13(spark, sf):
+    return X.usage_rollup(_calls(spark, sf)).select(
+        "provider", "model", "prompt_version", _long("calls").alias("calls"),
+        _long("successes").alias("successes"), "prompt_tokens", "completion_tokens", "total_tokens",
+        "avg_latency_ms", "p50_latency_ms")
+
+
+@query("x14_run_extractor")
+def x14(spark, sf):
+    req = fx.files(spark, sf).filter(F.col("content").isNotNull())
+    return X.run_extractor(req, X.stub_extractor, ["upload_id"], concurrency=8)

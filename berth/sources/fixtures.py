@@ -395,6 +395,36 @@ FROM fx_validations v WHERE v.validation_id % 4 = 3
 """
 
 
+# Provider envelopes around each attempt's text (provider by (seq + attempt) % 3;
+# no usage object when seq % 5 = 0; openai's total is given as in + out + 1).
+_ESC = ("'\"' || replace(replace(replace(a.raw_text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), "
+        "chr(10), chr(92) || 'n') || '\"'")
+FX_ENVELOPES = f"""
+SELECT a.session_id, a.fid, a.seq, a.attempt_no, a.stage, a.error_message,
+  CASE (a.seq + a.attempt_no) % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' ELSE 'gemini' END AS provider,
+  CASE (a.seq + a.attempt_no) % 3
+    WHEN 0 THEN CASE WHEN a.raw_text IS NULL THEN '{{"content":[]'
+                     ELSE '{{"content":[{{"type":"text","text":' || {_ESC} || '}}]' END
+         || CASE WHEN a.seq % 5 <> 0 THEN ',"usage":{{"input_tokens":' || CAST(1000 + a.fid AS VARCHAR(20))
+                 || ',"output_tokens":' || CAST(COALESCE(length(a.raw_text), 0) AS VARCHAR(20)) || '}}' ELSE '' END || '}}'
+    WHEN 1 THEN CASE WHEN a.raw_text IS NULL THEN '{{"choices":[]'
+                     ELSE '{{"choices":[{{"message":{{"role":"assistant","content":' || {_ESC} || '}}}}]' END
+         || CASE WHEN a.seq % 5 <> 0 THEN ',"usage":{{"prompt_tokens":' || CAST(1000 + a.fid AS VARCHAR(20))
+                 || ',"completion_tokens":' || CAST(COALESCE(length(a.raw_text), 0) AS VARCHAR(20))
+                 || ',"total_tokens":' || CAST(1001 + a.fid + COALESCE(length(a.raw_text), 0) AS VARCHAR(20)) || '}}'
+                 ELSE '' END || '}}'
+    ELSE '{{"candidates":' || CASE WHEN a.raw_text IS NULL THEN '[]'
+                     ELSE '[{{"content":{{"parts":[{{"text":' || {_ESC} || '}}]}}}}]' END
+         || CASE WHEN a.seq % 5 <> 0 THEN ',"usageMetadata":{{"promptTokenCount":' || CAST(1000 + a.fid AS VARCHAR(20))
+                 || ',"candidatesTokenCount":' || CAST(COALESCE(length(a.raw_text), 0) AS VARCHAR(20))
+                 || ',"totalTokenCount":' || CAST(1000 + a.fid + COALESCE(length(a.raw_text), 0) AS VARCHAR(20)) || '}}'
+                 ELSE '' END || '}}'
+  END AS envelope,
+  CAST((a.fid * 37 + a.seq * 11 + a.attempt_no * 101) % 5000 + 500 AS BIGINT) AS latency_ms
+FROM fx_llm_attempts a
+"""
+
+
 # name -> (sql for a dialect, dependencies); ordered so dependencies come first.
 VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "fx_doc_types": (lambda d: FX_DOC_TYPES, ()),
@@ -417,6 +447,7 @@ VIEWS: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "fx_retry_requests": (lambda d: FX_RETRY_REQUESTS, ("fx_jobs",)),
     "fx_upload_rows": (fx_upload_rows_sql, ("fx_uploads",)),
     "fx_validation_answers": (lambda d: FX_VALIDATION_ANSWERS, ("fx_validations",)),
+    "fx_envelopes": (lambda d: FX_ENVELOPES, ("fx_llm_attempts",)),
 }
 
 
