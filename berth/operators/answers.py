@@ -305,18 +305,33 @@ def upsert_extractions(current: DataFrame, batch: DataFrame, content: list[str],
     """One current row per (session, hash): identity from the FIRST attempt,
     content from the latest COMPLETE attempt, status / error / raw / retry /
     prompt version from the LATEST attempt. A fold, not a MERGE: one
-    partial aggregation on the key."""
+    partial aggregation on the key.
+
+    ``content_version`` (the order value the content came from) is carried in
+    the output, so a stored row that is FAILED but keeps older COMPLETE
+    content folds correctly again with the next batch."""
     key = key or ["session_id", "file_hash"]
     cols = key + [order] + IDENTITY + META + content
-    u = current.select(*cols).unionByName(batch.select(*cols))
+
+    def prep(df: DataFrame) -> DataFrame:
+        if "content_version" not in df.columns:
+            df = df.withColumn("content_version",
+                               F.when(F.col("status") == "COMPLETE", F.col(order)))
+        return df.select(*cols, "content_version")
+
+    u = prep(current).unionByName(prep(batch))
+    cv = F.col("content_version")
+    # identity: a row that already has an id wins, else the earliest attempt
     g = u.groupBy(*key).agg(
-        first_by([order], F.struct(*IDENTITY)).alias("ident"),
-        last_by([order], F.struct(*content), F.col("status") == "COMPLETE").alias("body"),
-        last_by([order], F.struct(*META)).alias("meta"))
+        first_by([F.col("id").isNull(), F.col(order)], F.struct(*IDENTITY)).alias("ident"),
+        last_by([cv], F.struct(*content, cv.alias("cv")), cv.isNotNull()).alias("body"),
+        last_by([order], F.struct(*META)).alias("meta"),
+        F.max(order).alias(order))
     new_id = F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in key]), 256)
-    return g.select(*key, F.coalesce(F.col("ident.id").cast("string"), new_id).alias("id"),
+    return g.select(*key, order, F.coalesce(F.col("ident.id").cast("string"), new_id).alias("id"),
                     "ident.file_name", "ident.mime_type", "ident.created_at",
                     *[F.col(f"body.{c}").alias(c) for c in content],
+                    F.col("body.cv").alias("content_version"),
                     *[F.col(f"meta.{c}").alias(c) for c in META])
 
 

@@ -767,3 +767,11 @@ SELECT upload_id,
             '"},"size":' || CAST(octet_length(encode(text)) AS VARCHAR) || '}' END AS raw_text,
   CASE WHEN octet_length(encode(text)) % 13 = 0 THEN 'LLM request timed out after 90000ms' END AS error_message
 FROM fx_files WHERE text IS NOT NULL""", ("fx_files",))
+
+
+# --------------------------------------------------------------- streaming
+
+ORACLE["t2_rate_limit_stream"] = ORACLE["t1_rate_limit"]
+register("t3_dedup_stream", "SELECT DISTINCT session_id, file_hash FROM fx_upload_rows", ("fx_upload_rows",))
+ORACLE["t4_job_state_stream"] = ORACLE["j5_job_state"]
+ORACLE["t5_upsert_stream"] = ORACLE["x12_upsert_extractions"]

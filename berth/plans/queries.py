@@ -524,3 +524,63 @@ def x13(spark, sf):
 def x14(spark, sf):
     req = fx.files(spark, sf).filter(F.col("content").isNotNull())
     return X.run_extractor(req, X.stub_extractor, ["upload_id"], concurrency=8)
+
+
+# --------------------------------------------------------------- streaming
+
+from berth.session import shared_dir  # noqa: E402
+from berth.streaming import streams as ST  # noqa: E402
+
+
+def _land(df, name, order_col, slices=3, by=None):
+    """Land ``df`` as time-ordered file slices (each key's rows of a slice in
+    one file) for a file-source stream."""
+    path = shared_dir(df.sparkSession, f"landing/{name}")
+    d = df.repartition(*[F.col(c) for c in by]) if by else df
+    ST.land_in_order(d, path, order_col, slices)
+    return path, df.schema
+
+
+@query("t2_rate_limit_stream")
+def t2(spark, sf):
+    path, schema = _land(fx.requests(spark, sf), "requests", "ms", by=["client"])
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    base = ST.drain(ST.rate_limit_stream(stream), "t2_rate_limit")
+    return spark.read.parquet(f"{base}/data")
+
+
+@query("t3_dedup_stream")
+def t3(spark, sf):
+    rows = fx.view(spark, sf, "fx_upload_rows")
+    path, schema = _land(rows, "uploads", "seq", by=["session_id"])
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    ST.use_rocksdb(spark)
+    base = ST.drain(ST.dedup_stream(stream, ["session_id", "file_hash"]), "t3_dedup")
+    return spark.read.parquet(f"{base}/data").select("session_id", "file_hash")
+
+
+@query("t4_job_state_stream")
+def t4(spark, sf):
+    ev = fx.view(spark, sf, "fx_job_events")
+    path, schema = _land(ev, "job_events", "seq", by=["job_id"])
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    ST.use_rocksdb(spark)
+    table = ST.VersionedTable(spark, shared_dir(spark, "tables/job_state"))
+    ST.drain(ST.job_state_stream(stream), "t4_job_state", output_mode="update",
+             foreach_batch=ST.upsert_by_key(table, ["job_id"]))
+    return table.current()
+
+
+@query("t5_upsert_stream")
+def t5(spark, sf):
+    cur, batch = _x12_inputs(spark, sf)
+    cols = ["session_id", "file_hash", "version", *X.IDENTITY, *X.META, *X12_CONTENT]
+    table = ST.VersionedTable(spark, shared_dir(spark, "tables/extractions_live"))
+    table.write(cur.withColumn("content_version", F.when(F.col("status") == "COMPLETE", F.col("version")))
+                .select(*cols, "content_version"), 0)
+    path, schema = _land(batch.select(*cols), "attempts", "retry_count", slices=2, by=["session_id"])
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    ST.drain(stream, "t5_upsert", foreach_batch=ST.upsert_stream(stream, table, X12_CONTENT))
+    return table.current().select(
+        "session_id", "file_hash", F.col("id").cast("string").alias("id"), "status", "error_code",
+        _long("retry_count").alias("retry_count"), *X12_CONTENT)
