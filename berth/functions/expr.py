@@ -55,18 +55,44 @@ def last_by(order: list[str | Column], value: Column, cond: Column | None = None
 FENCE_RE = r"```(?:json)?\s*([\s\S]*?)```"
 
 
-def json_span(text: str | Column) -> Column:
-    """First fenced block's inside if a fence exists, then first ``{`` to last ``}``.
+def fence_body(text: str | Column) -> Column:
+    """The first fenced block's inside if a fence exists, else the text.
 
-    Null when there is no object (no brace, or the last ``}`` is before the
-    first ``{``)."""
+    Same result as ``FENCE_RE`` (leftmost opening fence that has a closing
+    fence after it; optional ``json`` tag; leading whitespace dropped; lazy
+    body), computed with ``instr`` / ``substr`` in linear time instead of a
+    backtracking lazy regex."""
     t = col(text)
-    body = F.when(t.rlike(FENCE_RE), F.regexp_extract(t, FENCE_RE, 1)).otherwise(t)
-    first = F.instr(body, "{")
-    rev = F.instr(F.reverse(body), "}")
-    last = F.length(body) - rev + 1
-    return F.when((first > 0) & (rev > 0) & (last > first),
-                  F.substr(body, first, last - first + 1))
+    open_at = F.instr(t, "```")
+    rest = F.substr(t, open_at + 3, F.length(t))
+    close_at = F.instr(rest, "```")
+    inner = F.substr(rest, F.lit(1), close_at - 1)
+    inner = F.when(inner.startswith("json"), F.substr(inner, F.lit(5), F.length(inner))).otherwise(inner)
+    inner = F.regexp_replace(inner, r"^[ \t\n\x0B\f\r]+", "")
+    return F.when((open_at > 0) & (close_at > 0), inner).otherwise(t)
+
+
+def span_of_body(body: str | Column) -> Column:
+    """First ``{`` to last ``}`` of ``body``; null if absent or reversed."""
+    b = col(body)
+    first = F.instr(b, "{")
+    rev = F.instr(F.reverse(b), "}")
+    last = F.length(b) - rev + 1
+    return F.when((first > 0) & (rev > 0) & (last > first), F.substr(b, first, last - first + 1))
+
+
+def json_span(text: str | Column) -> Column:
+    """Span as one expression (the fence body is repeated inside it); prefer
+    ``with_json_span`` on DataFrames so the regex runs once per row."""
+    return span_of_body(fence_body(text))
+
+
+def with_json_span(df, text: str, out: str = "span"):
+    """Add the JSON span of ``text`` as column ``out``, binding the fence body
+    as its own column first: a non-cheap expression referenced several times
+    is kept in its own projection, so the regex runs once per row."""
+    tmp = f"_{out}_body"
+    return df.withColumn(tmp, fence_body(text)).withColumn(out, span_of_body(tmp)).drop(tmp)
 
 
 def json_object_ok(span: str | Column) -> Column:

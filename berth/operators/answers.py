@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from berth.functions import prompts
-from berth.functions.expr import (dmy_impossible, first_by, json_object_ok, json_span, last_by,
-                                  parse_dmy)
+from berth.functions.expr import (dmy_impossible, first_by, json_object_ok, last_by, parse_dmy,
+                                  with_json_span)
 from berth.operators.jobs import classify_error
 
 # ExtractionResult, fixed (never inferred).
@@ -130,7 +130,7 @@ def decode_envelopes(raw: DataFrame, envelope: str = "envelope", provider: str =
 
 def parse_extractions(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds ``span``, strict ``ok`` and the typed ``parsed`` result."""
-    return (df.withColumn("span", json_span(text))
+    return (with_json_span(df, text, "span")
               .withColumn("ok", json_object_ok("span"))
               .withColumn("parsed", F.when(F.col("ok"), F.from_json("span", EXTRACTION_SCHEMA))))
 
@@ -148,7 +148,7 @@ def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataF
     a max-struct aggregate."""
     key = key or FILE_KEY
     a = parse_extractions(attempts)
-    att = F.struct("attempt_no", "raw_text", "error_message", "ok",
+    att = F.struct("attempt_no", "raw_text", "span", "error_message", "ok",
                    F.col("parsed.detection").isNotNull().alias("has_det"),
                    F.col("parsed.detection.confidence").alias("conf"))
     g = a.groupBy(*key).agg(
@@ -171,7 +171,7 @@ def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataF
     err = (F.when(i_err, i["error_message"])
             .when(r_err, r["error_message"])
             .when(need_r & r.isNull(), F.lit(MSG_NO_JSON))
-            .when(need_r & ~r_ok, F.when(json_span(r["raw_text"]).isNull(), F.lit(MSG_NO_JSON))
+            .when(need_r & ~r_ok, F.when(r["span"].isNull(), F.lit(MSG_NO_JSON))
                   .otherwise(F.lit(MSG_BAD_JSON)))
             .when(~has_det, F.lit(MSG_NO_DETECTION))
             .when(l_err, low["error_message"]))
@@ -232,8 +232,9 @@ def promote(resolved: DataFrame) -> DataFrame:
     FAILED/LLM_ERROR when a section the store dereferences is missing,
     ``isExpired`` is null (NOT NULL column), or a date is well-formed but
     impossible."""
-    p = F.from_json(json_span("raw_text"), EXTRACTION_SCHEMA)
-    r = resolved.withColumn("r", F.when(F.col("status") == "COMPLETE", p))
+    r = with_json_span(resolved, "raw_text", "_span")
+    r = r.withColumn("r", F.when(F.col("status") == "COMPLETE",
+                                 F.from_json("_span", EXTRACTION_SCHEMA))).drop("_span")
     v = F.col("r.validity")
     bad = (F.col("r.detection").isNull() | F.col("r.holder").isNull() | v.isNull()
            | F.col("r.compliance").isNull() | F.col("r.medicalData").isNull()

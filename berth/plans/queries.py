@@ -410,8 +410,8 @@ def x2(spark, sf):
 
 @query("x3_json_span")
 def x3(spark, sf):
-    from berth.functions.expr import json_span
-    return llm(spark, sf).select("session_id", "fid", "attempt_no", json_span("raw_text").alias("span"))
+    from berth.functions.expr import with_json_span
+    return with_json_span(llm(spark, sf), "raw_text", "span").select("session_id", "fid", "attempt_no", "span")
 
 
 def llm(spark, sf):
