@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +39,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +75,31 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     # getCheckpointDir() returns a per-application child; keep our folders
     # next to it, one fresh folder per call so runs never collide.
     return os.path.join(base.rstrip("/"), "berth", purpose, uuid.uuid4().hex)
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``berth`` importable in Python workers (pandas UDF closures refer
+    to its functions): zip the package into the shared folder once per
+    application and add it with ``addPyFile``."""
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if sc.applicationId in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        target = shared_dir(spark, "pyfiles")
+        local = target if "://" not in target else tempfile.mkdtemp(prefix="berth-zip-")
+        os.makedirs(local, exist_ok=True)
+        path = os.path.join(local, "berth.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)

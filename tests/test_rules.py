@@ -189,3 +189,19 @@ def test_cascade_delete_nulls_job_links(spark):
     assert {(r.job_id, r.extraction_id) for r in out["jobs"].collect()} == {(20, None), (30, None)}
     assert out["validations"].count() == 0 and out["extractions"].count() == 0
     assert F is not None
+
+
+def test_piece_parallel_limiter_equals_sequential(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for c in range(4):
+        t = 0
+        for i in range(300):
+            t += rng.choice([0, 0, 1, 7, 400, 5000, 20000, 59999, 60000, 61000])
+            rows.append((c, i, t))
+    df = spark.createDataFrame(rows, "client long, request_id long, ms long")
+    seq = T.rate_limit_sequential(df)
+    for piece in (1000, 30000, 60000, 600000):
+        par = T.rate_limit(df, piece_ms=piece)
+        assert seq.exceptAll(par).count() == 0 and par.exceptAll(seq).count() == 0, piece
