@@ -550,7 +550,7 @@ def _land(df, name, order_col, slices=3, by=None):
 @query("t2_rate_limit_stream")
 def t2(spark, sf):
     path, schema = _land(fx.requests(spark, sf), "requests", "ms", by=["client"])
-    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     base = ST.drain(ST.rate_limit_stream(stream), "t2_rate_limit")
     return spark.read.parquet(f"{base}/data")
 
@@ -559,7 +559,7 @@ def t2(spark, sf):
 def t3(spark, sf):
     rows = fx.view(spark, sf, "fx_upload_rows")
     path, schema = _land(rows, "uploads", "seq", by=["session_id"])
-    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     ST.use_rocksdb(spark)
     base = ST.drain(ST.dedup_stream(stream, ["session_id", "file_hash"]), "t3_dedup")
     return spark.read.parquet(f"{base}/data").select("session_id", "file_hash")
@@ -569,7 +569,7 @@ def t3(spark, sf):
 def t4(spark, sf):
     ev = fx.view(spark, sf, "fx_job_events")
     path, schema = _land(ev, "job_events", "seq", by=["job_id"])
-    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     ST.use_rocksdb(spark)
     table = ST.VersionedTable(spark, shared_dir(spark, "tables/job_state"))
     ST.drain(ST.job_state_stream(stream), "t4_job_state", output_mode="update",
@@ -585,7 +585,7 @@ def t5(spark, sf):
     table.write(cur.withColumn("content_version", F.when(F.col("status") == "COMPLETE", F.col("version")))
                 .select(*cols, "content_version"), 0)
     path, schema = _land(batch.select(*cols), "attempts", "retry_count", slices=2, by=["session_id"])
-    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     ST.drain(stream, "t5_upsert", foreach_batch=ST.upsert_stream(stream, table, X12_CONTENT))
     return table.current().select(
         "session_id", "file_hash", F.col("id").cast("string").alias("id"), "status", "error_code",
