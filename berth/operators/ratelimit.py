@@ -196,18 +196,16 @@ def _fold_piece(limit: int, window: int):
     return run
 
 
-def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
-               piece_ms: int = 16 * WINDOW_MS) -> DataFrame:
-    """``requests(client, request_id, ms)`` -> verdict per request, exact.
-
-    A client's requests are cut into time pieces of ``piece_ms``; pieces are
-    the unit of parallel work, so a client holding a third of all requests
-    spreads over as many tasks as it has pieces. Only the per-piece boundary
-    tables (requests in the first window of each piece, about
-    ``window_ms / piece_ms`` of the rows) are threaded in client order."""
+def rate_limit_pieces(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
+                      piece_ms: int = 16 * WINDOW_MS) -> DataFrame:
+    """Piece-parallel verdicts with a fixed time width per piece. ``requests``
+    may carry a ``piece`` column (any per-client monotone cut of ``ms``);
+    otherwise pieces are ``floor(ms / piece_ms)``."""
     r = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"),
-                        F.col("ms").cast("long"))
-    r = r.withColumn("piece", F.floor(F.col("ms") / F.lit(piece_ms)).cast("long"))
+                        F.col("ms").cast("long"),
+                        *([F.col("piece").cast("long")] if "piece" in requests.columns else []))
+    if "piece" not in r.columns:
+        r = r.withColumn("piece", F.floor(F.col("ms") / F.lit(piece_ms)).cast("long"))
     summary = r.groupBy("client", "piece").applyInPandas(_summarize(limit, window_ms), SUMMARY_SCHEMA)
     entries = (summary.repartition("client").sortWithinPartitions("client", "piece")
                .mapInPandas(_thread(limit, window_ms), ENTRY_SCHEMA))
@@ -215,6 +213,32 @@ def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WI
             .applyInPandas(_fold_piece(limit, window_ms), VERDICT_SCHEMA))
 
 
+def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
+               rows_per_piece: int = 1_000_000) -> DataFrame:
+    """``requests(client, request_id, ms)`` -> verdict per request, exact.
+
+    Hot groups are split, the rest take the cheap path: one partial
+    aggregate gives each client's count and time span; a client with more
+    than ``rows_per_piece`` requests is cut into time pieces of about that many
+    rows (per-client width) and goes through the piece-parallel plan; all
+    other clients go through the one-pass sorted fold."""
+    r = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"),
+                        F.col("ms").cast("long"))
+    stats = r.groupBy("client").agg(F.count(F.lit(1)).alias("_n"), F.min("ms").alias("_lo"),
+                                    F.max("ms").alias("_hi"))
+    stats = (stats.withColumn("_pieces", F.ceil(F.col("_n") / F.lit(rows_per_piece)))
+                  .withColumn("_width", F.greatest(F.lit(1).cast("long"),
+                                                   F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces"))
+                                                   .cast("long"))))
+    hot_clients = stats.filter(F.col("_pieces") > 1).select("client", "_lo", "_width")
+    cold = r.join(hot_clients.select("client"), "client", "left_anti")
+    hot = (r.join(hot_clients, "client")
+            .withColumn("piece", F.floor((F.col("ms") - F.col("_lo")) / F.col("_width")).cast("long"))
+            .drop("_lo", "_width"))
+    return rate_limit_sequential(cold, limit, window_ms).unionByName(
+        rate_limit_pieces(hot, limit, window_ms))
+
+
 def client_key(forwarded_for: str, peer: str) -> F.Column:
     """Client identity: first X-Forwarded-For entry (trimmed), else the peer
     address, else ``unknown``."""

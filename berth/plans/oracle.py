@@ -497,6 +497,7 @@ SELECT client, request_id, ms, allowed,
   CASE WHEN NOT allowed THEN CAST(ceil((60000 - (ms - anchor)) / 1000.0) AS BIGINT) END AS retry_after_sec
 FROM s""", ("fx_requests",))
 register("t1_rate_limit", "SELECT * FROM rl", (), ("rl",))
+register("t1_rate_limit_split", "SELECT * FROM rl", (), ("rl",))
 
 # ------------------------------------------------------------------ intake
 

@@ -313,20 +313,21 @@ from berth.operators import ratelimit as T  # noqa: E402
 from berth.sources import tables as S  # noqa: E402
 
 
-# Piece width for the limiter: one window here, so every fixture client spans
-# several pieces and the parallel path (summaries, threading, refold) is the
-# one checked. At scale, size pieces by rows per piece (default 16 windows).
-T1_PIECE_MS = T.WINDOW_MS
-
-
 @query("t1_rate_limit")
 def t1(spark, sf):
-    return T.rate_limit(fx.requests(spark, sf), piece_ms=T1_PIECE_MS)
+    return T.rate_limit(fx.requests(spark, sf))
+
+
+@query("t1_rate_limit_split")
+def t1_split(spark, sf):
+    """T1 with a split threshold of 25 requests, so every fixture client is a
+    'hot' client and the piece-parallel plan is the one checked."""
+    return T.rate_limit(fx.requests(spark, sf), rows_per_piece=25)
 
 
 @query("p1_triage_uploads")
 def p1(spark, sf):
-    verdicts = T.rate_limit(fx.requests(spark, sf), piece_ms=T1_PIECE_MS)
+    verdicts = T.rate_limit(fx.requests(spark, sf))
     return P.triage_uploads(fx.files(spark, sf), verdicts)
 
 

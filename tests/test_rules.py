@@ -203,5 +203,8 @@ def test_piece_parallel_limiter_equals_sequential(spark):
     df = spark.createDataFrame(rows, "client long, request_id long, ms long")
     seq = T.rate_limit_sequential(df)
     for piece in (1000, 30000, 60000, 600000):
-        par = T.rate_limit(df, piece_ms=piece)
+        par = T.rate_limit_pieces(df, piece_ms=piece)
         assert seq.exceptAll(par).count() == 0 and par.exceptAll(seq).count() == 0, piece
+    for rows in (10, 77, 10**6):
+        mixed = T.rate_limit(df, rows_per_piece=rows)
+        assert seq.exceptAll(mixed).count() == 0 and mixed.exceptAll(seq).count() == 0, rows
