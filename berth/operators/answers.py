@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from berth.functions import prompts
 from berth.functions.expr import (dmy_impossible, first_by, json_object_ok, last_by, parse_dmy,
