@@ -200,22 +200,26 @@ def low_confidence_prompt(file_name: Column, mime: Column,
 
 def followup_requests(attempts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Repair prompts for unparseable first answers; hint prompts (file name +
-    MIME) for files whose chosen answer is LOW."""
+    MIME) for files whose chosen answer is LOW. One parse and one
+    ``groupBy(file key)``; each file emits zero, one or two prompt rows."""
     key = key or FILE_KEY
     a = parse_extractions(attempts)
-    first = a.filter((F.col("stage") == "INITIAL") & F.col("error_message").isNull())
-    repair = first.filter(~F.col("ok")).select(
-        *key, F.lit("REPAIR").alias("kind"), repair_prompt(F.col("raw_text")).alias("prompt"))
-    chosen = a.filter(F.col("stage").isin("INITIAL", "REPAIR") & F.col("ok")
-                      & F.col("error_message").isNull())
-    # the answer a LOW retry follows is the parseable INITIAL, else the REPAIR
-    pick = chosen.groupBy(*key).agg(
+    usable = (F.col("stage").isin("INITIAL", "REPAIR") & F.col("ok") & F.col("error_message").isNull())
+    g = a.groupBy(*key).agg(
+        last_by(["attempt_no"], F.struct("raw_text", "ok", "error_message"),
+                F.col("stage") == "INITIAL").alias("i"),
+        # the answer a LOW retry follows is the parseable INITIAL, else the REPAIR
         first_by(["attempt_no"], F.struct("file_name", "mime_type",
-                                          F.col("parsed.detection.confidence").alias("conf"))).alias("c"))
-    low = pick.filter(F.col("c.conf") == "LOW").select(
-        *key, F.lit("LOW_CONF_RETRY").alias("kind"),
-        low_confidence_prompt(F.col("c.file_name"), F.col("c.mime_type")).alias("prompt"))
-    return repair.unionByName(low)
+                                          F.col("parsed.detection.confidence").alias("conf")),
+                 usable).alias("c"))
+    repair = F.when(F.col("i").isNotNull() & F.col("i.error_message").isNull() & ~F.col("i.ok"),
+                    F.struct(F.lit("REPAIR").alias("kind"),
+                             repair_prompt(F.col("i.raw_text")).alias("prompt")))
+    low = F.when(F.col("c.conf") == "LOW",
+                 F.struct(F.lit("LOW_CONF_RETRY").alias("kind"),
+                          low_confidence_prompt(F.col("c.file_name"), F.col("c.mime_type")).alias("prompt")))
+    return (g.select(*key, F.explode(F.array(repair, low)).alias("f"))
+             .filter(F.col("f").isNotNull()).select(*key, "f.kind", "f.prompt"))
 
 
 # X7 -----------------------------------------------------------------------

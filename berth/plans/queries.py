@@ -542,9 +542,12 @@ from berth.streaming import streams as ST  # noqa: E402
 def _land(df, name, order_col, slices=3, by=None):
     """Land ``df`` as time-ordered file slices (each key's rows of a slice in
     one file) for a file-source stream."""
-    path = shared_dir(df.sparkSession, f"landing/{name}")
-    d = df.repartition(*[F.col(c) for c in by]) if by else df
-    ST.land_in_order(d, path, order_col, slices)
+    spark = df.sparkSession
+    path = shared_dir(spark, f"landing/{name}")
+    # stage the input once so the slices do not recompute its whole plan
+    stage = shared_dir(spark, f"staging/{name}")
+    (df.repartition(*[F.col(c) for c in by]) if by else df).write.parquet(stage)
+    ST.land_in_order(spark.read.schema(df.schema).parquet(stage), path, order_col, slices)
     return path, df.schema
 
 
