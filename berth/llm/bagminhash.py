@@ -16,8 +16,9 @@ and only class representatives meet in band buckets. A bucket never emits all
 its pairs: its members are checked against its most central member first,
 what is linked becomes one component, and only pairs between different
 components that could still be similar are checked after that, the bucket's
-largest component against the rest. Every check is exact: overlap of the
-shingle multisets.
+largest component against the rest. A document's shingles that no other one
+of these holds bound its overlap with any, so strongly edited copies drop out
+before the pairs. Every check is exact: overlap of the shingle multisets.
 
 Defined results: null, empty or wordless texts are never similar to anything;
 rows that share a doc_id and text are copies, of which the first in no
@@ -39,6 +40,8 @@ BANDS, ROWS = 32, 6
 SHINGLE, THRESHOLD = 5, 0.8
 # A bucket row of the last step meets at most so many rows in one salted part.
 SPLIT = 512
+# Ids are broadcast up to this number (8 MB), counted before.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +160,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "set"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the documents with these ids. The ids are broadcast where
+    there are few of them, else the texts are shuffled to them."""
+    ids = cut(ids.select("id").distinct())
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    few = ids.count() <= BROADCAST_IDS
+    need = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return cut(need.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the candidate pairs (src, dst) those whose shingle multisets overlap
     by at least the threshold."""
-    pairs = cut(pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    need = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(need, "id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
+    pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     both = (pairs.join(sets.select(F.col("id").alias("dst"), F.col("set").alias("b")), "dst")
             .join(sets.select(F.col("id").alias("src"), F.col("set").alias("a")), "src"))
     # a pair can only reach the threshold if the sizes do
@@ -173,6 +183,16 @@ def _links(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         F.col("c") >= (F.col("s") - F.col("c")) * F.lit(threshold) - F.lit(1e-9)).select("src", "dst")
 
 
+def _shareable(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, most): size of a document's multiset, and how much of it any
+    other of these documents holds. No pair overlaps in more."""
+    own = sets.join(ids, "id", "left_semi")
+    alone = (own.select("id", F.explode("set").alias("s")).groupBy("s")
+             .agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u")))
+    return own.select("id", F.size("set").alias("n")).join(alone, "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+
+
 def _may_be_similar(a: str, b: str, threshold: float):
     """Sketches differ in no more places than six standard deviations above
     what the threshold predicts."""
@@ -209,8 +229,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     central = band.groupBy("id").agg(F.sum("size").alias("weight"))
     band = cut(band.join(central, "id"))
     lead = band.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("lead"))
-    star = band.join(lead, "band").select(F.col("lead.id").alias("src"), F.col("id").alias("dst"))
-    links = cut(_links(star, docs, threshold))
+    star = cut(band.join(lead, "band").select(F.col("lead.id").alias("src"), F.col("id").alias("dst")).distinct())
+    sets = _set_table(star.select(F.col("dst").alias("id")), docs)
+    links = cut(_links(star, sets, threshold))
     comp = cut(components(links))
 
     # what is left: pairs of a bucket in different components
@@ -219,21 +240,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     count = at.groupBy("band", "comp").agg(F.count("*").alias("k"))
     big = count.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("size"),
                                     F.count("*").alias("comps")).where("comps > 1")
-    at = cut(at.join(big, "band").join(reps.select("id", "sketch"), "id")
-             .select("band", "id", "comp", "sketch", (F.col("comp") == F.col("m.comp")).alias("largest"),
+    at = cut(at.join(big, "band"))
+    # a document with too many shingles of its own is similar to none
+    share = _shareable(sets, at.select("id").distinct()).where(F.col("most") >= F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    at = cut(at.join(share, "id").join(reps.select("id", "sketch"), "id")
+             .select("band", "id", "comp", "sketch", "n", "most", (F.col("comp") == F.col("m.comp")).alias("largest"),
                      F.ceil(F.col("size") / SPLIT).cast("int").alias("parts")))
     left = at.where("not largest").select(
-        "band", F.col("id").alias("src"), F.col("comp").alias("c1"), F.col("sketch").alias("s1"),
-        F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
+        "band", F.col("id").alias("src"), F.col("comp").alias("c1"), F.col("sketch").alias("s1"), F.col("n").alias("n1"),
+        F.col("most").alias("m1"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
     right = at.select(
-        "band", F.col("id").alias("dst"), F.col("comp").alias("c2"), F.col("sketch").alias("s2"), "largest",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        "band", F.col("id").alias("dst"), F.col("comp").alias("c2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"),
+        F.col("most").alias("m2"), "largest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    overlap = F.least("m1", "m2")
     rest = (left.join(right, ["band", "salt"])
             .where((F.col("c1") != F.col("c2")) & (F.col("largest") | (F.col("src") < F.col("dst")))
+                   & (overlap >= (F.col("n1") + F.col("n2") - overlap) * F.lit(threshold) - F.lit(1e-9))
                    & _may_be_similar("s1", "s2", threshold))
-            .select("src", "dst").distinct().join(star.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct(),
-                                                  (F.least("src", "dst") == F.col("x")) & (F.greatest("src", "dst") == F.col("y")), "left_anti"))
-    more = _links(rest, docs, threshold)
+            .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    done = star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    more = _links(rest.join(done, ["src", "dst"], "left_anti"), sets, threshold)
     comp = cut(components(links.union(more)))
     grouped = (member.join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
                .select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("group_id")))
