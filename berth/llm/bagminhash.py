@@ -16,9 +16,9 @@ and only class representatives meet in band buckets. A bucket never emits all
 its pairs: its members are checked against its most central member first,
 what is linked becomes one component, and only pairs between different
 components that could still be similar are checked after that, the bucket's
-largest component against the rest. A document's shingles that no other one
-of these holds bound its overlap with any, so strongly edited copies drop out
-before the pairs. Every check is exact: overlap of the shingle multisets.
+largest component against the rest. Two bounds drop strongly edited copies
+before a pair is made: the shingles that no other document holds, and hash
+cells that only one document of the pair fills. Every check is exact: overlap of the shingle multisets.
 
 Defined results: null, empty or wordless texts are never similar to anything;
 rows that share a doc_id and text are copies, of which the first in no
@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 6
 SHINGLE, THRESHOLD = 5, 0.8
 # A bucket row of the last step meets at most so many rows in one salted part.
 SPLIT = 512
+# Hash cells whose occupation bounds an overlap; the top ten bits of a shingle.
+CELLS = 1 << 10
 # Ids are broadcast up to this number (8 MB), counted before.
 BROADCAST_IDS = 1_000_000
 
@@ -153,21 +155,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(first)
             occ = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
             with np.errstate(over="ignore"):
-                tagged = mix64(h + occ.astype(np.uint64) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+                tagged = mix64(h + occ.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
             edges = np.searchsorted(row, np.arange(b.num_rows + 1))
+            cell = (tagged >> np.uint64(54)).astype(np.int64)
+            bits = np.zeros((b.num_rows, CELLS // 64), np.uint64)
+            np.bitwise_or.at(bits, (row, cell // 64), np.uint64(1) << (cell % 64).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tagged))],
-                names=["id", "set"])
+                [b.column("id"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tagged.view(np.int64))),
+                 pa.array(list(bits.view(np.int64)), pa.list_(pa.int64()))], names=["id", "set", "cells"])
 
 
 def _set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, set) of the documents with these ids. The ids are broadcast where
+    """(id, set, cells) of the documents with these ids. The ids are broadcast where
     there are few of them, else the texts are shuffled to them."""
     ids = cut(ids.select("id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     few = ids.count() <= BROADCAST_IDS
     need = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return cut(need.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
+    return cut(need.mapInArrow(_sets, "id long, set array<long>, cells array<long>").dropDuplicates(["id"]))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -184,13 +189,20 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _shareable(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, most): size of a document's multiset, and how much of it any
-    other of these documents holds. No pair overlaps in more."""
+    """(id, n, most, cells): size of a document's multiset, and how much of it
+    any other of these documents holds. No pair overlaps in more."""
     own = sets.join(ids, "id", "left_semi")
     alone = (own.select("id", F.explode("set").alias("s")).groupBy("s")
              .agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u")))
-    return own.select("id", F.size("set").alias("n")).join(alone, "id", "left").select(
-        "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    return own.select("id", F.size("set").alias("n"), "cells").join(alone, "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"), "cells")
+
+
+def _missing(a: str, b: str):
+    """Cells of a document that the other leaves empty: each holds at least
+    one shingle they don't share."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(1, CELLS // 64)),
+               F.bit_count(F.col(a)[0].bitwiseAND(F.bitwise_not(F.col(b)[0]))))
 
 
 def _may_be_similar(a: str, b: str, threshold: float):
@@ -244,15 +256,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a document with too many shingles of its own is similar to none
     share = _shareable(sets, at.select("id").distinct()).where(F.col("most") >= F.col("n") * F.lit(threshold) - F.lit(1e-9))
     at = cut(at.join(share, "id").join(reps.select("id", "sketch"), "id")
-             .select("band", "id", "comp", "sketch", "n", "most", (F.col("comp") == F.col("m.comp")).alias("largest"),
+             .select("band", "id", "comp", "sketch", "cells", "n", "most", (F.col("comp") == F.col("m.comp")).alias("largest"),
                      F.ceil(F.col("size") / SPLIT).cast("int").alias("parts")))
     left = at.where("not largest").select(
-        "band", F.col("id").alias("src"), F.col("comp").alias("c1"), F.col("sketch").alias("s1"), F.col("n").alias("n1"),
+        "band", F.col("id").alias("src"), F.col("comp").alias("c1"), F.col("sketch").alias("s1"), F.col("cells").alias("b1"), F.col("n").alias("n1"),
         F.col("most").alias("m1"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
     right = at.select(
-        "band", F.col("id").alias("dst"), F.col("comp").alias("c2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"),
+        "band", F.col("id").alias("dst"), F.col("comp").alias("c2"), F.col("sketch").alias("s2"), F.col("cells").alias("b2"), F.col("n").alias("n2"),
         F.col("most").alias("m2"), "largest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    overlap = F.least("m1", "m2")
+    overlap = F.least(F.col("m1"), F.col("m2"), F.col("n1") - _missing("b1", "b2"), F.col("n2") - _missing("b2", "b1"))
     rest = (left.join(right, ["band", "salt"])
             .where((F.col("c1") != F.col("c2")) & (F.col("largest") | (F.col("src") < F.col("dst")))
                    & (overlap >= (F.col("n1") + F.col("n2") - overlap) * F.lit(threshold) - F.lit(1e-9))
