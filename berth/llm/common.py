@@ -59,6 +59,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def match_ends(df: DataFrame, found: str, gaps: str, out: str, step: int = 256) -> DataFrame:
+    """``df`` with the end offset of every match, from the matches of a
+    pattern and the gaps that splitting by it leaves. Sums run over parts of
+    ``step`` matches, then inside them, as an array grows by copying."""
+    def scan(a, zero):
+        return F.aggregate(a, F.array(zero), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    n = F.size(found)
+    size = lambda i: F.length(F.get(gaps, i)) + F.length(F.get(found, i))
+    part = lambda c: F.transform(F.sequence(c * step, F.least(c * step + step - 1, n - 1)), size)
+    df = df.withColumn("_parts", F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), part)))
+    df = df.withColumn("_bases", scan(F.transform("_parts", lambda p: F.aggregate(p, F.lit(0), lambda x, v: x + v)), F.lit(0)))
+    return df.withColumn(out, F.flatten(F.transform(
+        "_parts", lambda p, i: F.slice(scan(p, F.get("_bases", i)), F.lit(2), F.size(p))))).drop("_parts", "_bases")
+
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

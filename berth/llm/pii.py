@@ -23,18 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berth.llm.common import cut, prepare
+from berth.llm.common import cut, match_ends, prepare
 
 ROUNDS, SUPPORT, CONFIDENCE, PRIOR = 3, 5, 0.8, 1.0
 KINDS = ("email", "ip", "card", "phone")
 
 # Possessive where the next thing can't begin inside the run, so no pattern
 # backtracks or recurses on long input. A local part only starts at the start
-# of its run or where the last match ended: no later start can match.
+# of its run or where the last match ended: no later start can match. A card's
+# run of fewer than 16 digits fails as a whole, so it is not matched at all.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 # White-space separated tokens with at least five digits.
@@ -49,14 +50,10 @@ def _place(text: Column, pattern: str, some: Column) -> Column:
     return F.when(some, F.struct(found.alias("found"), gaps.alias("gaps")))
 
 
-def _spans(raw: Column) -> Column:
+def _spans(raw: Column, ends: Column) -> Column:
     found, gaps = raw["found"], raw["gaps"]
-    # running ends: gap, match, gap, match ...
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)), F.array(F.lit(0)),
-        lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1)))))
     one = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(
-        (F.get(ends, i) - F.length(F.get(found, i - 1))).alias("start"), F.get(ends, i).alias("end"),
+        (F.get(ends, i - 1) - F.length(F.get(found, i - 1))).alias("start"), F.get(ends, i - 1).alias("end"),
         F.get(found, i - 1).alias("value"), F.get(gaps, i - 1).alias("before"), F.get(gaps, i).alias("after")))
     return F.when(raw.isNotNull() & (F.size(found) > 0), one).otherwise(
         F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>"))
@@ -86,7 +83,10 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     some = {"email": F.instr(t, "@") > 0, "phone": F.instr(t, "+") > 0}
     out = docs.select("*", *[_place(t, p, some.get(k, digit)).alias(f"_{k}") for k, p in PATTERNS.items()],
                       _place(t, TOKEN, digit).alias("_token"))
-    out = out.select("*", *[_spans(F.col(f"_{k}")).alias(f"_all_{k}") for k in KINDS], _spans(F.col("_token")).alias("_tokens"))
+    for k in (*KINDS, "token"):
+        out = match_ends(out, f"_{k}.found", f"_{k}.gaps", f"_ends_{k}")
+    out = out.select(*docs.columns, *[_spans(F.col(f"_{k}"), F.col(f"_ends_{k}")).alias(f"_all_{k}") for k in KINDS],
+                     _spans(F.col("_token"), F.col("_ends_token")).alias("_tokens"))
     lean = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
     # of the gaps only the words next to a token are kept
     near = lambda s: F.struct(
