@@ -15,7 +15,8 @@ Where none are given, ``weak_labels`` labels candidates of provider formats
 and of quoted or keyed assignments as secrets and the rest as none.
 
 Defined results: a null or empty text has no candidate; equal rows each keep
-their findings; without labels of both kinds the labels' own rule decides;
+their findings; with fewer than ``MIN_LABELS`` labelled findings of either kind
+the labels' own rule decides;
 extra columns are ignored by ``scan`` and kept by ``redact``.
 """
 
@@ -27,11 +28,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berth.llm.common import cut, prepare
+from berth.llm.common import cut, match_ends, prepare
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 FIT_ROWS = 10_000
 WORD_MIN = 5  # occurrences of a dictionary word
+MIN_LABELS = 20  # of each label, or the labels' rule decides
 MASK = "[SECRET]"
 
 # Public key formats, and names that secrets are assigned to.
@@ -51,11 +53,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     src = docs.select(F.col("doc_id"), F.struct(
         F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, F.lit(1), "doc_id").alias("b")).alias("key"),
         F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(t, CANDIDATE, -1).alias("gaps"))
-    src = src.where(F.size("found") > 0).withColumn("ends", F.aggregate(
-        F.sequence(F.lit(0), F.size("found") - 1), F.array(F.lit(0)),
-        lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get("gaps", i)) + F.length(F.get("found", i))))))
+    src = match_ends(src.where(F.size("found") > 0), "found", "gaps", "ends")
     one = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(
-        (F.get("ends", i + 1) - F.length(F.get("found", i))).cast("long").alias("start"), F.get("ends", i + 1).cast("long").alias("end"),
+        (F.get("ends", i) - F.length(F.get("found", i))).cast("long").alias("start"), F.get("ends", i).cast("long").alias("end"),
         F.get("found", i).alias("value"), F.substring(F.get("gaps", i), -40, 40).alias("left"),
         F.substring(F.get("gaps", i + 1), 1, 40).alias("right")))
     return src.select("doc_id", "key", F.explode(one).alias("c")).select("doc_id", "key", "c.*")
@@ -135,13 +135,14 @@ def draw_labelled(cands: DataFrame, label: Column, rows: int = FIT_ROWS) -> Data
 
 def train(labelled: DataFrame, words: DataFrame) -> tuple[RandomForestClassificationModel | None, DataFrame]:
     """Forest and neighbour rates from labelled findings (value, left, right,
-    label). None without both labels."""
+    label). No forest with too few of either label."""
     rates = cut(neighbour_rates(labelled))
     rows = features(labelled, words, rates)
     vec = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select(
         "features", F.col("label").cast("double").alias("label"), "value")
     vec = cut(vec.repartition(1).sortWithinPartitions("value", "label"))  # the bounded sample; in one order, so one forest
-    if vec.select("label").distinct().count() < 2:
+    n = {r["label"]: r["count"] for r in vec.groupBy("label").count().collect()}
+    if min(n.get(0.0, 0), n.get(1.0, 0)) < MIN_LABELS:
         return None, rates
     forest = RandomForestClassifier(numTrees=24, maxDepth=6, seed=11, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
     return forest.fit(vec.select("features", "label")), rates
