@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from berth.llm.common import prepare, slices
 
 DIM = 2048
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 
 # Languages by family; a language not named here is a family of its own.
 FAMILIES = {
@@ -74,18 +74,19 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 15) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by dual coordinate descent; y is +1 / -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, a = np.zeros(x1.shape[1]), np.zeros(len(x1))
-    d = (x1 * x1).sum(1) + 1 / (2 * c)
+    w, b, a = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
+    d = np.einsum("ij,ij->i", x, x) + 1 + 1 / (2 * c)  # the bias is a constant feature
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(x1)):
-            g = y[i] * (x1[i] @ w) - 1 + a[i] / (2 * c)
+        for i in rng.permutation(len(x)):
+            g = y[i] * (x[i] @ w + b) - 1 + a[i] / (2 * c)
             new = max(a[i] - g / d[i], 0.0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x1[i]
+                step = (new - a[i]) * y[i]
+                w += step * x[i]
+                b += step
                 a[i] = new
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w.astype(np.float32), float(b)
 
 
 def family_of(lang: str) -> str:
@@ -168,9 +169,13 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
            .mapInArrow(_feature_rows, "lang string, x binary").toArrow())
     if not got.num_rows:
         return {"families": {}, "top": [], "within": {}}
-    order = np.argsort(np.array([r["lang"] + r["x"][:64].hex() for r in got.to_pylist()]))  # not task order
-    x = np.stack([np.frombuffer(v, np.float32) for v in got.column("x").to_pylist()])[order]
-    return fit(x, np.array(got.column("lang").to_pylist(), object)[order])
+    lang = np.array(got.column("lang").to_pylist(), object)
+    x = np.empty((got.num_rows, DIM), np.float32)
+    for i, v in enumerate(got.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    del got
+    order = np.lexsort((x[:, 1], x[:, 0], x.sum(1), lang.astype(str)))  # not the order of tasks
+    return fit(x[order], lang[order])
 
 
 def _predict_rows(batches: Iterator[pa.RecordBatch], col: str, model) -> Iterator[pa.RecordBatch]:
