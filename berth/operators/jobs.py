@@ -180,9 +180,9 @@ ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def notifications(jobs: DataFrame, secret: str | None) -> DataFrame:
-    """One outbox row per terminal job: JSON payload and signature header
+    """One outbox row per terminal job that has a webhook URL: JSON payload and signature header
     (``sha256=<hex>`` HMAC of the body; empty without a secret)."""
-    t = jobs.filter(F.col("status").isin(*TERMINAL))
+    t = jobs.filter(F.col("status").isin(*TERMINAL) & F.col("webhook_url").isNotNull())
     opts = {"ignoreNullFields": "false"}
     common = [F.col("job_id").cast("string").alias("jobId"),
               F.col("session_id").cast("string").alias("sessionId"),

@@ -293,10 +293,10 @@ def blockers(base: DataFrame, ext: DataFrame, as_of: str) -> DataFrame:
                 F.concat(F.col("flags_critical").cast("string"), F.lit(MSG_CRIT_FLAGS)).alias("text")))))
         .alias("p", "b")).filter(F.col("b").isNotNull()).select(
         "session_id", F.col("b.ord").alias("ord"), F.lit(0).alias("sort_key"),
-        F.lit(None).cast("long").alias("doc_id"), F.col("b.text").alias("text"))
+        F.lit(None).cast(ext.schema["id"].dataType).alias("doc_id"), F.col("b.text").alias("text"))
     missing = base.select("session_id", F.posexplode("missing_critical").alias("pos", "code")).select(
         "session_id", F.lit(1).alias("ord"), F.col("pos").cast("int").alias("sort_key"),
-        F.lit(None).cast("long").alias("doc_id"),
+        F.lit(None).cast(ext.schema["id"].dataType).alias("doc_id"),
         F.concat(F.lit(MSG_MISSING), F.col("code")).alias("text"))
     expired = expiry_timeline(ext, as_of).filter(F.col("urgency") == "EXPIRED").select(
         "session_id", F.lit(2).alias("ord"), F.col("days_until_expiry").alias("sort_key"),
@@ -339,7 +339,7 @@ def compliance_report_nested(sessions: DataFrame, ext: DataFrame, validations: D
     """R12 in the reference's nested shape (one folder per row): inventory,
     timeline, flag items and blockers as arrays. Nested arrays are built last
     from long-form rows, keyed and sorted per session."""
-    base = report_base(sessions, ext, validations, as_of).cache()
+    base = report_base(sessions, ext, validations, as_of)
     timeline = (expiry_timeline(ext, as_of).groupBy("session_id").agg(
         F.sort_array(F.collect_list(F.struct("days_until_expiry", "created_at", "id",
                                              "document_type", "document_name",

@@ -454,7 +454,7 @@ SELECT job_id, event, body,
   'sha256=' || sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode(body)))) AS signature
 FROM (SELECT job_id, CASE WHEN status = 'COMPLETE' THEN 'JOB_COMPLETED' ELSE 'JOB_FAILED' END AS event,
         CAST({body} AS VARCHAR) AS body
-      FROM fx_jobs_full WHERE status IN ('COMPLETE', 'FAILED'))"""
+      FROM fx_jobs_full WHERE status IN ('COMPLETE', 'FAILED') AND webhook_url IS NOT NULL)"""
 
 
 register("j7_notifications", _j7_sql("whsec_test"), ("fx_jobs_full",))

@@ -116,15 +116,10 @@ def write_snapshot(df: DataFrame, path: str, partition_cols: list[str],
     would become one task): every task sorts its rows by partition value (one
     open writer at a time) and then ``sort_cols`` (tight min/max stats for
     skipping, e.g. ``session_id``), capping file size by record count."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.sortWithinPartitions(*partition_cols, *(sort_cols or []))
-           .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
-           .partitionBy(*partition_cols).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.sortWithinPartitions(*partition_cols, *(sort_cols or []))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .option("maxRecordsPerFile", max_records_per_file)
+       .partitionBy(*partition_cols).parquet(path))
 
 
 def snapshot_path(spark: SparkSession, name: str) -> str:
