@@ -176,7 +176,8 @@ def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataF
             .when(l_err, low["error_message"]))
     stage = F.when(adopt, "LOW_CONF_RETRY").when(use_i, "INITIAL").when(r_ok, "REPAIR")
     raw = (F.when(i_err, F.lit(None).cast("string"))
-            .when(adopt, low["raw_text"]).when(use_i, i["raw_text"]).otherwise(r["raw_text"]))
+            .when(adopt, low["raw_text"]).when(use_i, i["raw_text"])
+            .otherwise(F.coalesce(r["raw_text"], i["raw_text"])))
     retry = need_r.cast("int") + low_run.cast("int")
     out = g.select(*key, err.alias("error_message"), stage.alias("stage"), raw.alias("raw_text"),
                    retry.alias("retry_count"))

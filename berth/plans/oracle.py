@@ -139,7 +139,7 @@ SELECT session_id, validation_id, overall_status, overall_score FROM (
   FROM fx_validations v) WHERE rn = 1""", ("fx_validations",))
 frag("blk", """
 SELECT session_id, 1 AS ord, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS sort_key,
-  CAST(NULL AS BIGINT) AS doc_id, 'Missing required document: ' || document_type AS text
+  CAST(NULL AS VARCHAR) AS doc_id, 'Missing required document: ' || document_type AS text
 FROM missing WHERE impact = 'CRITICAL'
 UNION ALL
 SELECT session_id, 2, days_until_expiry, id,
@@ -214,16 +214,16 @@ frag("gone_e", """
 SELECT id FROM fx_ext WHERE session_id IN (SELECT session_id FROM del_s)
 UNION SELECT id FROM fx_ext WHERE status = 'FAILED'""", ("fx_ext",), ("del_s",))
 register("q8_cascade_delete", """
-SELECT 'extractions' AS tbl, id AS row_id, session_id, CAST(NULL AS BIGINT) AS ref_id FROM fx_ext
+SELECT 'extractions' AS tbl, id AS row_id, session_id, CAST(NULL AS VARCHAR) AS ref_id FROM fx_ext
 WHERE session_id NOT IN (SELECT session_id FROM del_s) AND status <> 'FAILED'
 UNION ALL
-SELECT 'jobs', job_id, session_id, CASE WHEN extraction_id IN (SELECT id FROM gone_e) THEN NULL ELSE extraction_id END
+SELECT 'jobs', CAST(job_id AS VARCHAR), session_id, CASE WHEN extraction_id IN (SELECT id FROM gone_e) THEN NULL ELSE extraction_id END
 FROM fx_jobs WHERE session_id NOT IN (SELECT session_id FROM del_s)
 UNION ALL
-SELECT 'validations', validation_id, session_id, NULL FROM fx_validations
+SELECT 'validations', CAST(validation_id AS VARCHAR), session_id, NULL FROM fx_validations
 WHERE session_id NOT IN (SELECT session_id FROM del_s)
 UNION ALL
-SELECT 'sessions', session_id, session_id, NULL FROM fx_sessions WHERE session_id NOT IN (SELECT session_id FROM del_s)
+SELECT 'sessions', CAST(session_id AS VARCHAR), session_id, NULL FROM fx_sessions WHERE session_id NOT IN (SELECT session_id FROM del_s)
 """, ("fx_ext", "fx_jobs", "fx_validations", "fx_sessions"), ("del_s", "gone_e"))
 
 # ------------------------------------------------------------------ report
@@ -536,7 +536,7 @@ WHERE session_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_sessions s WHERE s
 # ----------------------------------------------------------------- sources
 
 register("s1_read_table", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
 register("s2_intake_files", """
 SELECT upload_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS file_hash,
   length(to_base64(encode(text))) AS b64_len, file_name, mime_type
@@ -626,7 +626,7 @@ FROM (
          WHEN NOT COALESCE(c_det, false) THEN 'Cannot read properties of undefined (reading ''confidence'')'
          WHEN l_err THEN l_msg END AS error_message,
     CASE WHEN adopt THEN 'LOW_CONF_RETRY' WHEN use_i THEN 'INITIAL' WHEN r_ok THEN 'REPAIR' END AS stage0,
-    CASE WHEN i_err THEN NULL WHEN adopt THEN l_raw WHEN use_i THEN i_raw ELSE r_raw END AS raw_text,
+    CASE WHEN i_err THEN NULL WHEN adopt THEN l_raw WHEN use_i THEN i_raw ELSE COALESCE(r_raw, i_raw) END AS raw_text,
     CAST(need_r AS INTEGER) + CAST(low_run AS INTEGER) AS retry_count
   FROM (
     SELECT *, low_run AND l_has AND l_msg IS NOT NULL AS l_err,
@@ -646,7 +646,7 @@ FROM (
                     {_stage('LOW_CONF_RETRY', 'l')}
                   FROM att GROUP BY session_id, fid)))))))""", (), ("att",))
 register("x5_resolve_attempts", """
-SELECT session_id, fid, status, stage, retry_count, error_code, error_message FROM res""", (), ("res",))
+SELECT session_id, fid, status, stage, retry_count, error_code, error_message, sha256(raw_text) AS raw_sha FROM res""", (), ("res",))
 
 
 def _low_prompt_sql() -> str:
@@ -722,7 +722,7 @@ SELECT id, session_id, pos, key, label, value, importance, field_status FROM fx_
 register("x10_explode_flags", "SELECT id, session_id, pos, severity, message FROM fx_ext_flags", ("fx_ext_flags",))
 register("x11_search_fields", """
 SELECT DISTINCT id, session_id FROM fx_ext_fields WHERE contains(lower(value), 'peme')""", ("fx_ext_fields",))
-register("x12_upsert_extractions", """
+_X12 = """
 SELECT session_id, file_hash,
   COALESCE(CAST(arg_min_null(id, version) AS VARCHAR), sha256(CAST(session_id AS VARCHAR) || ':' || file_hash)) AS id,
   arg_max_null(status, version) AS status, arg_max_null(error_code, version) AS error_code,
@@ -740,7 +740,8 @@ FROM (
     p.holder_name, p.date_of_expiry, p.is_expired
   FROM prom p JOIN (SELECT DISTINCT session_id, fid, file_hash FROM fx_llm_attempts) f
     ON f.session_id = p.session_id AND f.fid = p.fid)
-GROUP BY session_id, file_hash""", ("fx_ext", "fx_llm_attempts"), ("prom",))
+GROUP BY session_id, file_hash"""
+register("x12_upsert_extractions", _X12, ("fx_ext", "fx_llm_attempts"), ("prom",))
 register("x13_usage_rollup", """
 SELECT provider, 'model-' || provider AS model, '1.0.0' AS prompt_version, COUNT(*) AS calls,
   COUNT(*) FILTER (WHERE error_message IS NULL) AS successes,
@@ -775,4 +776,6 @@ FROM fx_files WHERE text IS NOT NULL""", ("fx_files",))
 ORACLE["t2_rate_limit_stream"] = ORACLE["t1_rate_limit"]
 register("t3_dedup_stream", "SELECT DISTINCT session_id, file_hash FROM fx_upload_rows", ("fx_upload_rows",))
 ORACLE["t4_job_state_stream"] = ORACLE["j5_job_state"]
-ORACLE["t5_upsert_stream"] = ORACLE["x12_upsert_extractions"]
+# t5: files with fid % 5 = 4 are not stored yet, so their first rows have no id
+register("t5_upsert_stream", _X12.replace("1 AS version, id,", "1 AS version, CASE WHEN fid % 5 <> 4 THEN id END AS id,"),
+         ("fx_ext", "fx_llm_attempts"), ("prom",))

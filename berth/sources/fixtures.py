@@ -78,20 +78,19 @@ SELECT * FROM (VALUES
 
 FX_SESSIONS = """
 SELECT c_custkey AS session_id, c_name AS holder_name, c_nationkey AS nation FROM customer
+UNION ALL SELECT 1000000000 + s_suppkey, s_name, s_nationkey FROM supplier
 """
 
 FX_UPLOADS = """
-SELECT * FROM (
-  SELECT o_custkey AS session_id, l_partkey % 97 AS fid, CAST(l_quantity AS BIGINT) AS qty,
-    (l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 200 AS v,
-    ROW_NUMBER() OVER (PARTITION BY o_custkey
-      ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS seq
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) b
-WHERE seq <= (session_id * 7) % 45
+SELECT o_custkey AS session_id, l_partkey % 97 AS fid, CAST(l_quantity AS BIGINT) AS qty,
+  (l_orderkey * 31 + l_linenumber * 17 + l_partkey) % 200 AS v,
+  ROW_NUMBER() OVER (PARTITION BY o_custkey
+    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS seq
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 FX_EXTRACTIONS = """
-SELECT u.session_id, u.seq, u.session_id * 1000 + u.seq AS extraction_id, u.fid, t.document_type,
+SELECT u.session_id, u.seq, CAST(u.session_id AS VARCHAR(20)) || '-' || CAST(u.seq AS VARCHAR(20)) AS extraction_id, u.fid, t.document_type,
   CONCAT('Doc ', t.document_type) AS document_name, t.is_required,
   CASE WHEN u.session_id % 11 = 0 OR u.fid % 25 IN (10, 11, 12, 13) THEN 'N/A'
        WHEN u.session_id % 3 = 0 THEN 'DECK' WHEN u.session_id % 3 = 1 THEN 'ENGINE' ELSE 'BOTH' END AS applicable_role,
@@ -115,7 +114,7 @@ SELECT o_orderkey AS job_id, o_custkey AS session_id,
   CASE WHEN o_orderstatus = 'O' THEN 'QUEUED' WHEN o_orderstatus = 'F' THEN 'COMPLETE'
        WHEN o_orderkey % 2 = 0 THEN 'PROCESSING' ELSE 'FAILED' END AS status,
   o_orderdate AS queued_at,
-  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 50 <> 0 THEN o_custkey * 1000 + 1 END AS extraction_id,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 50 <> 0 THEN CAST(o_custkey AS VARCHAR(20)) || '-1' END AS extraction_id,
   o_orderkey % 4 <> 1 AS retryable, o_orderkey % 10 <> 3 AS has_file_data,
   CASE WHEN o_orderkey % 3 = 0 THEN 'https://example.com/hook' END AS webhook_url
 FROM orders
@@ -126,7 +125,7 @@ SELECT event_id AS validation_id, user_id * 7 AS session_id, ts AS created_at,
   CAST(FLOOR(value) AS BIGINT) % 101 AS overall_score,
   CASE WHEN CAST(FLOOR(value) AS BIGINT) % 101 >= 75 THEN 'APPROVED'
        WHEN CAST(FLOOR(value) AS BIGINT) % 101 >= 45 THEN 'CONDITIONAL' ELSE 'REJECTED' END AS overall_status
-FROM events WHERE event_type = 'purchase'
+FROM events
 """
 
 
@@ -290,7 +289,8 @@ def fx_llm_attempts_sql(d: Dialect) -> str:
     """LLM answers per file: INITIAL (wrapped by seq % 6), REPAIR, LOW_CONF_RETRY.
 
     FIXTURES.md fx_llm_attempts: class 5 is cut off before the last brace and
-    gets a REPAIR answer (unparseable when fid % 4 = 0); LOW rows get a
+    gets a REPAIR answer (a failed call when fid % 13 = 12, else unparseable
+    when fid % 4 = 0); LOW rows get a
     LOW_CONF_RETRY answer (LOW when fid % 3 = 0, unparseable when fid % 7 = 0).
     Calls that error carry ``error_message`` and no text.
     """
@@ -312,8 +312,8 @@ FROM fx_ext x JOIN (SELECT id, {j} AS js FROM fx_ext x) j ON j.id = x.id
 UNION ALL
 SELECT x.session_id, x.fid, x.seq, x.file_name, x.file_hash, x.mime_type,
   2 AS attempt_no, 'REPAIR' AS stage,
-  CASE WHEN x.fid % 4 = 0 THEN '{{"broken: json}}' ELSE {j} END AS raw_text,
-  CAST(NULL AS VARCHAR(200)) AS error_message
+  CASE WHEN x.fid % 13 = 12 THEN NULL WHEN x.fid % 4 = 0 THEN '{{"broken: json}}' ELSE {j} END AS raw_text,
+  CASE WHEN x.fid % 13 = 12 THEN 'LLM API error 500: upstream' END AS error_message
 FROM fx_ext x WHERE x.seq % 6 = 5 AND x.seq % 29 <> 28
 UNION ALL
 SELECT x.session_id, x.fid, x.seq, x.file_name, x.file_hash, x.mime_type,
@@ -321,24 +321,29 @@ SELECT x.session_id, x.fid, x.seq, x.file_name, x.file_hash, x.mime_type,
   CASE WHEN x.fid % 11 = 10 THEN NULL
        WHEN x.fid % 7 = 0 THEN 'Sorry, I cannot read this document.' ELSE {j_hi} END AS raw_text,
   CASE WHEN x.fid % 11 = 10 THEN 'LLM API error 503: overloaded' END AS error_message
-FROM fx_ext x WHERE x.confidence = 'LOW' AND x.seq % 29 <> 28 AND (x.seq % 6 <> 5 OR x.fid % 4 <> 0)
+FROM fx_ext x WHERE x.confidence = 'LOW' AND x.seq % 29 <> 28 AND (x.seq % 6 <> 5 OR (x.fid % 4 <> 0 AND x.fid % 13 <> 12))
 """
 
 
 def fx_files_sql(d: Dialect) -> str:
-    """Uploads derived from ``documents`` (FIXTURES.md fx_files) plus request fields."""
+    """Uploads derived from ``documents`` (FIXTURES.md fx_files) plus request
+    fields, and one request without a file per supplier."""
     return """
 SELECT doc_id AS upload_id, doc_id AS request_id, doc_id % 150 AS client,
   CASE WHEN doc_id % 4 = 0 THEN 'image/jpeg' WHEN doc_id % 4 = 1 THEN 'image/png'
        WHEN doc_id % 4 = 2 THEN 'application/pdf' ELSE 'text/plain' END AS mime_type,
   'doc' || CAST(doc_id AS VARCHAR(20)) AS file_name,
   n_chars * 1000 AS size_bytes,
-  CASE WHEN doc_id % 50 = 49 THEN NULL ELSE text END AS text,
+  text,
   CASE WHEN doc_id % 5 = 0 THEN 'SYNC' WHEN doc_id % 5 = 1 THEN 'sync' WHEN doc_id % 5 = 2 THEN 'Async' END AS mode,
   CASE WHEN doc_id % 7 = 0 THEN 'https://hooks.example.com/done' WHEN doc_id % 7 = 1 THEN 'ftp://files.example.com/x'
        WHEN doc_id % 7 = 2 THEN 'not a url' WHEN doc_id % 7 = 3 THEN 'http://10.0.0.5:8080/cb' END AS webhook_url,
   CASE WHEN doc_id % 3 = 0 THEN doc_id % 150 * 7 WHEN doc_id % 3 = 1 THEN 900000 + doc_id END AS session_id
 FROM documents
+UNION ALL
+SELECT -s_suppkey, -s_suppkey, s_suppkey % 150, 'image/png', 'none' || CAST(s_suppkey AS VARCHAR(20)), 0, NULL,
+  'sync', NULL, NULL
+FROM supplier
 """
 
 
@@ -356,7 +361,7 @@ SELECT * FROM (VALUES
 FX_JOB_EVENTS = """
 SELECT j.job_id, k.seq, k.kind, j.job_id * 100 + k.seq AS at_ms,
   CASE WHEN k.kind = 'completed' THEN j.extraction_id
-       WHEN k.kind = 'final_failed' THEN j.session_id * 1000 + 2 END AS extraction_id,
+       WHEN k.kind = 'final_failed' THEN CAST(j.session_id AS VARCHAR(20)) || '-2' END AS extraction_id,
   CASE WHEN k.kind IN ('attempt_failed', 'final_failed') THEN j.error_message END AS error_message,
   CASE WHEN k.kind IN ('attempt_failed', 'final_failed') THEN CAST((k.seq - 1) / 2 AS BIGINT) END AS attempt
 FROM fx_jobs_full j JOIN fx_job_event_kinds k ON k.status = j.status
