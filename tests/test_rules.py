@@ -164,10 +164,12 @@ def test_notifications_signature_and_unsigned(spark):
     import hmac
     jobs = spark.createDataFrame(
         [(1, 2, 3, "COMPLETE", None, None, dt.datetime(2024, 1, 1, 0, 0, 5), "https://x"),
-         (4, 5, None, "FAILED", "LLM_ERROR", 'bad "quote"', dt.datetime(2024, 1, 1), None)],
+         (4, 5, None, "FAILED", "LLM_ERROR", 'bad "quote"', dt.datetime(2024, 1, 1), "https://y"),
+         (6, 5, None, "FAILED", "LLM_ERROR", "no URL", dt.datetime(2024, 1, 1), None)],
         "job_id long, session_id long, extraction_id long, status string, error_code string, "
         "error_message string, completed_at timestamp, webhook_url string")
     out = {r.job_id: r for r in J.notifications(jobs, "s3cret").collect()}
+    assert set(out) == {1, 4}  # a job without a webhook URL gets no message
     assert out[1].body == ('{"event":"JOB_COMPLETED","jobId":"1","sessionId":"2","extractionId":"3",'
                            '"status":"COMPLETE","timestamp":"2024-01-01T00:00:05.000Z"}')
     assert out[4].body.endswith('"error":{"code":"LLM_ERROR","message":"bad \\"quote\\""},'
@@ -188,7 +190,6 @@ def test_cascade_delete_nulls_job_links(spark):
     assert [r.session_id for r in out["sessions"].collect()] == [2]
     assert {(r.job_id, r.extraction_id) for r in out["jobs"].collect()} == {(20, None), (30, None)}
     assert out["validations"].count() == 0 and out["extractions"].count() == 0
-    assert F is not None
 
 
 def test_piece_parallel_limiter_equals_sequential(spark):
