@@ -2,13 +2,20 @@
 request after the previous window ended; the first ``limit`` requests of a
 window pass; rejected requests never move the window.
 
-The window anchors depend only on each client's arrival times, so the fold
-is: sort each client's requests, jump from anchor to the first request at or
-after ``anchor + window`` (``searchsorted``), and let the first ``limit`` rows
-of every window pass. Spark hash-partitions by client and sorts within
-partitions; ``mapInPandas`` walks the sorted Arrow batches with O(1) carried
-state (the open window of the client at the batch edge), so memory is one
-batch regardless of how many requests a client sends.
+One plan for every client. The requests are range-partitioned by (client, ms,
+request_id), so a burst of one client is cut like any other rows, and stored
+once. What crosses a cut is the open window of one client, (anchor, used):
+
+1. ``_edges``: each partition says what state it leaves behind. A client that
+   starts inside the partition leaves one state. A client that fills the whole
+   partition leaves one state per entry: an entry only matters through the
+   first request at or after ``anchor + window``, which is one of the times of
+   the partition's first window or the first after it. Chains from all these
+   times are followed at once; chains that meet are merged.
+2. ``_thread``: the states are passed along each client's partitions.
+3. ``_fold_batches``: each partition is folded from its true entry.
+
+All three walk Arrow batches in order and carry O(window) state at most.
 """
 
 from __future__ import annotations
@@ -20,12 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berth.session import ensure_checkpoint_dir, ship_package
+
 # Fixed values (reference settings).
 RATE_LIMIT = 10
 WINDOW_MS = 60_000
 
-VERDICT_SCHEMA = ("client long, request_id long, ms long, allowed boolean, "
-                  "retry_after_ms long, retry_after_sec long")
+ORDER = ["client", "ms", "request_id"]
+
+
+def verdict_schema(requests: DataFrame) -> str:
+    """Client and request ids keep their own types."""
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema}
+    return (f"client {kind['client']}, request_id {kind['request_id']}, ms long, allowed boolean, "
+            "retry_after_ms long, retry_after_sec long")
 
 
 def _fold_client(t: np.ndarray, state: tuple[int, int] | None, limit: int, window: int):
@@ -52,191 +67,157 @@ def _fold_client(t: np.ndarray, state: tuple[int, int] | None, limit: int, windo
     return allowed, anchors, (anchor, tokens)
 
 
+def _runs(clients: np.ndarray) -> list[tuple[int, int]]:
+    """Contiguous runs of one client."""
+    cuts = np.flatnonzero(clients[1:] != clients[:-1]) + 1
+    return list(zip([0, *cuts], [*cuts, len(clients)], strict=True))
+
+
+def verdicts(client, request_id, t: np.ndarray, allowed: np.ndarray, anchors: np.ndarray, window: int) -> pd.DataFrame:
+    retry = np.where(allowed, 0, window - (t - anchors))
+    return pd.DataFrame({
+        "client": client, "request_id": request_id, "ms": t, "allowed": allowed,
+        "retry_after_ms": pd.array(np.where(allowed, None, retry), dtype="Int64"),
+        "retry_after_sec": pd.array(np.where(allowed, None, -(-retry // 1000)), dtype="Int64"),
+    })
+
+
 def _fold_batches(limit: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_client = None
         state = None
+        first = True
         for pdf in batches:
             if pdf.empty:
                 continue
             clients = pdf["client"].to_numpy()
+            if first and pd.notna(pdf["in_anchor"].iloc[0]):
+                cur_client = clients[0]
+                state = int(pdf["in_anchor"].iloc[0]), limit - int(pdf["in_used"].iloc[0])
+            first = False
             t = pdf["ms"].to_numpy(dtype=np.int64)
             allowed = np.zeros(len(pdf), dtype=bool)
             anchors = np.empty(len(pdf), dtype=np.int64)
-            # contiguous runs of one client (rows arrive sorted by client, ms, id)
-            cuts = np.flatnonzero(clients[1:] != clients[:-1]) + 1
-            starts = np.concatenate(([0], cuts))
-            ends = np.concatenate((cuts, [len(pdf)]))
-            for s, e in zip(starts, ends):
+            for s, e in _runs(clients):
                 c = clients[s]
                 st = state if c == cur_client else None
-                a, anc, state = _fold_client(t[s:e], st, limit, window)
-                allowed[s:e] = a
-                anchors[s:e] = anc
+                allowed[s:e], anchors[s:e], state = _fold_client(t[s:e], st, limit, window)
                 cur_client = c
-            retry = np.where(allowed, 0, window - (t - anchors))
-            out = pd.DataFrame({
-                "client": pdf["client"].astype("int64"),
-                "request_id": pdf["request_id"].astype("int64"),
-                "ms": t,
-                "allowed": allowed,
-                "retry_after_ms": pd.array(np.where(allowed, None, retry), dtype="Int64"),
-                "retry_after_sec": pd.array(np.where(allowed, None, -(-retry // 1000)), dtype="Int64"),
-            })
-            yield out
+            yield verdicts(pdf["client"], pdf["request_id"], t, allowed, anchors, window)
     return run
 
 
-def rate_limit_sequential(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
-                          partitions: int | None = None) -> DataFrame:
-    """One ordered pass per client (hash-partitioned, sorted, O(1) state).
-    Exact and memory-bounded, but a client's requests are one task."""
-    r = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"),
-                        F.col("ms").cast("long"))
-    r = r.repartition(partitions, "client") if partitions else r.repartition("client")
-    r = r.sortWithinPartitions("client", "ms", "request_id")
-    return r.mapInPandas(_fold_batches(limit, window_ms), VERDICT_SCHEMA)
-
-
-# --------------------------------------------------------------------------
-# Piece-parallel form: a hot client is split into time pieces.
-#
-# The window state entering a piece is (anchor a, passed u). Only requests
-# before a + W use it; the first request at or after a + W starts a fresh
-# chain, and a + W < piece start + W, so that request is one of the
-# "candidates" in the piece's first window. Phase 1 computes, per piece and in
-# parallel, the exit state for every candidate; phase 2 threads the state
-# through the pieces of a client using only these small tables; phase 3 folds
-# every piece in parallel from its true entry.
-# --------------------------------------------------------------------------
-
-SUMMARY_SCHEMA = ("client long, piece long, n long, t0 long, cand_t array<long>, "
-                  "a_last array<long>, u_last array<long>")
-ENTRY_SCHEMA = "client long, piece long, i0 long, a_in long, u_in long"
-
-
-def _summarize(limit: int, window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "request_id"], kind="stable")
-        t = pdf["ms"].to_numpy(dtype=np.int64)
-        n = len(t)
-        m = int(np.searchsorted(t, t[0] + window, side="left"))
-        cand = np.arange(min(m, n - 1) + 1)
-        p = cand.copy()
-        active = np.ones(len(p), dtype=bool)
-        while active.any():
-            q = np.searchsorted(t, t[p[active]] + window, side="left")
-            step = q < n
-            idx = np.flatnonzero(active)
-            p[idx[step]] = q[step]
-            active[idx[~step]] = False
-        return pd.DataFrame({
-            "client": [int(pdf["client"].iloc[0])], "piece": [int(pdf["piece"].iloc[0])],
-            "n": [n], "t0": [int(t[0])], "cand_t": [t[cand]],
-            "a_last": [t[p]], "u_last": [np.minimum(limit, n - p)],
-        })
+class _Chains:
+    """Windows of one client from every possible entry, over batches of sorted
+    times. Chain i stands for entries whose ``anchor + window`` lies above
+    ``until[i - 1]`` and not above ``until[i]``."""
+
+    def __init__(self, t0: int, window: int):
+        self.window, self.end, self.open, self.n = window, t0 + window, True, 0
+        self.until = self.anchor = self.used = np.zeros(0, np.int64)
+
+    def add(self, t: np.ndarray) -> None:
+        self.n += len(t)
+        pos = np.zeros(len(self.until), np.int64)
+        if self.open:
+            stop = int(np.searchsorted(t, self.end, side="left"))
+            self.open = stop == len(t)
+            times, at = np.unique(t[:stop + 1], return_index=True)
+            if len(self.until):
+                new = times > self.until[-1]
+                times, at = times[new], at[new]
+            self.until = np.concatenate((self.until, times))
+            self.anchor = np.concatenate((self.anchor, times))
+            self.used = np.concatenate((self.used, np.zeros(len(times), np.int64)))
+            pos = np.concatenate((pos, at))
+        act = np.arange(len(self.until))
+        while len(act):
+            stop = np.maximum(np.searchsorted(t, self.anchor[act] + self.window, side="left"), pos[act])
+            self.used[act] += stop - pos[act]
+            pos[act] = stop
+            more = stop < len(t)
+            act, stop = act[more], stop[more]
+            self.anchor[act] = t[stop]
+            self.used[act] = 0
+        keep = np.append(self.anchor[1:] != self.anchor[:-1], True)  # chains that met go on as one
+        self.until, self.anchor, self.used = self.until[keep], self.anchor[keep], self.used[keep]
+
+
+def _edges(limit: int, window: int):
+    """(client, part, n, until, anchor, used): a row without chains asks for
+    the entry of the partition's first client; one with chains also says what
+    the partition leaves behind."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = first = cur = state = chains = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            clients = pdf["client"].to_numpy()
+            t = pdf["ms"].to_numpy(dtype=np.int64)
+            runs = _runs(clients)
+            if part is None:
+                part, first, chains = int(pdf["part"].iloc[0]), clients[0], _Chains(int(t[0]), window)
+            if cur is None and clients[0] == first:
+                chains.add(t[slice(*runs[0])])
+            s, e = runs[-1]  # clients that end inside the batch leave nothing
+            if clients[s] != first:
+                _, _, state = _fold_client(t[s:e], state if clients[s] == cur else None, limit, window)
+                cur = clients[s]
+        if part is None:
+            return
+        if cur is None:
+            rows = [(first, part, chains.n, chains.until, chains.anchor, np.minimum(chains.used, limit))]
+        else:
+            anchor, tokens = state
+            rows = [(first, part, 0, [], [], []), (cur, part, 0, [anchor], [anchor], [limit - tokens])]
+        yield pd.DataFrame(rows, columns=["client", "part", "n", "until", "anchor", "used"])
     return run
 
 
 def _thread(limit: int, window: int):
+    """Entry (part, in_anchor, in_used) of every partition whose first client
+    comes from the one before; input sorted by client and part."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, a, u = None, None, 0
         for pdf in batches:
-            out = {"client": [], "piece": [], "i0": [], "a_in": [], "u_in": []}
+            out = []
             for row in pdf.itertuples(index=False):
                 if row.client != cur:
                     cur, a, u = row.client, None, 0
-                cand_t = np.asarray(row.cand_t, dtype=np.int64)
-                if a is None or a + window <= row.t0:
-                    i0, a_in, u_in = 0, -1, 0
-                else:
-                    i0 = int(np.searchsorted(cand_t, a + window, side="left"))
-                    a_in, u_in = a, u
-                    if i0 >= len(cand_t) and len(cand_t) == row.n:
-                        i0 = int(row.n)            # the whole piece is in the carried window
-                out["client"].append(row.client)
-                out["piece"].append(row.piece)
-                out["i0"].append(i0)
-                out["a_in"].append(a_in)
-                out["u_in"].append(u_in)
-                if i0 >= row.n:
+                if a is not None:
+                    out.append((row.part, a, u))
+                if not len(row.until):
+                    continue
+                i = 0 if a is None else int(np.searchsorted(row.until, a + window, side="left"))
+                if i == len(row.until):          # the whole partition is in the carried window
                     u = min(limit, u + int(row.n))
                 else:
-                    a, u = int(row.a_last[i0]), int(row.u_last[i0])
-            yield pd.DataFrame(out)
-    return run
-
-
-def _fold_piece(limit: int, window: int):
-    def run(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=["client", "request_id", "ms", "allowed",
-                                         "retry_after_ms", "retry_after_sec"])
-        rows = rows.sort_values(["ms", "request_id"], kind="stable")
-        t = rows["ms"].to_numpy(dtype=np.int64)
-        e = entry.iloc[0]
-        i0, a_in, u_in = int(e["i0"]), int(e["a_in"]), int(e["u_in"])
-        allowed = np.zeros(len(t), dtype=bool)
-        anchors = np.empty(len(t), dtype=np.int64)
-        k = min(i0, len(t))
-        if k:                                   # requests still in the carried window
-            allowed[:k] = (u_in + np.arange(k)) < limit
-            anchors[:k] = a_in
-        if k < len(t):
-            a, anc, _ = _fold_client(t[k:], None, limit, window)
-            allowed[k:], anchors[k:] = a, anc
-        retry = np.where(allowed, 0, window - (t - anchors))
-        return pd.DataFrame({
-            "client": rows["client"].astype("int64").to_numpy(),
-            "request_id": rows["request_id"].astype("int64").to_numpy(),
-            "ms": t, "allowed": allowed,
-            "retry_after_ms": pd.array(np.where(allowed, None, retry), dtype="Int64"),
-            "retry_after_sec": pd.array(np.where(allowed, None, -(-retry // 1000)), dtype="Int64"),
-        })
+                    a, u = int(row.anchor[i]), int(row.used[i])
+            yield pd.DataFrame(out, columns=["part", "in_anchor", "in_used"])
     return run
 
 
-def rate_limit_pieces(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
-                      piece_ms: int = 16 * WINDOW_MS) -> DataFrame:
-    """Piece-parallel verdicts with a fixed time width per piece. ``requests``
-    may carry a ``piece`` column (any per-client monotone cut of ``ms``);
-    otherwise pieces are ``floor(ms / piece_ms)``."""
-    r = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"),
-                        F.col("ms").cast("long"),
-                        *([F.col("piece").cast("long")] if "piece" in requests.columns else []))
-    if "piece" not in r.columns:
-        r = r.withColumn("piece", F.floor(F.col("ms") / F.lit(piece_ms)).cast("long"))
-    summary = r.groupBy("client", "piece").applyInPandas(_summarize(limit, window_ms), SUMMARY_SCHEMA)
-    entries = (summary.repartition("client").sortWithinPartitions("client", "piece")
-               .mapInPandas(_thread(limit, window_ms), ENTRY_SCHEMA))
-    return (r.groupBy("client", "piece").cogroup(entries.groupBy("client", "piece"))
-            .applyInPandas(_fold_piece(limit, window_ms), VERDICT_SCHEMA))
-
-
 def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = WINDOW_MS,
-               rows_per_piece: int = 1_000_000) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """``requests(client, request_id, ms)`` -> verdict per request, exact.
-
-    Hot groups are split, the rest take the cheap path: one partial
-    aggregate gives each client's count and time span; a client with more
-    than ``rows_per_piece`` requests is cut into time pieces of about that many
-    rows (per-client width) and goes through the piece-parallel plan; all
-    other clients go through the one-pass sorted fold."""
-    r = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"),
-                        F.col("ms").cast("long"))
-    stats = r.groupBy("client").agg(F.count(F.lit(1)).alias("_n"), F.min("ms").alias("_lo"),
-                                    F.max("ms").alias("_hi"))
-    stats = (stats.withColumn("_pieces", F.ceil(F.col("_n") / F.lit(rows_per_piece)))
-                  .withColumn("_width", F.greatest(F.lit(1).cast("long"),
-                                                   F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces"))
-                                                   .cast("long"))))
-    hot_clients = stats.filter(F.col("_pieces") > 1).select("client", "_lo", "_width")
-    cold = r.join(hot_clients.select("client"), "client", "left_anti")
-    hot = (r.join(hot_clients, "client")
-            .withColumn("piece", F.floor((F.col("ms") - F.col("_lo")) / F.col("_width")).cast("long"))
-            .drop("_lo", "_width"))
-    return rate_limit_sequential(cold, limit, window_ms).unionByName(
-        rate_limit_pieces(hot, limit, window_ms))
+    ``client`` and ``request_id`` are not null and keep their types; requests
+    of one client at the same ms are taken in the order of their ids.
+
+    The rows are stored once in the checkpoint folder, so that both passes see
+    the same partitions. The broadcast side has at most one row per partition."""
+    spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    r = requests.select("client", "request_id", F.col("ms").cast("long"))
+    schema = verdict_schema(r)
+    r = r.repartitionByRange(partitions, *ORDER) if partitions else r.repartitionByRange(*ORDER)
+    r = r.sortWithinPartitions(*ORDER).checkpoint().withColumn("part", F.spark_partition_id())
+    kind = r.schema["client"].dataType.simpleString()
+    edges = r.mapInPandas(_edges(limit, window_ms), f"client {kind}, part int, n long, until array<long>, "
+                                                    "anchor array<long>, used array<long>")
+    entries = (edges.repartition("client").sortWithinPartitions("client", "part")
+               .mapInPandas(_thread(limit, window_ms), "part int, in_anchor long, in_used long"))
+    return r.join(F.broadcast(entries), "part", "left").mapInPandas(_fold_batches(limit, window_ms), schema)
 
 
 def client_key(forwarded_for: str, peer: str) -> F.Column:

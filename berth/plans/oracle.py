@@ -483,7 +483,9 @@ WHERE rn <= CASE WHEN status = 'COMPLETE' THEN 1000 ELSE 5000 END""", ("fx_jobs"
 frag("rl", """
 WITH RECURSIVE r AS (
   SELECT client, request_id, ms, ROW_NUMBER() OVER (PARTITION BY client ORDER BY ms, request_id) AS rn
-  FROM fx_requests),
+  FROM (SELECT request_id, ms,
+          CASE WHEN forwarded_for IS NOT NULL THEN trim(split_part(forwarded_for, ',', 1))
+               WHEN peer IS NOT NULL THEN peer ELSE 'unknown' END AS client FROM fx_requests)),
 s AS (
   SELECT client, rn, request_id, ms, ms AS anchor, 9 AS tok, true AS allowed FROM r WHERE rn = 1
   UNION ALL

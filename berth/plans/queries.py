@@ -320,9 +320,8 @@ def t1(spark, sf):
 
 @query("t1_rate_limit_split")
 def t1_split(spark, sf):
-    """T1 with a split threshold of 25 requests, so every fixture client is a
-    'hot' client and the piece-parallel plan is the one checked."""
-    return T.rate_limit(fx.requests(spark, sf), rows_per_piece=25)
+    """T1 over so many ranges that clients and windows are cut."""
+    return T.rate_limit(fx.requests(spark, sf), partitions=64)
 
 
 @query("p1_triage_uploads")

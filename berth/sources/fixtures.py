@@ -132,7 +132,9 @@ FROM events
 def fx_requests_sql(d: Dialect) -> str:
     # Fixed: a month squeezed x10 000 (FIXTURES.md, fx_requests).
     return f"""
-SELECT user_id AS client, event_id AS request_id,
+SELECT CASE WHEN user_id % 3 = 0 THEN ' 10.0.0.' || CAST(user_id AS VARCHAR(20)) || ' , 172.16.0.1' END AS forwarded_for,
+  CASE WHEN user_id % 10 <> 1 THEN '192.168.0.' || CAST(user_id AS VARCHAR(20)) END AS peer,
+  event_id AS request_id,
   CAST(FLOOR(({d.epoch_us('ts')} - 1704067200000000) / 10000000) AS BIGINT) AS ms
 FROM events
 """
@@ -602,7 +604,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "fx_requests")
+    """Requests under their client key: header, peer or ``unknown``."""
+    from berth.operators.ratelimit import client_key
+    return view(spark, sf_dir, "fx_requests").select(
+        client_key("forwarded_for", "peer").alias("client"), "request_id", "ms")
 
 
 def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

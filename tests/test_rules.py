@@ -192,20 +192,43 @@ def test_cascade_delete_nulls_job_links(spark):
     assert out["validations"].count() == 0 and out["extractions"].count() == 0
 
 
-def test_piece_parallel_limiter_equals_sequential(spark):
+def _verdicts(rows, limit=10, window=60_000):
+    """One request after the other, as the limiter in the process does."""
+    state, out = {}, set()
+    for c, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        anchor, used = state.get(c, (None, 0))
+        if anchor is None or t - anchor >= window:
+            anchor, used = t, 0
+        left = None if used < limit else window - (t - anchor)
+        state[c] = anchor, min(limit, used + 1)
+        out.add((c, i, t, left is None, left, None if left is None else -(-left // 1000)))
+    return out
+
+
+def test_limiter_over_cut_clients(spark):
     import random
     rng = random.Random(3)
     rows = []
-    for c in range(4):
+    for c in range(5):
         t = 0
         for i in range(300):
             t += rng.choice([0, 0, 1, 7, 400, 5000, 20000, 59999, 60000, 61000])
-            rows.append((c, i, t))
-    df = spark.createDataFrame(rows, "client long, request_id long, ms long")
-    seq = T.rate_limit_sequential(df)
-    for piece in (1000, 30000, 60000, 600000):
-        par = T.rate_limit_pieces(df, piece_ms=piece)
-        assert seq.exceptAll(par).count() == 0 and par.exceptAll(seq).count() == 0, piece
-    for rows in (10, 77, 10**6):
-        mixed = T.rate_limit(df, rows_per_piece=rows)
-        assert seq.exceptAll(mixed).count() == 0 and mixed.exceptAll(seq).count() == 0, rows
+            rows.append((f"10.0.0.{c}", c * 1000 + i, t))
+    df = spark.createDataFrame(rows, "client string, request_id long, ms long")
+    want = _verdicts(rows)
+    for parts in (None, 2, 7, 40, 300):
+        got = [tuple(r) for r in T.rate_limit(df, partitions=parts).collect()]
+        assert len(got) == len(rows) and set(got) == want, parts
+
+
+def test_limiter_burst_of_one_client(spark):
+    # a third of all rows: one client inside two windows, cut into many ranges
+    rows = [("hot", i, (i * 37) % 100_000) for i in range(2000)]
+    rows += [(f"c{i % 400}", 10_000 + i, i * 53) for i in range(4000)]
+    df = spark.createDataFrame(rows, "client string, request_id long, ms long")
+    out = T.rate_limit(df, partitions=24)
+    assert {tuple(r) for r in out.collect()} == _verdicts(rows)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 1500
+    none = T.rate_limit(df.limit(0))
+    assert none.count() == 0 and none.schema["client"].dataType.simpleString() == "string"
