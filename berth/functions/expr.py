@@ -51,14 +51,10 @@ def last_by(order: list[str | Column], value: Column, cond: Column | None = None
 # LLM answer text
 # --------------------------------------------------------------------------
 
-# Fixed value: the fence pattern of the reference, lazy, optional json tag.
-FENCE_RE = r"```(?:json)?\s*([\s\S]*?)```"
-
-
 def fence_body(text: str | Column) -> Column:
     """The first fenced block's inside if a fence exists, else the text.
 
-    Same result as ``FENCE_RE`` (leftmost opening fence that has a closing
+    Same result as the lazy pattern of the reference (leftmost opening fence that has a closing
     fence after it; optional ``json`` tag; leading whitespace dropped; lazy
     body), computed with ``instr`` / ``substr`` in linear time instead of a
     backtracking lazy regex."""
@@ -81,12 +77,6 @@ def span_of_body(body: str | Column) -> Column:
     return F.when((first > 0) & (rev > 0) & (last > first), F.substr(b, first, last - first + 1))
 
 
-def json_span(text: str | Column) -> Column:
-    """Span as one expression (the fence body is repeated inside it); prefer
-    ``with_json_span`` on DataFrames so the regex runs once per row."""
-    return span_of_body(fence_body(text))
-
-
 def with_json_span(df, text: str, out: str = "span"):
     """Add the JSON span of ``text`` as column ``out``, binding the fence body
     as its own column first: a non-cheap expression referenced several times

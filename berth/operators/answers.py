@@ -19,14 +19,15 @@ from berth.functions.expr import (dmy_impossible, first_by, json_object_ok, last
                                   with_json_span)
 from berth.operators.jobs import classify_error
 
-# ExtractionResult, fixed (never inferred).
+# ExtractionResult, fixed (never inferred). The two stored flags are read as
+# text, as their columns take quoted booleans too.
 EXTRACTION_SCHEMA = (
     "detection struct<documentType string, documentName string, category string, "
-    "applicableRole string, isRequired boolean, confidence string, detectionReason string>, "
+    "applicableRole string, isRequired string, confidence string, detectionReason string>, "
     "holder struct<fullName string, dateOfBirth string, nationality string, passportNumber string, "
     "sirbNumber string, rank string, photo string>, "
     "fields array<struct<key string, label string, value string, importance string, status string>>, "
-    "validity struct<dateOfIssue string, dateOfExpiry string, isExpired boolean, daysUntilExpiry bigint, "
+    "validity struct<dateOfIssue string, dateOfExpiry string, isExpired string, daysUntilExpiry bigint, "
     "revalidationRequired boolean>, "
     "compliance struct<issuingAuthority string, regulationReference string, imoModelCourse string, "
     "recognizedAuthority boolean, limitations string>, "
@@ -231,18 +232,27 @@ def classify_failures(df: DataFrame, message: str = "error_message") -> DataFram
 
 # X8 / X9 ------------------------------------------------------------------
 
+def stored_flag(c: Column) -> Column:
+    """What a boolean column makes of a flag, given bare or quoted; null where
+    it would refuse it."""
+    on_off = F.lower(F.trim(c))
+    return F.when(on_off == "on", F.lit(True)).when(on_off == "off", F.lit(False)).otherwise(c.try_cast("boolean"))
+
+
 def promote(resolved: DataFrame) -> DataFrame:
     """Flatten the chosen answer to the promoted row. A COMPLETE answer turns
     FAILED/LLM_ERROR when a section the store dereferences is missing,
-    ``isExpired`` is null (NOT NULL column), or a date is well-formed but
-    impossible."""
+    ``isExpired`` is null (NOT NULL column), a flag is no boolean, or a date
+    is well-formed but impossible."""
     r = with_json_span(resolved, "raw_text", "_span")
     r = r.withColumn("r", F.when(F.col("status") == "COMPLETE",
                                  F.from_json("_span", EXTRACTION_SCHEMA))).drop("_span")
     v = F.col("r.validity")
+    required, expired = stored_flag(F.col("r.detection.isRequired")), stored_flag(v["isExpired"])
     bad = (F.col("r.detection").isNull() | F.col("r.holder").isNull() | v.isNull()
            | F.col("r.compliance").isNull() | F.col("r.medicalData").isNull()
-           | v["isExpired"].isNull() | dmy_impossible(v["dateOfIssue"]) | dmy_impossible(v["dateOfExpiry"]))
+           | expired.isNull() | (F.col("r.detection.isRequired").isNotNull() & required.isNull())
+           | dmy_impossible(v["dateOfIssue"]) | dmy_impossible(v["dateOfExpiry"]))
     failed_now = (F.col("status") == "COMPLETE") & bad
     status = F.when(failed_now, "FAILED").otherwise(F.col("status"))
     ok = status == "COMPLETE"
@@ -259,7 +269,7 @@ def promote(resolved: DataFrame) -> DataFrame:
         c(F.col("r.detection.documentName")).alias("document_name"),
         c(F.col("r.detection.category")).alias("category"),
         c(F.col("r.detection.applicableRole")).alias("applicable_role"),
-        c(F.col("r.detection.isRequired")).alias("is_required"),
+        c(required).alias("is_required"),
         c(F.col("r.detection.confidence")).alias("confidence"),
         c(F.col("r.holder.fullName")).alias("holder_name"),
         c(F.col("r.holder.dateOfBirth")).alias("date_of_birth"),
@@ -269,7 +279,7 @@ def promote(resolved: DataFrame) -> DataFrame:
         c(F.col("r.holder.rank")).alias("rank"),
         c(parse_dmy(v["dateOfIssue"])).alias("date_of_issue"),
         c(parse_dmy(v["dateOfExpiry"])).alias("date_of_expiry"),
-        c(v["isExpired"]).alias("is_expired"),
+        c(expired).alias("is_expired"),
         c(F.col("r.medicalData.fitnessResult")).alias("fitness_result"),
         c(F.col("r.medicalData.drugTestResult")).alias("drug_test_result"),
         c(F.col("r.medicalData.restrictions")).alias("medical_restrictions"),

@@ -703,7 +703,7 @@ SELECT session_id, fid,
   CASE WHEN ok2 THEN json_extract_string(sp, '$.detection.confidence') END AS confidence,
   CASE WHEN ok2 THEN json_extract_string(sp, '$.holder.fullName') END AS holder_name,
   CASE WHEN ok2 THEN {dmy_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")} END AS date_of_expiry,
-  CASE WHEN ok2 THEN CAST(json_extract(sp, '$.validity.isExpired') AS BOOLEAN) END AS is_expired,
+  CASE WHEN ok2 THEN TRY_CAST(json_extract_string(sp, '$.validity.isExpired') AS BOOLEAN) END AS is_expired,
   CASE WHEN ok2 THEN json_array_length(sp, '$.flags') END AS n_flags,
   CASE WHEN ok2 THEN json_array_length(sp, '$.fields') END AS n_fields
 FROM (
@@ -712,7 +712,7 @@ FROM (
       COALESCE(json_type(sp, '$.detection'), '') <> 'OBJECT' OR COALESCE(json_type(sp, '$.holder'), '') <> 'OBJECT'
       OR COALESCE(json_type(sp, '$.validity'), '') <> 'OBJECT' OR COALESCE(json_type(sp, '$.compliance'), '') <> 'OBJECT'
       OR COALESCE(json_type(sp, '$.medicalData'), '') <> 'OBJECT'
-      OR COALESCE(json_type(sp, '$.validity.isExpired'), '') <> 'BOOLEAN'
+      OR TRY_CAST(json_extract_string(sp, '$.validity.isExpired') AS BOOLEAN) IS NULL
       OR {dmy_bad_sql("json_extract_string(sp, '$.validity.dateOfIssue')")}
       OR {dmy_bad_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")}) AS bad
     FROM (SELECT *, CASE WHEN status = 'COMPLETE' THEN {span_sql('raw_text')} END AS sp FROM res)))""", (), ("res",))

@@ -277,7 +277,8 @@ def _extraction_json(d: Dialect, conf_sql: str) -> str:
         "x.document_type || '-' || CAST(x.fid AS VARCHAR(20)) || "
         "'\",\"importance\":\"CRITICAL\",\"status\":\"OK\"}],\"validity\":{\"dateOfIssue\":' || "
         f"{issue} || ',\"dateOfExpiry\":' || {expiry} || ',\"isExpired\":' || "
-        "CASE WHEN x.fid % 83 = 82 THEN 'null' WHEN x.is_expired THEN 'true' ELSE 'false' END || "
+        # fid % 19 = 7: the flag comes quoted
+        "CASE WHEN x.fid % 83 = 82 THEN 'null' WHEN x.fid % 19 = 7 THEN CASE WHEN x.is_expired THEN '\"true\"' ELSE '\"false\"' END WHEN x.is_expired THEN 'true' ELSE 'false' END || "
         "',\"daysUntilExpiry\":null,\"revalidationRequired\":null},\"compliance\":{\"issuingAuthority\":\"MARINA\","
         "\"regulationReference\":' || " + _json_str("x.regulation_reference") + " || "
         "',\"imoModelCourse\":null,\"recognizedAuthority\":true,\"limitations\":null},\"medicalData\":{\"fitnessResult\":' || "

@@ -179,3 +179,8 @@ def test_request_rows_shapes(spark):
         assert probe in body
         parsed = json.loads(body)
         assert parsed is not None
+
+
+def test_stored_flags_take_quoted_booleans(spark):
+    df = spark.createDataFrame([("true",), (" False ",), ("on",), ("1",), ("maybe",), (None,)], "v string")
+    assert [r[0] for r in df.select(X.stored_flag(df["v"])).collect()] == [True, False, True, True, None, None]
