@@ -393,6 +393,22 @@ def test_pii_context_discovers_unseen(spark):
     assert got[700] == "context:5:15" and got[701] == "" and got[605].startswith("ip:5:")
     assert not any("context" in got[100 + k] for k in range(200))  # its pattern is right only once in ten
 
+def test_pii_context_of_whole_spans(spark):
+    rows = [(k, f"write to mail: jane.q{chr(97 + k)}@corp.example soon") for k in range(20)]
+    rows += [(100 + k, f"please ring +1 (017) 555-{7000 + k} now") for k in range(200)]
+    cards = [c for c in (f"4111 1111 1111 {k:04d}" for k in range(400)) if any(x.startswith("card") for x in pii_spans(c))]
+    rows += [(400 + k, f"pay with visa {c} thanks") for k, c in enumerate(cards)]
+    rows += [(900, "old mail: jane(at)corp.example here"), (901, "the visa 5500-0000 0000 thanks")]
+    rows += [(910 + k, f"we ring 202-555-01{k:02d} often") for k in range(12)]  # found in the first round
+    rows += [(950, "dial 30355 often"), (951, "dial 30355 seldom"), (952, "mail: nobody else")]  # by them, in the next
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    find = lambda i: [text[i][int(a):int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",") if s) if k == "context"]
+    assert find(900) == ["jane(at)corp.example"] and find(901) == ["5500-0000 0000"]
+    assert [find(910 + k) for k in range(12)] == [[f"202-555-01{k:02d}"] for k in range(12)]
+    assert find(950) == find(951) == ["30355"] and find(952) == []
+    assert all(not find(i) for i in text if i < 900)
+
 # --- pipeline ------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
