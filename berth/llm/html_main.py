@@ -33,12 +33,14 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+/?)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+_TO_END = frozenset("script style textarea title".split())  # without an end tag they run to the end of the page
 _DROP = frozenset("nav footer aside form menu dialog button fieldset label input head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Whole attributes: a name, and its value where one is given.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CHROME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|"
     r"masthead|cookies?\w*|consent|notices?|gdpr|popup|modal|newsletter|subscribe|subscription|sign-?up|login|share|sharing|"
@@ -66,6 +68,23 @@ def _is_chrome(name: str, attrs: str, in_article: int) -> bool:
     return False
 
 
+def _raw_ends(page: str, name: str) -> dict[int, int]:
+    """Start of each start tag -> end of its end tag. Script and the like end
+    at the next end tag, others may be nested; a tag without an end has none."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(?:(/{name}\s*)|{name}(?=[\s/>])((?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+|[^>]*))>", page, re.I):
+        if m[1] is None:
+            if name in _TO_END or not m[2].endswith("/"):
+                opened.append(m.start())
+        elif name in _TO_END:
+            out.update((k, m.end()) for k in opened)
+            opened.clear()
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside a marked article) per line; a
     dropped element leaves empty lines behind."""
@@ -104,6 +123,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     flush(1 if article else WIDTH)
             article -= marks
 
+    ends: dict[str, dict[int, int]] = {}
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -126,9 +146,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 if stack[k][2] or (stack[k][1] and name not in _BLOCK):
                     break  # a stray end tag never closes its surroundings
             continue
-        if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if name in _RAW and (name in _TO_END or not attrs.endswith("/")):
+            if name not in ends:
+                ends[name] = _raw_ends(page, name)
+            at = ends[name].get(m.start(), n if name in _TO_END else at)
             continue
         if name == "br" or name in ("td", "th", "option"):
             say(" ")
@@ -144,8 +165,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if name in _VOID or attrs.endswith("/"):
             continue
         drops = _is_chrome(name, attrs, article)
-        marks = not dropped and not drops and (name in ("article", "main") or bool(
-            re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attrs, re.I)))
+        marks = not dropped and not drops and (name in ("article", "main") or any(
+            m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in ("main", "article")
+            for m in _ATTR.finditer(attrs)))
         if drops and not dropped:
             flush(1 if article else WIDTH)
         dropped += drops

@@ -146,6 +146,20 @@ def test_main_text_edges(spark):
     assert sorted((r["text"], r["n_chars"]) for r in html_main.extract_main_text(df).collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert html_main.extract_main_text(df.limit(0)).count() == 0
 
+def test_main_text_loose_markup():
+    f = html_main.main_text
+    body = "<article><p>The first paragraph of the article.</p>%s<p>The second paragraph of the article.</p></article>"
+    want = "The first paragraph of the article.\n\nThe second paragraph of the article."
+    for odd in ("<svg class=icon />", "<svg/>", "<select><option>", "<video src=a>", "<object data=b>", "<script>if (a<b) x</script>"):
+        assert f(odd + body % "") == f(body % odd) == want
+    assert f(body % "<svg/>" + "<svg><text>x</text></svg>") == want
+    assert f(body % "<script>") == f(body % "<script/>") == "The first paragraph of the article."
+    assert f("<svg class=icon>" + body % "" + "<svg><text>x</text></svg>") == f("<svg><svg>x</svg>y</svg>" + body % "") == want
+    for attr in ('data-hidden="false"', 'title="hidden treasure"', 'data-id="search"', "data-class=ad", 'alt="class=ad"'):
+        assert f(body % f"<p {attr}>Kept.</p>") == want.replace("\n\n", "\n\nKept.\n\n")
+    for attr in ("hidden", 'id="search"', "class=ad", 'ARIA-HIDDEN="true"', "title=x hidden", "role='search'"):
+        assert f(body % f"<p {attr}>Gone.</p>") == want
+
 # --- op4 ---------------------------------------------------------------------
 
 def test_secrets_found_and_masked(spark):
