@@ -1,15 +1,18 @@
 """Main-text extraction by line-block distribution (operator 3).
 
 Markup is stripped into lines, one per block element. Elements that are never
-article text (scripts, menus, forms, adverts, reader comments ...) become
-empty lines. Over the lines' text lengths, without link text, a window of
-``WIDTH`` lines is summed: text starts where the sum surges above a threshold
-and ends at the dive, where the whole window is empty. The lines between are
-kept whole, in page order.
+article text (scripts, menus, forms, adverts, reader comments ...) are dropped.
+Where the page marks its article (``article`` or ``main``, or their role), all
+lines inside are kept and none outside.
 
-The threshold is ``SURGE`` characters, or half the page's largest window where
-the page has less, so short articles are kept too. Where the page marks its
-article (``article`` or ``main``, or their role), lines outside are empty.
+Elsewhere an element dropped outside every container leaves empty lines. Over
+the lines' text lengths, without link text, a window of ``WIDTH`` lines is
+summed: text starts where the sum surges above a threshold and ends at the
+dive, where the whole window is empty. The lines between are kept whole, in
+page order, with the link lines next to them in their container; stretches are
+one where the container of one's edge holds the other's edge. The threshold is
+``SURGE`` characters, or half the page's largest window where the page has
+less, so short articles are kept too.
 
 Null, empty or markup-only html gives an empty text; repeated pages are each
 extracted; very long pages are read whole; other columns pass through.
@@ -47,6 +50,8 @@ _CHROME = re.compile(
     r"social|related|recommended|comments?|disqus|respond|replies|reader-?comments?|pager|pagination|toolbar|search|skip|"
     r"widget|site-?header|page-?header|site-?footer|tags?|legal|copyright)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+_HOLDERS = frozenset(  # containers; body and html are the page itself
+    "article aside blockquote center details div dl fieldset figure footer form header main menu nav ol section table ul".split())
 _CLOSES_P = _BLOCK - {"body", "html"}
 
 
@@ -85,23 +90,26 @@ def _raw_ends(page: str, name: str) -> dict[int, int]:
     return out
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside a marked article) per line; a
-    dropped element leaves empty lines behind."""
-    lines: list[tuple[str, int, bool]] = []
+def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
+    """(text, characters outside links, inside a marked article, container)
+    per line, and the last container inside each container. Containers are
+    numbered as they open; 0 is the page."""
+    lines: list[tuple[str, int, bool, int]] = []
+    last, inside = [0], [0]  # by container; those open now
     parts: list[str] = []
     linked = [0]
     stack: list[tuple[str, bool, bool]] = []  # name, starts a drop, marks the article
     dropped = article = in_link = 0
 
-    def flush(gap: int = 0) -> None:
+    def flush(dropping: bool = False) -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append((text, max(0, len(text) - linked[0]), article > 0))
+                lines.append((text, max(0, len(text) - linked[0]), article > 0, inside[-1]))
             linked[0] = 0
-        lines.extend([("", 0, False)] * gap)
+        if dropping and not article and len(inside) == 1:
+            lines.extend([("", 0, False, 0)] * WIDTH)
 
     def say(text: str) -> None:
         if not dropped and text:
@@ -117,10 +125,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 in_link = max(0, in_link - 1)
             if name in _BLOCK and not dropped:
                 flush()
+            if name in _HOLDERS:
+                last[inside.pop()] = len(last) - 1
             if drops:
                 dropped -= 1
                 if not dropped:
-                    flush(1 if article else WIDTH)
+                    flush(True)
             article -= marks
 
     ends: dict[str, dict[int, int]] = {}
@@ -169,45 +179,67 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in ("main", "article")
             for m in _ATTR.finditer(attrs)))
         if drops and not dropped:
-            flush(1 if article else WIDTH)
+            flush(True)
+        if name in _HOLDERS:
+            inside.append(len(last))
+            last.append(0)
         dropped += drops
         article += marks
         in_link += name == "a"
         stack.append((name, drops, marks))
     close(0)
     flush()
-    return lines
-
-
-def kept_lines(lines: list[tuple[str, int, bool]], width: int = WIDTH, surge: int = SURGE) -> list[str]:
-    """Surge and dive over sliding windows of the lines' lengths."""
-    if any(x[2] and x[0] for x in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-        size = [len(x[0]) for x in lines]
-    else:
-        size = [x[1] if 2 * x[1] >= len(x[0]) else 0 for x in lines]
-    n = len(lines)
-    window = [sum(size[i:i + width]) for i in range(n)]
+    last[0] = len(last) - 1
+    return lines, last
+
+
+def kept_lines(lines: list[tuple[str, int, bool, int]], last: list[int], width: int = WIDTH, surge: int = SURGE) -> list[str]:
+    """All lines of a marked article, else surge and dive over sliding windows
+    of the lines' lengths."""
+    marked = [x[0] for x in lines if x[2] and x[0]]
+    if marked:
+        return marked
+    at = [k for k, x in enumerate(lines) if x[0]]  # lines with text
+    size = [x[1] if 2 * x[1] >= len(x[0]) else 0 for x in lines]
+    window = [sum(size[i:i + width]) for i in range(len(lines))]
     top = max(window, default=0)
     if not top:
         return []
-    need = min(surge, top / 2)
-    out, i = [], 0
-    while i < n:
-        if not window[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and window[j]:
+
+    def holds(a: int, b: int) -> bool:  # the container of line a has line b, the page only its own lines
+        c, d = lines[a][3], lines[b][3]
+        return c == d or 0 < c <= d <= last[c]
+
+    runs: list[list[int]] = []  # first and last place in ``at``
+    for k, i in enumerate(at):
+        if window[i]:
+            if runs and runs[-1][1] == k - 1 and all(window[at[k - 1]:i]):
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+    joined: list[list[int]] = []
+    for n, (i, j) in enumerate(runs):
+        floor = joined[-1][1] if joined else -1
+        while i - 1 > floor and holds(at[i], at[i - 1]):
+            i -= 1
+        end = runs[n + 1][0] if n + 1 < len(runs) else len(at)
+        while j + 1 < end and holds(at[j], at[j + 1]):
             j += 1
-        if max(window[i:j]) >= need:  # a surge lies between here and the dive
-            out += [lines[k][0] for k in range(i, j) if lines[k][0]]
-        i = j
-    return out
+        if joined and i == floor + 1 and _same(lines[at[floor]][3], lines[at[i]][3], last):
+            joined[-1][1] = j
+        else:
+            joined.append([i, j])
+    need = min(surge, top / 2)
+    return [lines[at[k]][0] for i, j in joined if max(window[at[i]:at[j] + 1]) >= need for k in range(i, j + 1)]
+
+
+def _same(c: int, d: int, last: list[int]) -> bool:
+    """One container is the other or holds it."""
+    return c <= d <= last[c] or d <= c <= last[d]
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(kept_lines(page_lines(page))) if page else ""
+    return "\n\n".join(kept_lines(*page_lines(page))) if page else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.RecordBatch]:

@@ -146,6 +146,18 @@ def test_main_text_edges(spark):
     assert sorted((r["text"], r["n_chars"]) for r in html_main.extract_main_text(df).collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert html_main.extract_main_text(df.limit(0)).count() == 0
 
+def test_main_text_keeps_short_parts():
+    f = html_main.main_text
+    long = "A long paragraph that holds the story itself and has well over eighty characters, as most of them do."
+    cut = "<div class=share>Share this</div><div class=ad>Buy this now</div>"
+    page = f"<h1>Short title</h1>{cut}<p>{long}</p>{cut}<h2>Sub</h2>{cut}{cut}<p>The end.</p>"
+    want = f"Short title\n\n{long}\n\nSub\n\nThe end."
+    for tag in ("article", "main", "div", "section", "body"):
+        assert f(f"<nav>Menu</nav><{tag}>{page}</{tag}><footer>Foot</footer>") == want, tag
+    links = "<p><a href=a>More about this story on the next page</a></p>"
+    assert f(f"<nav>Menu</nav><div>{page}{links}</div><footer>Foot</footer>") == want + "\n\nMore about this story on the next page"
+    assert f(f"<div>Small print</div><nav>Menu</nav><div>{page}</div><footer>Foot</footer>") == want
+
 def test_main_text_loose_markup():
     f = html_main.main_text
     body = "<article><p>The first paragraph of the article.</p>%s<p>The second paragraph of the article.</p></article>"
