@@ -1,7 +1,8 @@
 """Secret scan with a random forest against false positives (operator 4).
 
 DataFrame functions and Spark ML only. Candidates are runs of at least 16 key
-characters. A candidate's features are its length, its character transitions
+characters, and after a name that secrets are assigned to the whole quoted or
+white-space delimited value of at least ``KEYED_MIN`` characters. A candidate's features are its length, its character transitions
 (share of class changes, share of digits and of upper case, distinct
 characters, and how unlikely its letter pairs are in the corpus), the share of
 its characters that dictionary words of the corpus cover, whether it is part
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from berth.llm.common import cut, match_ends, prepare
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 FIT_ROWS = 10_000
+KEYED_MIN = 6
 WORD_MIN = 5  # occurrences of a dictionary word
 MIN_LABELS = 20  # of each label, or the labels' rule decides
 MASK = "[SECRET]"
@@ -39,8 +40,17 @@ MASK = "[SECRET]"
 # Public key formats, and names that secrets are assigned to.
 FORMATS = (r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|"
            r"sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})$")
-KEYS = (r"(?i)(?:^|[^a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|access[_-]?key|private[_-]?key|"
-        r"credentials?|bearer)[\"']?\s*[=:]{1,2}>?\s*[\"']?$")
+NAMES = r"(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|auth|access[_-]?key|private[_-]?key|credentials?|bearer)"
+KEYS = rf"(?i)(?:^|[^a-z]){NAMES}[\"']?\s*[=:]{{1,2}}>?\s*[\"']?$"
+
+# A look behind is bounded, so up to 8 white-space characters stand on a side
+# of the sign; the cheap ones come first. A quoted value runs to its quote, any
+# other to white space, without the punctuation that ends it.
+_AFTER = r"(?<=[=:>\s\"'])(?<=[=:]>?\s{0,8}%s)(?<=(?i:(?:^|[^a-z])" + NAMES + r")[\"']?\s{0,8}[=:]{1,2}>?\s{0,8}%s)"
+KEYED = "|".join((
+    *(_AFTER % (q, q) + rf"(?! )[^{q}\r\n]{{{KEYED_MIN},}}+(?={q})" for q in ('"', "'")),
+    _AFTER % ("[\"']?", "[\"']?") + rf"(?![\"'=:>\s])\S{{{KEYED_MIN},}}(?<=[^.,;:)\]}}\"'])(?!\S*[^\s.,;:)\]}}\"'])"))
+CANDIDATE = KEYED + r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 
 FEATURES = ("f_length", "f_changes", "f_digits", "f_upper", "f_distinct", "f_pairs", "f_dictionary",
             "f_path", "f_neighbour", "f_assign", "f_quote")
@@ -56,7 +66,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     src = match_ends(src.where(F.size("found") > 0), "found", "gaps", "ends")
     one = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.struct(
         (F.get("ends", i) - F.length(F.get("found", i))).cast("long").alias("start"), F.get("ends", i).cast("long").alias("end"),
-        F.get("found", i).alias("value"), F.substring(F.get("gaps", i), -40, 40).alias("left"),
+        F.get("found", i).alias("value"),
+        # a long name before the sign may be a match of its own
+        F.substring(F.concat(F.substring(F.coalesce(F.get("found", i - 1), F.lit("")), -40, 40),
+                             F.substring(F.get("gaps", i), -40, 40)), -40, 40).alias("left"),
         F.substring(F.get("gaps", i + 1), 1, 40).alias("right")))
     return src.select("doc_id", "key", F.explode(one).alias("c")).select("doc_id", "key", "c.*")
 
@@ -90,7 +103,7 @@ def _neighbour() -> Column:
 def features(cands: DataFrame, words: DataFrame, rates: DataFrame) -> DataFrame:
     """Candidates with their features. Each distinct value is worked on once."""
     v, low, n = F.col("value"), F.lower("value"), F.length("value").cast("double")
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9"), "+/_=-", "-----")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9"), "[^Aa9]", "-")
     changes = n - F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
     pairs = letter_pairs(words)
     at = F.sequence(F.lit(1), F.length(low) - 1)
@@ -169,10 +182,13 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the found values replaced by ``MASK``."""
+    """``docs`` with the found values replaced by ``MASK``; a value of fewer
+    than 16 characters only where it stands alone."""
     per = findings.groupBy("key").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
     key = F.struct(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, F.lit(1), "doc_id").alias("b"))
     out = docs.withColumn("_key", key).join(per.withColumnRenamed("key", "_key"), "_key", "left")
     clean = F.when(F.col("_values").isNull(), F.col(text)).otherwise(
-        F.aggregate("_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))))
+        F.aggregate("_values", F.col(text), lambda t, v: F.when(F.length(v) >= 16, F.replace(t, v, F.lit(MASK))).otherwise(
+            F.regexp_replace(t, F.concat(F.lit("(?<![A-Za-z0-9])"), F.regexp_replace(v, r"([^A-Za-z0-9\s])", r"\\$1"),
+                                         F.lit("(?![A-Za-z0-9])")), F.lit(MASK)))))
     return out.withColumn(text, clean).select(*docs.columns)

@@ -196,6 +196,20 @@ def test_secrets_edges(spark):
     assert secrets.scan(df.limit(0)).count() == 0
     assert secrets.redact(df, secrets.scan(df)).count() == df.count()
 
+def test_secrets_short_keyed_values(spark):
+    want = {1: ["hunter2!x9"], 2: ["Tr0ub4dor&3"], 3: ["a1b2c3d4e5f6"], 4: ["my pass 4 you"], 5: [], 6: ["p4ss,w0rd"], 7: ["zq81kf.x"], 8: []}
+    rows = [(1, "set password=hunter2!x9 and not xhunter2!x9 there"), (2, "pwd: Tr0ub4dor&3."), (3, 'api_key="a1b2c3d4e5f6", next'),
+            (4, "passwd = 'my pass 4 you'"), (5, "password: unknown to them, pwd=a1"), (6, "(secret=p4ss,w0rd);"),
+            (7, "the_long_name_of_my_token=zq81kf.x end"), (8, "compassword2=abcdef12 time: 12:30:45")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs)
+    got = found.orderBy("doc_id", "start").collect()
+    assert {i: [r["value"] for r in got if r["doc_id"] == i] for i in want} == want
+    assert all(dict(rows)[r["doc_id"]][r["start"]:r["end"]] == r["value"] for r in got)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    assert masked[1] == "set password=[SECRET] and not xhunter2!x9 there" and masked[2] == "pwd: [SECRET]."
+    assert masked[4] == "passwd = '[SECRET]'" and masked[5] == rows[4][1]
+
 # --- op5 ---------------------------------------------------------------------
 
 def shingle_bag(text):
