@@ -2,7 +2,7 @@
 
 The rest is tested against brute force in tests/llm: op1 and op5 (links), op3
 (markup), op4 and op6 (fitted models), op8 (dynamic programming), op9
-(bisection) and op10 (scored graph).
+(bisection), op10 (scored graph), op12 (tokenizer) and op13 (edits).
 """
 
 from __future__ import annotations

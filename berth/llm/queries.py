@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import bagminhash, cover_tree, decontam, html_main, langid, mixing, pii, secrets, token_counts, warc_fixity
+from berth.llm import (bagminhash, cover_tree, decontam, html_main, langid, mixing, packing, pii, secrets, spelling,
+                       token_counts, warc_fixity)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +80,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of the documents."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -88,4 +101,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_cover_tree, op2_decontaminate, op3_main_text, op4_secret_scan, op5_bagminhash, op6_language_id,
-    op7_warc_fixity, op8_token_counts, op9_mixture, op10_pii, pipeline)}
+    op7_warc_fixity, op8_token_counts, op9_mixture, op10_pii, op12_packing, op13_spelling, pipeline)}
