@@ -25,6 +25,7 @@ input, also of the results' names, play no part.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -130,32 +131,37 @@ def _neighbours(sig: Column, k: int) -> Column:
     return F.array(*[moved(1, i) for i in range(k)], *[moved(0, j, i) for i in range(k) for j in range(i + 1, k)])
 
 
+def _key(sig: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), sig)
+
+
 def _routes(words: DataFrame, k: int) -> DataFrame:
     """(sig, own, visits): for every block its number of chunks and the
     (key, chunks) of the blocks that its words visit."""
     size = F.length("word").cast("long")
-    blocks = words.groupBy("sig").agg(F.count("*").alias("c"), F.sum(size).alias("b")).select(
-        "sig", F.xxhash64("sig").alias("key"),
-        F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    found = cut(words.groupBy("sig").agg(F.count("*").alias("c"), F.sum(size).alias("b")).select(
+        "sig", F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int").alias("chunks")))
+    for seed in itertools.count():  # keys must differ; two of 64 bits hardly ever agree
+        blocks = found.select("sig", _key(F.col("sig"), seed).alias("key"), "chunks")
+        if blocks.groupBy("key").count().where("count > 1").limit(1).count() == 0:
+            break
     out = blocks.select("sig", "key", "chunks", F.explode(_neighbours(F.col("sig"), k)).alias("to"))
     there = blocks.select(F.col("sig").alias("to"), F.struct("key", "chunks").alias("t"))
-    met = out.join(there, "to").groupBy("sig").agg(F.collect_set("t").alias("visits"))
+    met = out.join(there, "to").groupBy("sig").agg(F.collect_list("t").alias("visits"))
     return blocks.join(met, "sig", "left").select("sig", "key", F.col("chunks").alias("own"), "visits")
 
 
 def _dealt(words: DataFrame, k: int) -> DataFrame:
     """(key, chunk, kind, word, n): every word at home (kind 0), as a visitor
-    of its own block's chunks (1) and of its neighbours' (2). Keys are hashes;
-    should two blocks share one, they are one block."""
+    of its own block's chunks (1) and of its neighbours' (2)."""
     each = words.join(_routes(words, k), "sig")
     own = F.struct("key", F.pmod(F.xxhash64("word"), F.col("own")).cast("int").alias("chunk"), F.lit(0).cast("byte").alias("kind"))
-    other = F.filter(F.coalesce("visits", F.array()), lambda t: t["key"] != F.col("key"))
 
     def chunks(key: Column, n: Column, kind: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.struct(key.alias("key"), c.alias("chunk"), kind.alias("kind")))
 
-    visits = F.flatten(F.transform(other, lambda t: chunks(t["key"], t["chunks"], F.lit(2).cast("byte"))))
-    to = F.concat(F.array(own), chunks(F.col("key"), F.col("own"), F.lit(1).cast("byte")), visits)
+    visits = F.flatten(F.transform("visits", lambda t: chunks(t["key"], t["chunks"], F.lit(2).cast("byte"))))
+    to = F.concat(F.array(own), chunks(F.col("key"), F.col("own"), F.lit(1).cast("byte")), F.coalesce(visits, F.array()))
     return each.select(F.explode(to).alias("t"), "word", "n").select("t.*", "word", "n")
 
 

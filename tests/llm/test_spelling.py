@@ -92,10 +92,9 @@ def test_planted_variants(spark, monkeypatch, chunk):
     assert got(spelling.variants(df)) == want
 
 
-def test_shared_keys_are_one_block(spark, monkeypatch):
-    """Two blocks with one key: no pair is lost or met twice."""
-    real = F.xxhash64
-    monkeypatch.setattr(spelling.F, "xxhash64", lambda c: F.pmod(real(c), F.lit(3)) if c == "sig" else real(c))
+def test_shared_keys_are_drawn_anew(spark, monkeypatch):
+    real = spelling._key
+    monkeypatch.setattr(spelling, "_key", lambda sig, seed: F.pmod(real(sig, seed), F.lit(3)) if seed == 0 else real(sig, seed))
     rows = planted(5)[:60]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(spelling.variants(df)) == brute(rows)
