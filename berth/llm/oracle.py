@@ -57,4 +57,37 @@ SELECT CAST(file AS INTEGER) AS file, CAST(pos AS INTEGER) AS pos, page_id, url,
 FROM a LEFT JOIN b USING (file, pos) WHERE b.r IS NULL OR a.r <> b.r OR a.e <> b.e
 """
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op7_warc_fixity": OP7}
+# Prefixes as joined digests; every node's subtree through the nodes that its
+# first member passes. CRC-32 bit by bit over the id's digits.
+OP11 = r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS r, t, n FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS n,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL)),
+lens AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+head AS (
+  SELECT c, n, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda crc, x: list_reduce(list_concat([xor(crc, x)], [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 9 AS h FROM lens),
+conv AS (SELECT a.c, a.h, least(a.h, coalesce(b.n, 0)) AS s, least(a.h, coalesce(b.n, 0)) + greatest(0, a.n - a.h) AS len
+         FROM head a LEFT JOIN lens b ON b.c = a.c - a.c % 5),
+built AS (
+  SELECT own.c, r - h + s AS d, t, n FROM own JOIN conv USING (c) WHERE r > h
+  UNION ALL SELECT conv.c, r, t, n FROM conv JOIN own ON own.c = conv.c - conv.c % 5 AND r <= s),
+pre AS (SELECT c, d, n, string_agg(t, ',') OVER (PARTITION BY c ORDER BY d) AS p FROM built UNION ALL SELECT c, 0, 0, '' FROM conv),
+node AS (SELECT d, p, min(c) AS conv, count(*) AS n_convs, max(n) AS n FROM pre GROUP BY d, p),
+member AS (SELECT pre.c, pre.d, node.conv FROM pre JOIN node USING (d, p)),
+edge AS (SELECT node.*, member.conv AS up FROM node LEFT JOIN member ON member.c = node.conv AND member.d = node.d - 1),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM edge WHERE d > 0 GROUP BY up, d),
+leaf AS (SELECT edge.*, coalesce(n_children, 0) AS n_children FROM edge LEFT JOIN kids ON kids.up = edge.conv AND kids.d = edge.d),
+total AS (
+  SELECT m.conv, m.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n) AS saved
+  FROM leaf JOIN member m ON m.c = leaf.conv AND m.d <= leaf.d GROUP BY m.conv, m.d),
+ends AS (SELECT member.conv, member.d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM member JOIN conv USING (c) WHERE d = len GROUP BY member.conv, member.d)
+SELECT leaf.conv AS conv_id, CAST(leaf.d AS BIGINT) AS depth, up AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM leaf JOIN total ON total.conv = leaf.conv AND total.d = leaf.d LEFT JOIN ends ON ends.conv = leaf.conv AND ends.d = leaf.d
+"""
+
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2, "op7_warc_fixity": OP7, "op11_prefix_trie": OP11}

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import (bagminhash, cover_tree, decontam, html_main, langid, mixing, packing, pii, secrets, spelling,
-                       token_counts, warc_fixity)
+from berth.llm import (bagminhash, cover_tree, decontam, html_main, langid, mixing, packing, pii, prefix_trie, secrets,
+                       spelling, token_counts, warc_fixity)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     import public_tokenizers
@@ -101,4 +106,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_cover_tree, op2_decontaminate, op3_main_text, op4_secret_scan, op5_bagminhash, op6_language_id,
-    op7_warc_fixity, op8_token_counts, op9_mixture, op10_pii, op12_packing, op13_spelling, pipeline)}
+    op7_warc_fixity, op8_token_counts, op9_mixture, op10_pii, op11_prefix_trie,
+    op12_packing, op13_spelling, pipeline)}
