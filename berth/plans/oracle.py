@@ -7,6 +7,7 @@ EXISTS / NOT EXISTS, ROW_NUMBER, arg_min, FILTER aggregates.
 
 from __future__ import annotations
 
+from berth.functions import prompts
 from berth.operators import report as R
 from berth.sources import fixtures as fx
 
@@ -15,6 +16,10 @@ AS_OF = f"DATE '{fx.AS_OF}'"
 ORACLE: dict[str, str] = {}
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _values(rows: list[tuple], names: str) -> str:
     def lit(v):
         if isinstance(v, str):
@@ -181,11 +186,13 @@ FROM cx GROUP BY session_id""", (), ("cx",))
 
 # ---------------------------------------------------------------- sessions
 
+# flag counts straight from the flag class, without the join of the flag rows
 register("q1_document_listing", """
 SELECT x.id, x.session_id, x.file_name, x.document_type, x.document_name, x.applicable_role, x.category,
-  x.holder_name, x.confidence, x.is_expired, COALESCE(f.n, 0) AS flag_count, COALESCE(f.c, 0) AS critical_flag_count
-FROM cx x LEFT JOIN (SELECT id, COUNT(*) AS n, COUNT(*) FILTER (WHERE severity = 'CRITICAL') AS c
-                     FROM fx_ext_flags GROUP BY id) f ON f.id = x.id""", ("fx_ext_flags",), ("cx",))
+  x.holder_name, x.confidence, x.is_expired,
+  CAST(CASE WHEN x.flag_class = 0 THEN 2 WHEN x.flag_class > 0 THEN 1 ELSE 0 END AS BIGINT) AS flag_count,
+  CAST(CASE WHEN x.flag_class = 0 THEN 1 ELSE 0 END AS BIGINT) AS critical_flag_count
+FROM cx x""", (), ("cx",))
 
 register("q2_pending_jobs", """
 SELECT job_id, session_id, file_name, status, epoch_ms(queued_at) AS queued_ms,
@@ -292,10 +299,58 @@ register("v1_validation_eligibility", """
 SELECT s.session_id, COALESCE(r.document_count, 0) AS n_complete,
   CASE WHEN COALESCE(r.document_count, 0) >= 2 THEN 'ELIGIBLE' ELSE 'INSUFFICIENT_DOCUMENTS' END AS eligibility
 FROM fx_sessions s LEFT JOIN role_q r ON r.session_id = s.session_id""", ("fx_sessions",), ("role_q",))
-register("v2_validation_requests", """
-SELECT session_id, COUNT(*) AS n_docs, arg_min(id, seq) AS first_id, arg_max(id, seq) AS last_id,
-  true AS prompt_ok
-FROM cx GROUP BY session_id HAVING COUNT(*) >= 2""", (), ("cx",))
+
+
+def _obj(pairs: list[tuple[str, str]], pad: int) -> str:
+    """SQL for one JSON object's text; values are SQL for their text."""
+    inner = " || ',' || chr(10) || ".join(f"'{' ' * (pad + 2)}\"{k}\": ' || {v}" for k, v in pairs)
+    return f"('{{' || chr(10) || {inner} || chr(10) || '{' ' * pad}}}')"
+
+
+def _str(c: str) -> str:
+    return f"COALESCE('\"' || replace(replace({c}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"', 'null')"
+
+
+def _v2_sql() -> str:
+    """Every member written out; inside the stored sections keys go by length,
+    then by bytes."""
+    flag = lambda sev: _obj([("message", _str(f"'{sev} issue on ' || x.document_type")), ("severity", _str(f"'{sev}'"))], 6)
+    arr = lambda *items: "'[' || chr(10) || " + " || ',' || chr(10) || ".join(f"'      ' || {i}" for i in items) + " || chr(10) || '    ]'"
+    field = lambda key, label, value, imp, st: _obj(
+        [("key", _str(f"'{key}'")), ("label", _str(f"'{label}'")), ("value", _str(value)), ("status", _str(st)), ("importance", _str(f"'{imp}'"))], 6)
+    fields = arr(
+        field("document_number", "Document Number", "x.document_type || '-' || CAST(x.fid AS VARCHAR)", "CRITICAL", "CASE WHEN x.is_expired THEN 'EXPIRED' ELSE 'OK' END"),
+        field("holder_name", "Holder Name", "COALESCE(x.holder_name, '')", "HIGH", "CASE WHEN COALESCE(x.holder_name, '') = '' THEN 'MISSING' ELSE 'OK' END"))
+    flags = (f"CASE x.flag_class WHEN 0 THEN {arr(flag('CRITICAL'), flag('HIGH'))} WHEN 1 THEN {arr(flag('HIGH'))} "
+             f"WHEN 6 THEN {arr(flag('MEDIUM'))} WHEN 16 THEN {arr(flag('LOW'))} WHEN -1 THEN '[]' ELSE 'null' END")
+    expired = "CASE WHEN x.is_expired THEN 'true' ELSE 'false' END"
+    doc = _obj([
+        ("id", _str("x.id")), ("sessionId", "CAST(x.session_id AS VARCHAR)"), ("fileName", _str("x.file_name")),
+        ("documentType", _str("x.document_type")), ("documentName", _str("x.document_name")), ("applicableRole", _str("x.applicable_role")),
+        ("category", _str("x.category")), ("confidence", _str("x.confidence")), ("holderName", _str("x.holder_name")),
+        ("dateOfBirth", _str("x.date_of_birth")), ("sirbNumber", _str("x.sirb_number")), ("passportNumber", _str("x.passport_number")),
+        ("fields", fields),
+        ("validity", _obj([("isExpired", expired), ("dateOfIssue", _str("strftime(x.date_of_issue, '%d/%m/%Y')")),
+                           ("dateOfExpiry", _str("COALESCE(strftime(x.date_of_expiry, '%d/%m/%Y'), 'Lifetime')")),
+                           ("daysUntilExpiry", "'null'"), ("revalidationRequired", "'null'")], 4)),
+        ("compliance", _obj([("limitations", "'null'"), ("imoModelCourse", "'null'"), ("issuingAuthority", _str("x.issuing_authority")),
+                             ("recognizedAuthority", "'true'"), ("regulationReference", _str("x.regulation_reference"))], 4)),
+        ("medicalData", _obj([("expiryDate", "'null'"), ("restrictions", _str("x.medical_restrictions")), ("specialNotes", "'null'"),
+                              ("fitnessResult", _str("x.fitness_result")), ("drugTestResult", _str("x.drug_test_result"))], 4)),
+        ("flags", flags), ("isExpired", expired), ("processingTimeMs", "CAST(x.processing_time_ms AS VARCHAR)"),
+        ("summary", _str("x.summary")), ("promptVersion", _str("x.prompt_version")),
+        ("createdAt", "strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(x.seq AS BIGINT)), '\"%Y-%m-%dT%H:%M:%S.000Z\"')"),
+    ], 2)
+    head = _sql_str(prompts.VALIDATION_PROMPT + prompts.RECORDS_HEADER + "[\n")
+    tail = _sql_str("\n]" + prompts.RECORDS_FOOTER + fx.AS_OF + prompts.DATE_TAIL)
+    return f"""
+SELECT session_id, n_docs, first_id, last_id, length(p) AS prompt_len, sha256(p) AS prompt_sha FROM (
+  SELECT session_id, COUNT(*) AS n_docs, arg_min(id, seq) AS first_id, arg_max(id, seq) AS last_id,
+    {head} || string_agg('  ' || doc, ',' || chr(10) ORDER BY seq) || {tail} AS p
+  FROM (SELECT x.session_id, x.id, x.seq, {doc} AS doc FROM cx x) GROUP BY session_id HAVING COUNT(*) >= 2)"""
+
+
+register("v2_validation_requests", _v2_sql(), (), ("cx",))
 frag("va", f"""
 SELECT validation_id, session_id, stage, sp AS span, {ok_sql('sp')} AS ok
 FROM (SELECT *, {span_sql('raw_text')} AS sp FROM fx_validation_answers)""", ("fx_validation_answers",))
@@ -520,10 +575,13 @@ SELECT f.upload_id,
        ELSE sha256('session:' || CAST(f.upload_id AS VARCHAR)) END AS resolved_session_id,
   s.session_id IS NULL AS is_new
 FROM fx_files f LEFT JOIN fx_sessions s ON s.session_id = f.session_id""", ("fx_files", "fx_sessions"))
+# a file's first upload is its extraction (FAILED at v % 25 = 24): one window
+# over the uploads instead of a join of two copies of them
 register("p3_find_duplicates", """
-SELECT u.session_id, u.seq, x.id AS existing_extraction_id
-FROM fx_upload_rows u JOIN cx x ON x.session_id = u.session_id AND x.file_hash = u.file_hash""",
-         ("fx_upload_rows",), ("cx",))
+SELECT session_id, seq, CAST(session_id AS VARCHAR) || '-' || CAST(first_seq AS VARCHAR) AS existing_extraction_id
+FROM (SELECT session_id, seq, first_value(seq) OVER w AS first_seq, first_value(v) OVER w AS first_v
+      FROM fx_uploads WINDOW w AS (PARTITION BY session_id, fid ORDER BY seq))
+WHERE first_v % 25 <> 24""", ("fx_uploads",))
 register("p4_new_work", """
 SELECT session_id, seq, fid, file_hash FROM (
   SELECT u.*, ROW_NUMBER() OVER (PARTITION BY u.session_id, u.file_hash ORDER BY u.seq) AS rn
@@ -552,10 +610,6 @@ register("s4_write_snapshot", "SELECT id, session_id, document_type, status, is_
 # ----------------------------------------------------------------- answers
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _x1_sql() -> str:
     from berth.functions import prompts
     p = f"to_json({_sql_str(prompts.EXTRACTION_PROMPT)})"

@@ -202,12 +202,9 @@ def v1(spark, sf):
 
 @query("v2_validation_requests")
 def v2(spark, sf):
-    from berth.functions import prompts
-    tail = f"Today's date is {AS_OF}{prompts.DATE_TAIL}"
     r = V.validation_requests(fx.extractions(spark, sf), AS_OF)
     return r.select("session_id", "n_docs", "first_id", "last_id",
-                    (F.col("prompt").startswith(prompts.VALIDATION_PROMPT)
-                     & F.col("prompt").endswith(tail)).alias("prompt_ok"))
+                    F.length("prompt").cast("long").alias("prompt_len"), F.sha2("prompt", 256).alias("prompt_sha"))
 
 
 @query("v3_parse_validations")

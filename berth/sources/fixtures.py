@@ -571,8 +571,24 @@ def _extractions(x: DataFrame) -> DataFrame:
               F.when(F.col("holder_name").isNull() | (F.col("holder_name") == ""), "MISSING")
               .otherwise("OK")),
     )
+    lit, null = F.lit, F.lit(None)
+    sections = {  # whole, as the answers hold them
+        "validity": F.struct(
+            F.date_format("date_of_issue", "dd/MM/yyyy").alias("dateOfIssue"),
+            F.coalesce(F.date_format("date_of_expiry", "dd/MM/yyyy"), lit("Lifetime")).alias("dateOfExpiry"),
+            F.col("is_expired").alias("isExpired"), null.cast("long").alias("daysUntilExpiry"),
+            null.cast("boolean").alias("revalidationRequired")),
+        "compliance": F.struct(
+            F.col("issuing_authority").alias("issuingAuthority"), F.col("regulation_reference").alias("regulationReference"),
+            null.cast("string").alias("imoModelCourse"), lit(True).alias("recognizedAuthority"), null.cast("string").alias("limitations")),
+        "medical_data": F.struct(
+            F.col("fitness_result").alias("fitnessResult"), F.col("drug_test_result").alias("drugTestResult"),
+            F.col("medical_restrictions").alias("restrictions"), null.cast("string").alias("specialNotes"),
+            null.cast("string").alias("expiryDate")),
+        "detection_reason": F.concat(lit("Header reads {"), F.col("document_type"), lit("}"))}
     return (x.withColumn("flags", flags)
              .withColumn("fields", fields)
+             .withColumns(sections)
              .withColumn("created_at",
                          F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 60))
              .drop("flag_code", "flag_class"))
