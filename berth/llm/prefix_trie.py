@@ -226,6 +226,8 @@ def subtree_sums(nodes: DataFrame, passes: DataFrame, block: int = BLOCK) -> Dat
         "conv", "d", "pconv", F.lit(top["conv"]).cast("long").alias("tc"), zero.alias("td"), "weight", (F.col("n_children") == 0).cast("long").alias("leaf"),
         ((F.col("n_convs") - 1) * F.col("bytes")).alias("save"), zero.alias("s_leaf"), zero.alias("s_save"))
     limit = max(block, top["weight"] // MOST)
+    if top["weight"] > limit:
+        state = cut(state)
     whole, settled, ready = 2 * top["weight"], [], []
     while True:
         # Components lie apart, so at most MOST weigh over 1 / MOST of the
