@@ -830,7 +830,9 @@ FROM fx_files WHERE text IS NOT NULL""", ("fx_files",))
 # --------------------------------------------------------------- streaming
 
 ORACLE["t2_rate_limit_stream"] = ORACLE["t1_rate_limit"]
-register("t3_dedup_stream", "SELECT DISTINCT session_id, file_hash FROM fx_upload_rows", ("fx_upload_rows",))
+register("t3_dedup_stream", """
+SELECT session_id, file_hash, min(seq) AS seq, arg_min(file_name, seq) AS file_name
+FROM fx_upload_rows GROUP BY session_id, file_hash""", ("fx_upload_rows",))
 ORACLE["t4_job_state_stream"] = ORACLE["j5_job_state"]
 # t5: files with fid % 5 = 4 are not stored yet, so their first rows have no id
 register("t5_upsert_stream", _X12.replace("1 AS version, id,", "1 AS version, CASE WHEN fid % 5 <> 4 THEN id END AS id,"),

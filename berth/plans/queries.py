@@ -560,8 +560,10 @@ def t3(spark, sf):
     path, schema = _land(rows, "uploads", "seq", by=["session_id"])
     stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     ST.use_rocksdb(spark)
-    base = ST.drain(ST.dedup_stream(stream, ["session_id", "file_hash"]), "t3_dedup")
-    return spark.read.parquet(f"{base}/data").select("session_id", "file_hash")
+    first = ST.first_wins_stream(stream, ["session_id", "file_hash"], ["seq"])
+    table = ST.BucketTable(spark, shared_dir(spark, "tables/uploads_first"), first.schema, ["session_id", "file_hash"])
+    ST.drain(first, "t3_dedup", output_mode="update", foreach_batch=table.sink(table.latest))
+    return table.read().select("session_id", "file_hash", "seq", "file_name")
 
 
 @query("t4_job_state_stream")
@@ -571,9 +573,9 @@ def t4(spark, sf):
     stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
     ST.use_rocksdb(spark)
     states = ST.job_state_stream(stream)
-    log = ST.BatchLog(spark, shared_dir(spark, "tables/job_state"), states.schema)
-    ST.drain(states, "t4_job_state", output_mode="update", foreach_batch=log.write)
-    return ST.latest_by_key(log, ["job_id"])
+    table = ST.BucketTable(spark, shared_dir(spark, "tables/job_state"), states.schema, ["job_id"])
+    ST.drain(states, "t4_job_state", output_mode="update", foreach_batch=table.sink(table.latest))
+    return table.read()
 
 
 @query("t5_upsert_stream")
@@ -585,10 +587,10 @@ def t5(spark, sf):
     new = F.col("fid") % 5 == 4
     base = cur.filter(~new).select(*cols)
     first = cur.filter(new).withColumn("id", F.lit(None).cast("string")).select(*cols)
-    log = ST.extraction_log(spark, shared_dir(spark, "tables/extractions_live"), base.schema, base)
+    table = ST.extraction_table(spark, shared_dir(spark, "tables/extractions_live"), base.schema, base)
     path, schema = _land(first.unionByName(batch.select(*cols)), "attempts", "version", slices=2, by=["session_id"])
-    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=4)
-    ST.drain(stream, "t5_upsert", foreach_batch=ST.upsert_stream(log))
-    return ST.current_extractions(log, X12_CONTENT).select(
+    stream = ST.intake_stream(spark, path, schema, max_files_per_trigger=16)
+    ST.drain(stream, "t5_upsert", foreach_batch=ST.upsert_stream(table, X12_CONTENT))
+    return table.read().select(
         "session_id", "file_hash", "id", "status", "error_code",
         _long("retry_count").alias("retry_count"), *X12_CONTENT)

@@ -1,4 +1,8 @@
 """Sinks of the streaming operators: replays, new keys, an empty start."""
+import glob
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from berth.functions.expr import json_object_ok
@@ -22,20 +26,28 @@ def _row(h, version, status, doc=None, id=None):
             "error_code": None if status == "COMPLETE" else "LLM_ERROR"}
 
 
-def _state(log):
-    return {r.file_hash: (r.id, r.status, r.document_type, r.version)
-            for r in ST.current_extractions(log, CONTENT).collect()}
+def _state(table):
+    return {r.file_hash: (r.id, r.status, r.document_type, r.version) for r in table.read().collect()}
+
+
+def _files(path):
+    """Data files by bucket, with their times."""
+    out = {}
+    for d in sorted(glob.glob(f"{path}/_bucket=*")):
+        out[int(d.rsplit("=", 1)[1])] = sorted((f, os.stat(f).st_mtime_ns) for f in glob.glob(f"{d}/part-*"))
+    return out
 
 
 def test_upsert_keeps_content_over_three_batches_from_an_empty_table(spark):
     schema = _rows(spark).schema
-    log = ST.extraction_log(spark, shared_dir(spark, "t/empty"), schema)
-    sink = ST.upsert_stream(log)
-    assert _state(log) == {}
+    table = ST.extraction_table(spark, shared_dir(spark, "t/empty"), schema)
+    sink = ST.upsert_stream(table, CONTENT)
+    assert _state(table) == {}
     sink(_rows(spark, _row("a", 1, "COMPLETE", "COC")), 0)
     sink(_rows(spark, _row("a", 2, "FAILED")), 1)
-    sink(_rows(spark, _row("b", 1, "FAILED")), 2)
-    got = _state(log)
+    sink(_rows(spark), 2)
+    sink(_rows(spark, _row("b", 1, "FAILED")), 3)
+    got = _state(table)
     assert got["a"][1:] == ("FAILED", "COC", 2) and len(got["a"][0]) == 64
     assert got["b"][1:] == ("FAILED", None, 1)
     assert got["a"][0] != got["b"][0]
@@ -43,29 +55,94 @@ def test_upsert_keeps_content_over_three_batches_from_an_empty_table(spark):
 
 def test_upsert_on_a_stored_table_inserts_and_replays(spark):
     base = _rows(spark, _row("a", 1, "COMPLETE", "COC", id="s-1-1"))
-    log = ST.extraction_log(spark, shared_dir(spark, "t/stored"), base.schema, base)
-    sink = ST.upsert_stream(log)
+    table = ST.extraction_table(spark, shared_dir(spark, "t/stored"), base.schema, base)
+    sink = ST.upsert_stream(table, CONTENT)
     batch = _rows(spark, _row("a", 2, "COMPLETE", "PEME"), _row("new", 1, "COMPLETE", "SIRB"))
     for _ in range(2):  # the same batch id twice
         sink(batch, 0)
-        got = _state(log)
+        got = _state(table)
         assert got["a"] == ("s-1-1", "COMPLETE", "PEME", 2)
         assert got["new"][1:] == ("COMPLETE", "SIRB", 1)
-    assert log.read().count() == 3
+    assert table.read().count() == 2
+
+
+def _counts(spark, ids, n=1):
+    return spark.createDataFrame([(i, n) for i in ids], "k long, n long")
+
+
+def _add(stored, rows):
+    return stored.unionByName(rows).groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def test_untouched_buckets_stay_and_reads_do_not_grow(spark):
+    path = shared_dir(spark, "t/buckets")
+    table = ST.BucketTable(spark, path, _counts(spark, []).schema, ["k"], _counts(spark, range(500)), buckets=8)
+    before = _files(path)
+    assert sorted(before) == list(range(8))
+    for batch_id in range(6):
+        table.merge(_counts(spark, [3, 4, 5000]), batch_id, _add)
+    after = _files(path)
+    changed = {b for b in after if after[b] != before[b]}
+    assert 1 <= len(changed) <= 3  # the buckets of three keys
+    assert sum(map(len, after.values())) == sum(map(len, before.values()))  # six batches, no more files
+    got = {r.k: r.n for r in table.read().collect()}
+    assert got[3] == got[4] == 7 and got[5000] == 6 and got[5] == 1 and len(got) == 501
+
+
+def test_replay_after_a_driver_lost_amid_the_overwrite(spark):
+    """The merged buckets are stored, one was removed, none installed: the
+    replay installs them and counts nothing twice."""
+    path = shared_dir(spark, "t/lost")
+    table = ST.BucketTable(spark, path, _counts(spark, []).schema, ["k"], _counts(spark, range(100)), buckets=4)
+    install = table._install
+    table._install = lambda rows: (_ for _ in ()).throw(RuntimeError("driver lost"))
+    with pytest.raises(RuntimeError, match="driver lost"):
+        table.merge(_counts(spark, range(50, 150)), 7, _add)
+    for f, _ in _files(path)[2]:
+        os.remove(f)
+    table._install = install
+    table.merge(_counts(spark, range(50, 150)), 7, _add)
+    table.merge(_counts(spark, range(50, 150)), 7, _add)
+    assert {r.k: r.n for r in table.read().collect()} == {k: 1 + (50 <= k < 100) for k in range(150)}
 
 
 def test_large_batch_replayed(spark):
     n = 200_000
     df = spark.range(n).select(F.col("id").alias("job_id"), F.lit("QUEUED").alias("status"))
-    log = ST.BatchLog(spark, shared_dir(spark, "t/jobs"), df.schema)
-    log.write(df, 0)
+    table = ST.BucketTable(spark, shared_dir(spark, "t/jobs"), df.schema, ["job_id"])
+    table.merge(df, 0, table.latest)
     late = df.filter("job_id < 10").withColumn("status", F.lit("COMPLETE"))
-    log.write(late, 1)
-    log.write(late, 1)
-    got = ST.latest_by_key(log, ["job_id"]).groupBy("status").count().collect()
+    table.merge(late, 1, table.latest)
+    table.merge(late, 1, table.latest)
+    got = table.read().groupBy("status").count().collect()
     assert {r.status: r["count"] for r in got} == {"QUEUED": n - 10, "COMPLETE": 10}
 
 
+def test_first_row_wins_in_a_batch_and_over_batches(spark):
+    """Two rows of a key in one batch, a later batch with a later row, and one
+    with an earlier row."""
+    schema = "s string, h string, seq long, name string"
+    src = shared_dir(spark, "t/first-src")
+    batches = [[("a", "x", 5, "five"), ("a", "x", 3, "three"), ("b", "x", 9, "nine")], [("a", "x", 4, "four"), ("c", None, 2, "two"), ("c", None, 1, "one")],
+               [("b", "x", 8, "eight"), ("a", "x", 3, "other three"), ("c", None, 0, "zero")]]
+    for rows in batches:  # one file each, in this order
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = ST.intake_stream(spark, src, spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    ST.use_rocksdb(spark)
+    first = ST.first_wins_stream(stream, ["s", "h"], ["seq"])
+    table = ST.BucketTable(spark, shared_dir(spark, "t/first"), first.schema, ["s", "h"], buckets=4)
+    seen = []
+
+    def sink(batch, batch_id):
+        table.merge(batch, batch_id, table.latest)
+        seen.append({(r.s, r.h): (r.seq, r.name) for r in table.read().collect()})
+    ST.drain(first, "t_first", output_mode="update", foreach_batch=sink)
+    assert [x for x in seen if x] == [
+        {("a", "x"): (3, "three"), ("b", "x"): (9, "nine")},
+        {("a", "x"): (3, "three"), ("b", "x"): (9, "nine"), ("c", None): (1, "one")},
+        {("a", "x"): (3, "other three"), ("b", "x"): (8, "eight"), ("c", None): (0, "zero")}]
+
+
 def test_failed_repair_keeps_the_first_answer(spark):
     df = spark.createDataFrame(
         [("s", 1, 1, "INITIAL", "{ broken", None), ("s", 1, 2, "REPAIR", None, "LLM API error 500: upstream")],
