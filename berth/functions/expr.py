@@ -72,9 +72,8 @@ def span_of_body(body: str | Column) -> Column:
     """First ``{`` to last ``}`` of ``body``; null if absent or reversed."""
     b = col(body)
     first = F.instr(b, "{")
-    rev = F.instr(F.reverse(b), "}")
-    last = F.length(b) - rev + 1
-    return F.when((first > 0) & (rev > 0) & (last > first), F.substr(b, first, last - first + 1))
+    last = F.length(b) - F.length(F.substring_index(b, "}", -1))  # 0 without a brace
+    return F.when((first > 0) & (last > first), F.substr(b, first, last - first + 1))
 
 
 def with_json_span(df, text: str, out: str = "span"):
@@ -85,17 +84,40 @@ def with_json_span(df, text: str, out: str = "span"):
     return df.withColumn(tmp, fence_body(text)).withColumn(out, span_of_body(tmp)).drop(tmp)
 
 
+def bind(df, **exprs: Column):
+    """Add columns that are computed once per row, whatever stands above. A
+    filter on a projected column is pushed below the projection with the
+    column's whole expression; a filter on a generated column is not."""
+    made = F.explode(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))).alias("_bound")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_bound.{n}").alias(n) for n in exprs])
+
+
+def parse_answer(span: str | Column) -> Column:
+    """The span as VARIANT, parsed once and strictly, as a JSON.parse would
+    accept it: wrapped in ``[...]``, so that a second object after the first
+    is a second element. Null if it is not JSON."""
+    return F.try_parse_json(F.concat(F.lit("["), col(span), F.lit("]")))
+
+
+def answer_ok(answer: str | Column) -> Column:
+    """Whether a parsed answer is one value and nothing behind it."""
+    return F.coalesce(F.size(F.try_variant_get(col(answer), "$", "array<variant>")) == 1, F.lit(False))
+
+
+def answer_get(answer: str | Column, path: str, type_: str = "string") -> Column:
+    """A typed member of a parsed answer; null where it is absent, null or of
+    another kind."""
+    return F.try_variant_get(col(answer), f"$[0].{path}", type_)
+
+
+def answer_has(answer: str | Column, path: str) -> Column:
+    """Whether a member is there and not null (a JSON null reads as null)."""
+    return answer_get(answer, path, "variant").isNotNull()
+
+
 def json_object_ok(span: str | Column) -> Column:
-    """Strict JSON validity of one object, as a JSON.parse would accept it.
-
-    The span is wrapped in ``[...]`` so a second object after the first is
-    seen as a second element (rejected); ``try_parse_json`` rejects single
-    quotes, trailing garbage and other lenient forms."""
-    s = col(span)
-    wrapped = F.concat(F.lit("["), s, F.lit("]"))
-    v = F.try_parse_json(wrapped)
-    return (s.isNotNull() & v.isNotNull()
-            & F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False)))
+    """Strict JSON validity of one object."""
+    return answer_ok(parse_answer(span))
 
 
 # ``^\d{2}/\d{2}/\d{4}$`` of the reference; JS ``$`` has no final-newline

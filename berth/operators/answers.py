@@ -9,32 +9,18 @@ The chain for a batch of files: ``request_rows`` (X1) -> ``run_extractor``
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from berth.functions import prompts
-from berth.functions.expr import (dmy_impossible, first_by, json_object_ok, last_by, parse_dmy,
-                                  with_json_span)
+from berth.functions.expr import (answer_get, answer_has, answer_ok, bind, dmy_impossible, first_by, last_by,
+                                  parse_answer, parse_dmy, with_json_span)
 from berth.operators.jobs import classify_error
 
-# ExtractionResult, fixed (never inferred). The two stored flags are read as
-# text, as their columns take quoted booleans too.
-EXTRACTION_SCHEMA = (
-    "detection struct<documentType string, documentName string, category string, "
-    "applicableRole string, isRequired string, confidence string, detectionReason string>, "
-    "holder struct<fullName string, dateOfBirth string, nationality string, passportNumber string, "
-    "sirbNumber string, rank string, photo string>, "
-    "fields array<struct<key string, label string, value string, importance string, status string>>, "
-    "validity struct<dateOfIssue string, dateOfExpiry string, isExpired string, daysUntilExpiry bigint, "
-    "revalidationRequired boolean>, "
-    "compliance struct<issuingAuthority string, regulationReference string, imoModelCourse string, "
-    "recognizedAuthority boolean, limitations string>, "
-    "medicalData struct<fitnessResult string, drugTestResult string, restrictions string, "
-    "specialNotes string, expiryDate string>, "
-    "flags array<struct<severity string, message string>>, summary string")
-
 # Error texts the reference produces on these paths.
 MSG_NO_JSON = "No JSON object found in LLM response"
 MSG_BAD_JSON = "Unexpected token in JSON"
@@ -129,10 +115,12 @@ def decode_envelopes(raw: DataFrame, envelope: str = "envelope", provider: str =
 # X3 / X4 ------------------------------------------------------------------
 
 def parse_extractions(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Adds ``span``, strict ``ok`` and the typed ``parsed`` result."""
-    return (with_json_span(df, text, "span")
-              .withColumn("ok", json_object_ok("span"))
-              .withColumn("parsed", F.when(F.col("ok"), F.from_json("span", EXTRACTION_SCHEMA))))
+    """Adds ``span``, the ``answer`` (VARIANT: the one parse of a text; null
+    unless strictly one JSON value) and ``ok``. Members are then taken with
+    ``answer_get``; later steps carry the answer instead of parsing again."""
+    parsed = bind(with_json_span(df, text, "span"), _parsed=parse_answer("span"))
+    return (parsed.withColumn("ok", answer_ok("_parsed"))
+            .withColumn("answer", F.when(F.col("ok"), F.col("_parsed"))).drop("_parsed"))
 
 
 # X5 -----------------------------------------------------------------------
@@ -140,21 +128,32 @@ def parse_extractions(df: DataFrame, text: str = "raw_text") -> DataFrame:
 FILE_KEY = ["session_id", "fid"]
 
 
-def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataFrame:
+def resolve_attempts(attempts: DataFrame, key: list[str] | None = None, carry: tuple[str, ...] = (),
+                     keep_answer: bool = True) -> DataFrame:
     """Choose the final answer per file (initial / repair / low-confidence retry).
 
     ``attempts(key..., attempt_no, stage, raw_text, error_message)``. One
     groupBy over the file key (≤ 3 rows each); each stage's latest attempt is
-    a max-struct aggregate."""
+    a max-by aggregate. The parsed ``answer`` goes along (unless not wanted),
+    the span does not; ``carry`` names columns that are the same in all of a
+    file's attempts. With a ``latency_ms`` column the calls' times are summed
+    to ``processing_time_ms``."""
     key = key or FILE_KEY
     a = parse_extractions(attempts)
-    att = F.struct("attempt_no", "raw_text", "span", "error_message", "ok",
-                   F.col("parsed.detection").isNotNull().alias("has_det"),
-                   F.col("parsed.detection.confidence").alias("conf"))
+    members = ["raw_text", "error_message", "ok", F.col("span").isNotNull().alias("has_span"),
+               answer_has("answer", "detection").alias("has_det"),
+               answer_get("answer", "detection.confidence").alias("conf")]
+    att = F.struct(*members, *(["answer"] if keep_answer else []))
+
+    def latest(stage: str) -> Column:
+        # members and variants have no order: the attempt number alone decides
+        return F.max_by(att, F.when(F.col("stage") == stage, F.col("attempt_no")))
+
+    spent = [F.sum("latency_ms").cast("long").alias("processing_time_ms")] if "latency_ms" in attempts.columns else []
     g = a.groupBy(*key).agg(
-        last_by(["attempt_no"], att, F.col("stage") == "INITIAL").alias("i"),
-        last_by(["attempt_no"], att, F.col("stage") == "REPAIR").alias("r"),
-        last_by(["attempt_no"], att, F.col("stage") == "LOW_CONF_RETRY").alias("l"))
+        latest("INITIAL").alias("i"), latest("REPAIR").alias("r"), latest("LOW_CONF_RETRY").alias("l"),
+        *[F.min(c).alias(c) for c in carry], *spent)
+    more = [*carry, *(["processing_time_ms"] if spent else [])]
     i, r, low = F.col("i"), F.col("r"), F.col("l")
     i_err = i["error_message"].isNotNull()
     use_i = ~i_err & F.coalesce(i["ok"], F.lit(False))
@@ -171,7 +170,7 @@ def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataF
     err = (F.when(i_err, i["error_message"])
             .when(r_err, r["error_message"])
             .when(need_r & r.isNull(), F.lit(MSG_NO_JSON))
-            .when(need_r & ~r_ok, F.when(r["span"].isNull(), F.lit(MSG_NO_JSON))
+            .when(need_r & ~r_ok, F.when(~r["has_span"], F.lit(MSG_NO_JSON))
                   .otherwise(F.lit(MSG_BAD_JSON)))
             .when(~has_det, F.lit(MSG_NO_DETECTION))
             .when(l_err, low["error_message"]))
@@ -180,8 +179,9 @@ def resolve_attempts(attempts: DataFrame, key: list[str] | None = None) -> DataF
             .when(adopt, low["raw_text"]).when(use_i, i["raw_text"])
             .otherwise(F.coalesce(r["raw_text"], i["raw_text"])))
     retry = need_r.cast("int") + low_run.cast("int")
+    answer = F.when(adopt, low["answer"]).otherwise(chosen["answer"]) if keep_answer else None
     out = g.select(*key, err.alias("error_message"), stage.alias("stage"), raw.alias("raw_text"),
-                   retry.alias("retry_count"))
+                   retry.alias("retry_count"), *more, *([answer.alias("answer")] if keep_answer else []))
     return (out.withColumn("status", F.when(F.col("error_message").isNull(), "COMPLETE").otherwise("FAILED"))
                .withColumn("stage", F.when(F.col("status") == "COMPLETE", F.col("stage")))
                .withColumn("error_code", F.when(F.col("status") == "FAILED",
@@ -212,7 +212,7 @@ def followup_requests(attempts: DataFrame, key: list[str] | None = None) -> Data
                 F.col("stage") == "INITIAL").alias("i"),
         # the answer a LOW retry follows is the parseable INITIAL, else the REPAIR
         first_by(["attempt_no"], F.struct("file_name", "mime_type",
-                                          F.col("parsed.detection.confidence").alias("conf")),
+                                          answer_get("answer", "detection.confidence").alias("conf")),
                  usable).alias("c"))
     repair = F.when(F.col("i").isNotNull() & F.col("i.error_message").isNull() & ~F.col("i.ok"),
                     F.struct(F.lit("REPAIR").alias("kind"),
@@ -239,55 +239,57 @@ def stored_flag(c: Column) -> Column:
     return F.when(on_off == "on", F.lit(True)).when(on_off == "off", F.lit(False)).otherwise(c.try_cast("boolean"))
 
 
+# Stored column -> path in the answer.
+PROMOTED = {
+    "document_type": "detection.documentType", "document_name": "detection.documentName",
+    "category": "detection.category", "applicable_role": "detection.applicableRole",
+    "confidence": "detection.confidence", "detection_reason": "detection.detectionReason",
+    "holder_name": "holder.fullName", "date_of_birth": "holder.dateOfBirth", "nationality": "holder.nationality",
+    "passport_number": "holder.passportNumber", "sirb_number": "holder.sirbNumber", "rank": "holder.rank",
+    "fitness_result": "medicalData.fitnessResult", "drug_test_result": "medicalData.drugTestResult",
+    "medical_restrictions": "medicalData.restrictions",
+    "issuing_authority": "compliance.issuingAuthority", "regulation_reference": "compliance.regulationReference",
+    "summary": "summary",
+}
+FIELDS_TYPE = "array<struct<key string, label string, value string, importance string, status string>>"
+FLAGS_TYPE = "array<struct<severity string, message string>>"
+# Sections kept whole, whatever they hold.
+WHOLE = {"validity": "validity", "compliance": "compliance", "medical_data": "medicalData"}
+
+
 def promote(resolved: DataFrame) -> DataFrame:
     """Flatten the chosen answer to the promoted row. A COMPLETE answer turns
     FAILED/LLM_ERROR when a section the store dereferences is missing,
     ``isExpired`` is null (NOT NULL column), a flag is no boolean, or a date
-    is well-formed but impossible."""
-    r = with_json_span(resolved, "raw_text", "_span")
-    r = r.withColumn("r", F.when(F.col("status") == "COMPLETE",
-                                 F.from_json("_span", EXTRACTION_SCHEMA))).drop("_span")
-    v = F.col("r.validity")
-    required, expired = stored_flag(F.col("r.detection.isRequired")), stored_flag(v["isExpired"])
-    bad = (F.col("r.detection").isNull() | F.col("r.holder").isNull() | v.isNull()
-           | F.col("r.compliance").isNull() | F.col("r.medicalData").isNull()
-           | expired.isNull() | (F.col("r.detection.isRequired").isNotNull() & required.isNull())
-           | dmy_impossible(v["dateOfIssue"]) | dmy_impossible(v["dateOfExpiry"]))
-    failed_now = (F.col("status") == "COMPLETE") & bad
-    status = F.when(failed_now, "FAILED").otherwise(F.col("status"))
-    ok = status == "COMPLETE"
+    is well-formed but impossible. Sections stay whole as VARIANT; nothing is
+    parsed here if ``resolved`` still has its ``answer``."""
+    if "answer" not in resolved.columns:
+        resolved = parse_extractions(resolved).drop("span", "ok")
+    got = {"required": ("detection.isRequired", "string"), "expired": ("validity.isExpired", "string"),
+           "issued": ("validity.dateOfIssue", "string"), "expires": ("validity.dateOfExpiry", "string")}
+    r = resolved.withColumns({f"_{k}": answer_get("answer", *v) for k, v in got.items()})
+    required, expired = stored_flag(F.col("_required")), stored_flag(F.col("_expired"))
+    missing = [~answer_has("answer", sec) for sec in ("detection", "holder", "validity", "compliance", "medicalData")]
+    bad = (reduce(or_, missing) | expired.isNull() | (F.col("_required").isNotNull() & required.isNull())
+           | dmy_impossible("_issued") | dmy_impossible("_expires"))
+    r = r.withColumn("_bad", (F.col("status") == "COMPLETE") & bad)
+    failed_now = F.col("_bad")
+    ok = (F.col("status") == "COMPLETE") & ~failed_now
 
     def c(x):
         return F.when(ok, x)
 
     return r.select(
-        *[col for col in resolved.columns if col not in ("status", "error_code", "error_message")],
-        status.alias("status"),
+        *[col for col in resolved.columns if col not in ("status", "error_code", "error_message", "answer")],
+        F.when(failed_now, "FAILED").otherwise(F.col("status")).alias("status"),
         F.when(failed_now, "LLM_ERROR").otherwise(F.col("error_code")).alias("error_code"),
         F.when(failed_now, F.lit(MSG_BAD_ROW)).otherwise(F.col("error_message")).alias("error_message"),
-        c(F.col("r.detection.documentType")).alias("document_type"),
-        c(F.col("r.detection.documentName")).alias("document_name"),
-        c(F.col("r.detection.category")).alias("category"),
-        c(F.col("r.detection.applicableRole")).alias("applicable_role"),
-        c(required).alias("is_required"),
-        c(F.col("r.detection.confidence")).alias("confidence"),
-        c(F.col("r.holder.fullName")).alias("holder_name"),
-        c(F.col("r.holder.dateOfBirth")).alias("date_of_birth"),
-        c(F.col("r.holder.nationality")).alias("nationality"),
-        c(F.col("r.holder.passportNumber")).alias("passport_number"),
-        c(F.col("r.holder.sirbNumber")).alias("sirb_number"),
-        c(F.col("r.holder.rank")).alias("rank"),
-        c(parse_dmy(v["dateOfIssue"])).alias("date_of_issue"),
-        c(parse_dmy(v["dateOfExpiry"])).alias("date_of_expiry"),
-        c(expired).alias("is_expired"),
-        c(F.col("r.medicalData.fitnessResult")).alias("fitness_result"),
-        c(F.col("r.medicalData.drugTestResult")).alias("drug_test_result"),
-        c(F.col("r.medicalData.restrictions")).alias("medical_restrictions"),
-        c(F.col("r.compliance.issuingAuthority")).alias("issuing_authority"),
-        c(F.col("r.compliance.regulationReference")).alias("regulation_reference"),
-        c(F.col("r.fields")).alias("fields"),
-        c(F.col("r.flags")).alias("flags"),
-        c(F.col("r.summary")).alias("summary"))
+        *[c(answer_get("answer", path)).alias(name) for name, path in PROMOTED.items()],
+        c(required).alias("is_required"), c(expired).alias("is_expired"),
+        c(parse_dmy("_issued")).alias("date_of_issue"), c(parse_dmy("_expires")).alias("date_of_expiry"),
+        c(answer_get("answer", "fields", FIELDS_TYPE)).alias("fields"),
+        c(answer_get("answer", "flags", FLAGS_TYPE)).alias("flags"),
+        *[c(answer_get("answer", path, "variant")).alias(name) for name, path in WHOLE.items()])
 
 
 # X10 / X11 ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from berth.functions.expr import hmac_sha256_hex, last_by
+from berth.session import cut
 
 # Fixed values (reference settings).
 ESTIMATED_TOTAL_MS = 15000
@@ -24,31 +25,32 @@ def classify_error(message) -> F.Column:
 
 # J2 -----------------------------------------------------------------------
 
-def queue_positions(jobs: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def _laid_by_time(jobs: DataFrame) -> DataFrame:
+    """QUEUED jobs counted per distinct ``queued_at``, cut into ranges of like
+    numbers of timestamps that come from the data; ``part`` is the range."""
+    per_ts = (jobs.filter(F.col("status") == "QUEUED").groupBy("queued_at").agg(F.count(F.lit(1)).alias("n")))
+    return cut(per_ts.repartitionByRange("queued_at").withColumn("part", F.spark_partition_id()))
+
+
+def queue_positions(jobs: DataFrame) -> DataFrame:
     """Position = number of QUEUED jobs with ``queued_at <=`` own (ties share
     the larger number), without one global window over all jobs:
 
     1. count QUEUED jobs per distinct ``queued_at`` (partial aggregation, so a
        timestamp shared by a third of all jobs is one row per map task);
-    2. total per time bucket, prefix-summed over the bucket table (one row per
-       bucket: bounded by time span / bucket width, not by the job count);
-    3. running count per bucket over distinct timestamps, plus the prefix;
+    2. range-partition those counts: a range holds its share of the
+       timestamps, also where all of them fall on one day or in one second;
+    3. sum each range (one row a partition, so the prefix over them is one
+       small task and a broadcast of proven size) and count on inside it;
     4. join back on ``queued_at`` (AQE splits a hot tie on the jobs side and
        broadcasts the position table when its runtime size allows)."""
-    q = jobs.filter(F.col("status") == "QUEUED").select("job_id", "queued_at")
-    ts = F.unix_micros(F.col("queued_at"))
-    per_ts = (q.groupBy("queued_at").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("bucket", F.floor(ts / F.lit(bucket_seconds * 1_000_000))))
-    per_bucket = per_ts.groupBy("bucket").agg(F.sum("n").alias("bn"))
-    # single ordered pass over the (small) bucket table
-    before = per_bucket.withColumn(
-        "before", F.coalesce(F.sum("bn").over(
-            Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    running = per_ts.withColumn("run", F.sum("n").over(
-        Window.partitionBy("bucket").orderBy("queued_at")
-        .rowsBetween(Window.unboundedPreceding, 0)))
-    pos = (running.join(before.select("bucket", "before"), "bucket")
+    laid = _laid_by_time(jobs)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = laid.groupBy("part").agg(F.sum("n").alias("pn")).select("part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("queued_at").rowsBetween(Window.unboundedPreceding, 0)
+    pos = (laid.withColumn("run", F.sum("n").over(inside)).join(F.broadcast(offsets), "part")
            .select("queued_at", (F.col("before") + F.col("run")).cast("long").alias("queue_position")))
+    q = jobs.filter(F.col("status") == "QUEUED").select("job_id", "queued_at")
     return q.join(pos, "queued_at").select("job_id", "queue_position")
 
 

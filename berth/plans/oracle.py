@@ -747,6 +747,14 @@ SELECT session_id, fid, attempt_no, e AS raw_expiry, {dmy_sql('e')} AS expiry_da
   {dmy_bad_sql('e')} AS expiry_impossible, {dmy_sql('i')} AS issue_date
 FROM (SELECT *, json_extract_string(span, '$.validity.dateOfExpiry') AS e,
         json_extract_string(span, '$.validity.dateOfIssue') AS i FROM att WHERE ok)""", (), ("att",))
+
+
+def _section_sql(path: str, *keys: str) -> str:
+    """A section's compact JSON text, keys in alphabetical order."""
+    inner = " || ',' || ".join(f"'\"{k}\":' || COALESCE(CAST(json_extract(sp, '$.{path}.{k}') AS VARCHAR), 'null')" for k in sorted(keys))
+    return f"CASE WHEN ok2 THEN '{{' || {inner} || '}}' END"
+
+
 frag("prom", f"""
 SELECT session_id, fid,
   CASE WHEN bad THEN 'FAILED' ELSE status END AS status,
@@ -758,6 +766,11 @@ SELECT session_id, fid,
   CASE WHEN ok2 THEN json_extract_string(sp, '$.holder.fullName') END AS holder_name,
   CASE WHEN ok2 THEN {dmy_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")} END AS date_of_expiry,
   CASE WHEN ok2 THEN TRY_CAST(json_extract_string(sp, '$.validity.isExpired') AS BOOLEAN) END AS is_expired,
+  CASE WHEN ok2 THEN json_extract_string(sp, '$.detection.detectionReason') END AS detection_reason,
+  CASE WHEN ok2 THEN json_extract_string(sp, '$.medicalData.restrictions') END AS medical_restrictions,
+  {_section_sql('validity', 'dateOfIssue', 'dateOfExpiry', 'isExpired', 'daysUntilExpiry', 'revalidationRequired')} AS validity_json,
+  {_section_sql('compliance', 'issuingAuthority', 'regulationReference', 'imoModelCourse', 'recognizedAuthority', 'limitations')} AS compliance_json,
+  {_section_sql('medicalData', 'fitnessResult', 'drugTestResult', 'restrictions', 'specialNotes', 'expiryDate')} AS medical_data_json,
   CASE WHEN ok2 THEN json_array_length(sp, '$.flags') END AS n_flags,
   CASE WHEN ok2 THEN json_array_length(sp, '$.fields') END AS n_fields
 FROM (
@@ -771,7 +784,8 @@ FROM (
       OR {dmy_bad_sql("json_extract_string(sp, '$.validity.dateOfExpiry')")}) AS bad
     FROM (SELECT *, CASE WHEN status = 'COMPLETE' THEN {span_sql('raw_text')} END AS sp FROM res)))""", (), ("res",))
 register("x9_promote", """
-SELECT session_id, fid, status, error_code, document_type, holder_name, date_of_expiry, is_expired, n_flags, n_fields
+SELECT session_id, fid, status, error_code, document_type, holder_name, date_of_expiry, is_expired, n_flags, n_fields,
+  detection_reason, medical_restrictions, validity_json, compliance_json, medical_data_json
 FROM prom""", (), ("prom",))
 register("x10_explode_fields", """
 SELECT id, session_id, pos, key, label, value, importance, field_status FROM fx_ext_fields""", ("fx_ext_fields",))

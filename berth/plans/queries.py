@@ -390,6 +390,9 @@ def s4(spark, sf):
 
 # ----------------------------------------------------------------- answers
 
+from berth.functions.expr import answer_get  # noqa: E402
+
+
 def _provider(c):
     return F.when(c % 3 == 0, "anthropic").when(c % 3 == 1, "openai").otherwise("gemini")
 
@@ -424,13 +427,13 @@ def llm(spark, sf):
 def x4(spark, sf):
     return X.parse_extractions(llm(spark, sf)).select(
         "session_id", "fid", "attempt_no", "ok",
-        F.col("parsed.detection.documentType").alias("document_type"),
-        F.col("parsed.detection.confidence").alias("confidence"))
+        answer_get("answer", "detection.documentType").alias("document_type"),
+        answer_get("answer", "detection.confidence").alias("confidence"))
 
 
 @query("x5_resolve_attempts")
 def x5(spark, sf):
-    return X.resolve_attempts(llm(spark, sf)).select(
+    return X.resolve_attempts(llm(spark, sf), keep_answer=False).select(
         "session_id", "fid", "status", "stage", _long("retry_count").alias("retry_count"),
         "error_code", "error_message", F.sha2("raw_text", 256).alias("raw_sha"))
 
@@ -450,15 +453,16 @@ def x7(spark, sf):
 @query("x8_parse_dmy")
 def x8(spark, sf):
     from berth.functions.expr import dmy_impossible, parse_dmy
-    p = X.parse_extractions(llm(spark, sf)).filter("ok")
-    e = F.col("parsed.validity.dateOfExpiry")
-    return p.select("session_id", "fid", "attempt_no", e.alias("raw_expiry"),
-                    parse_dmy(e).alias("expiry_date"), dmy_impossible(e).alias("expiry_impossible"),
-                    parse_dmy(F.col("parsed.validity.dateOfIssue")).alias("issue_date"))
+    p = X.parse_extractions(llm(spark, sf)).filter("ok").select(
+        "session_id", "fid", "attempt_no", answer_get("answer", "validity.dateOfExpiry").alias("raw_expiry"),
+        answer_get("answer", "validity.dateOfIssue").alias("raw_issue"))
+    return p.select("session_id", "fid", "attempt_no", "raw_expiry",
+                    parse_dmy("raw_expiry").alias("expiry_date"), dmy_impossible("raw_expiry").alias("expiry_impossible"),
+                    parse_dmy("raw_issue").alias("issue_date"))
 
 
-def _promoted(spark, sf):
-    return X.promote(X.resolve_attempts(llm(spark, sf)))
+def _promoted(spark, sf, carry=()):
+    return X.promote(X.resolve_attempts(llm(spark, sf), carry=carry))
 
 
 @query("x9_promote")
@@ -466,7 +470,8 @@ def x9(spark, sf):
     ok = F.col("status") == "COMPLETE"
     return _promoted(spark, sf).select(
         "session_id", "fid", "status", "error_code", "document_type", "holder_name",
-        "date_of_expiry", "is_expired",
+        "date_of_expiry", "is_expired", "detection_reason", "medical_restrictions",
+        *[F.to_json(c).alias(f"{c}_json") for c in X.WHOLE],
         F.when(ok, F.size("flags")).cast("long").alias("n_flags"),
         F.when(ok, F.size("fields")).cast("long").alias("n_fields"))
 
@@ -492,8 +497,7 @@ X12_CONTENT = ["document_type", "confidence", "holder_name", "date_of_expiry", "
 def _x12_inputs(spark, sf):
     cur = (fx.extractions(spark, sf).withColumn("version", F.lit(1))
            .withColumn("raw_text", F.lit(None).cast("string")))
-    files = llm(spark, sf).select("session_id", "fid", "file_hash", "file_name", "mime_type").distinct()
-    batch = (_promoted(spark, sf).join(files, ["session_id", "fid"])
+    batch = (_promoted(spark, sf, ("file_hash", "file_name", "mime_type"))
              .withColumn("version", F.lit(2)).withColumn("id", F.lit(None).cast("string"))
              .withColumn("created_at", F.lit(None).cast("timestamp"))
              .withColumn("prompt_version", F.lit("1.0.0")))

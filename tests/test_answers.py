@@ -184,3 +184,31 @@ def test_request_rows_shapes(spark):
 def test_stored_flags_take_quoted_booleans(spark):
     df = spark.createDataFrame([("true",), (" False ",), ("on",), ("1",), ("maybe",), (None,)], "v string")
     assert [r[0] for r in df.select(X.stored_flag(df["v"])).collect()] == [True, False, True, True, None, None]
+
+
+def test_one_parse_per_answer(spark):
+    """X4, X8's filter and X5 to X9 each hold a single parse in their plan."""
+    df = spark.createDataFrame([(1, 1, 1, "INITIAL", _answer(), None)], ATT)
+    p = X.parse_extractions(df)
+    plans = [p, p.filter("ok").select("fid", "answer"), X.promote(X.resolve_attempts(df))]
+    for plan in plans:
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("parseJson") + text.count("parse_json") == 1, text
+
+
+def test_second_value_after_the_first_is_no_answer(spark):
+    texts = ['{"a":1},{"b":2}', '{"a":1},null,{"b":2}', '{"a":1}', '{"a":1} x', '[{"a":1}]']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_text string")
+    assert [r.ok for r in X.parse_extractions(df).orderBy("i").collect()] == [False, False, True, True, True]
+
+
+def test_sections_stay_whole_and_times_are_summed(spark):
+    odd = json.dumps({"detection": {"confidence": "HIGH", "detectionReason": "seal"}, "holder": {}, "validity": {"isExpired": "off", "extra": [1, None]},
+                      "compliance": {"issuingAuthority": 7}, "medicalData": {"restrictions": None}, "flags": None})
+    df = spark.createDataFrame([(1, 1, 1, "INITIAL", "{ broken", None, 1500), (1, 1, 2, "REPAIR", odd, None, 700)], ATT + ", latency_ms int")
+    r = X.promote(X.resolve_attempts(df)).select(
+        "status", "stage", "is_expired", "detection_reason", "issuing_authority", "processing_time_ms", "flags",
+        F.to_json("validity").alias("validity"), F.to_json("medical_data").alias("medical")).first()
+    assert (r.status, r.stage, r.is_expired, r.detection_reason) == ("COMPLETE", "REPAIR", False, "seal")
+    assert (r.issuing_authority, r.processing_time_ms, r.flags) == ("7", 2200, None)
+    assert json.loads(r.validity) == {"isExpired": "off", "extra": [1, None]} and json.loads(r.medical) == {"restrictions": None}

@@ -1,5 +1,6 @@
 """Hand-made edge cases for the report, sessions, jobs and the limiter."""
 
+import bisect
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -135,10 +136,33 @@ def test_queue_position_ties_share_larger(spark):
     ts = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 2)]
     jobs = spark.createDataFrame([(i, "QUEUED", t) for i, t in enumerate(ts)] + [(9, "FAILED", ts[0])],
                                  "job_id long, status string, queued_at timestamp")
-    got = {r.job_id: r.queue_position for r in J.queue_positions(jobs, bucket_seconds=3600).collect()}
+    got = {r.job_id: r.queue_position for r in J.queue_positions(jobs).collect()}
     assert got == {0: 2, 1: 2, 3: 3, 2: 4}
 
 
+def test_queue_positions_on_one_day_are_spread(spark):
+    """All jobs queued within one second of one day, a third of them at one
+    instant: no range holds more than its share of the timestamps."""
+    n, hot = 30_000, 10_000
+    jobs = spark.range(n).select(
+        F.col("id").alias("job_id"), F.when(F.col("id") % 7 == 0, "COMPLETE").otherwise("QUEUED").alias("status"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(F.col("id") < hot, 500_000).otherwise(F.col("id") * 31 % 999_983)).alias("queued_at"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        laid = J._laid_by_time(jobs)
+        sizes = [r["count"] for r in laid.groupBy("part").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+        assert laid.where("n > 1").count() >= 1
+        got = {r.job_id: r.queue_position for r in J.queue_positions(jobs).collect()}
+    finally:
+        spark.conf.set(key, old)
+    at = {r.job_id: r.us for r in jobs.where("status = 'QUEUED'").select("job_id", F.unix_micros("queued_at").alias("us")).collect()}
+    order = sorted(at.values())
+    assert got == {j: bisect.bisect_right(order, us) for j, us in at.items()}
+
+
 def test_job_state_fold_and_requeue(spark):
     ev = [(1, 1, "queued", 10, None, None, None), (1, 2, "started", 20, None, None, None),
           (1, 3, "attempt_failed", 30, None, "timed out", 1), (1, 4, "started", 40, None, None, None),
