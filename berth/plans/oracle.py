@@ -605,6 +605,16 @@ register("s3_intake_stream", """
 SELECT doc_id AS upload_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS file_hash,
   length(to_base64(encode(text))) AS b64_len
 FROM documents""")
+register("s2_binary_files", """
+SELECT 'doc ' || CAST(doc_id AS VARCHAR) || CASE doc_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.png' WHEN 3 THEN '.Pdf'
+    WHEN 4 THEN '' ELSE '.txt' END AS file_name,
+  CASE WHEN doc_id % 6 IN (0, 1) THEN 'image/jpeg' WHEN doc_id % 6 = 2 THEN 'image/png' WHEN doc_id % 6 = 3 THEN 'application/pdf'
+    ELSE 'application/octet-stream' END AS mime_type,
+  octet_length(encode(c)) AS size_bytes, sha256(c) AS file_hash, length(to_base64(encode(c))) AS b64_len
+FROM (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN '' ELSE coalesce(text, '') END AS c FROM documents)""")
+register("s4_validation_snapshot", """
+SELECT validation_id, session_id, CASE WHEN CAST(created_at AS DATE) = DATE '2024-01-10' THEN overall_score + 1 ELSE overall_score END AS overall_score,
+  overall_status, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date FROM fx_validations""", ("fx_validations",))
 register("s4_write_snapshot", "SELECT id, session_id, document_type, status, is_expired FROM cx", (), ("cx",))
 
 # ----------------------------------------------------------------- answers

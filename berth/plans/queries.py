@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from berth.operators import report as R
 from berth.operators import sessions as Q
+from berth.session import shared_dir
 from berth.sources import fixtures as fx
 
 AS_OF = fx.AS_OF
@@ -368,6 +369,21 @@ def s2(spark, sf):
     return _intake_cols(S.intake_files(fx.files(spark, sf)), "file_name", "mime_type")
 
 
+@query("s2_binary_files")
+def s2_binary(spark, sf):
+    """Every document as a landed file: names with known suffixes in both
+    cases, an unknown one and none; one in twenty is empty."""
+    path = shared_dir(spark, "landing/files")
+    i = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, (".jpg", ".JPEG", ".png", ".Pdf", "", ".txt"))), (i % 6 + 1).cast("int"))
+    docs = S.read_table(spark, "documents", f"{sf}/documents.parquet").select(
+        F.concat(F.lit("doc "), i.cast("string"), suffix).alias("file_name"),
+        F.when(i % 20 == 0, F.encode(F.lit(""), "UTF-8")).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    S.land_files(docs, path)
+    return S.read_binary_files(spark, path, "doc *").select(
+        "file_name", "mime_type", "size_bytes", "file_hash", F.length("content_b64").cast("long").alias("b64_len"))
+
+
 @query("s3_intake_stream")
 def s3(spark, sf):
     from berth.streaming import streams as ST
@@ -379,6 +395,9 @@ def s3(spark, sf):
     return spark.read.parquet(f"{base}/data")
 
 
+RESCORED = "2024-01-10"  # the date of s4_validation_snapshot that is written again
+
+
 @query("s4_write_snapshot")
 def s4(spark, sf):
     ext = Q.complete(fx.extractions(spark, sf)).select(
@@ -388,6 +407,18 @@ def s4(spark, sf):
     return spark.read.parquet(path).select("id", "session_id", "document_type", "status", "is_expired")
 
 
+@query("s4_validation_snapshot")
+def s4_validations(spark, sf):
+    """Validations by date; then one date is written again with scores raised
+    by one, and only its partition changes."""
+    rows = fx.validations(spark, sf).withColumn("date", F.to_date("created_at"))
+    path = S.snapshot_path(spark, "validations")
+    S.write_snapshot(rows, path, ["date"], ["session_id"])
+    again = rows.where(F.col("date") == F.lit(RESCORED).cast("date")).withColumn("overall_score", F.col("overall_score") + 1)
+    S.write_snapshot(again, path, ["date"], ["session_id"])
+    return spark.read.parquet(path).select("validation_id", "session_id", "overall_score", "overall_status", F.col("date").cast("string").alias("date"))
+
+
 # ----------------------------------------------------------------- answers
 
 from berth.functions.expr import answer_get  # noqa: E402
@@ -534,7 +565,6 @@ def x14(spark, sf):
 
 # --------------------------------------------------------------- streaming
 
-from berth.session import shared_dir  # noqa: E402
 from berth.streaming import streams as ST  # noqa: E402
 
 

@@ -7,7 +7,12 @@ batch rewrites only the partitions it touches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import fnmatch
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,12 +80,9 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 # S2 -----------------------------------------------------------------------
 
-def intake_files(src, mime_by_ext: bool = True, glob: str | None = None) -> DataFrame:
-    """Bytes, name, MIME, size, SHA-256 hex and base64 per file.
-
-    ``src`` is a DataFrame with ``content`` (binary) plus optional
-    ``file_name`` / ``mime_type``, or (with ``spark`` bound) a directory read
-    through the ``binaryFile`` source."""
+def intake_files(src: DataFrame) -> DataFrame:
+    """Bytes, name, MIME, size, SHA-256 hex and base64 per file. ``src``
+    has ``content`` (binary) plus optional ``file_name`` / ``mime_type``."""
     df = src
     if "file_name" not in df.columns:
         df = df.withColumn("file_name", F.lit(None).cast("string"))
@@ -94,16 +96,56 @@ def intake_files(src, mime_by_ext: bool = True, glob: str | None = None) -> Data
     })
 
 
+# Suffixes of the accepted types; anything else is plain bytes.
+MIME_BY_SUFFIX = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "pdf": "application/pdf"}
+MIME_OTHER = "application/octet-stream"
+
+
+def mime_by_suffix(file_name: str) -> Column:
+    """MIME type by the name's suffix, in any case; without one, plain bytes."""
+    suffix = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)\z", 1))
+    known = F.create_map(*[F.lit(x) for kv in MIME_BY_SUFFIX.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, suffix), F.lit(MIME_OTHER))
+
+
+def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """The files of no bytes, which Spark's file sources leave out: one task
+    lists the folder and tells of those alone."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa_fs.FileSystem.from_uri(path)
+        for b in batches:
+            for _ in range(b.num_rows):
+                none = [f.path for f in fs.get_file_info(pa_fs.FileSelector(root, recursive=True))
+                        if f.is_file and f.size == 0 and fnmatch.fnmatchcase(f.base_name, glob)
+                        and not any(p[:1] in "._" for p in f.path[len(root):].split("/") if p)]
+                yield pa.RecordBatch.from_arrays([pa.array([b""] * len(none), pa.binary()), pa.array(none, pa.string())], names=["content", "path"])
+    return spark.range(1).mapInArrow(found, "content binary, path string")
+
+
 def read_binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Directory of uploaded files -> intake rows (``binaryFile`` source)."""
+    """Directory of uploaded files, empty ones too -> intake rows
+    (``binaryFile`` source: a file is one row, read where its task runs).
+    ``glob`` picks by name; hidden files are no uploads."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "true").load(path))
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    mime = (F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "png", "image/png")
-             .when(ext == "pdf", "application/pdf").otherwise("application/octet-stream"))
-    df = raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                    mime.alias("mime_type"), "content", "path")
-    return intake_files(df)
+           .option("recursiveFileLookup", "true").load(path).select("content", "path"))
+    named = raw.unionByName(_empty_files(spark, path, glob)).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    return intake_files(named.select("file_name", mime_by_suffix("file_name").alias("mime_type"), "content", "path"))
+
+
+def land_files(files: DataFrame, path: str) -> None:
+    """Write ``files(file_name, content)`` as one file each below ``path``,
+    from the tasks; of files of one name one stays. A task that runs again
+    writes the same files again. The store is any that pyarrow opens by its
+    URI."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa_fs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column("file_name").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+    files.select("file_name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 # S4 -----------------------------------------------------------------------
