@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from berth.functions.expr import json_object_ok
 from berth.operators.answers import IDENTITY, META, resolve_attempts
+from berth.operators.ratelimit import rate_limit
 from berth.session import shared_dir
 from berth.streaming import streams as ST
 
@@ -156,3 +157,30 @@ def test_duplicate_keys_are_valid_json(spark):
     E._prepare(spark)
     df = spark.createDataFrame([('{"a":1,"a":2}',), ("{'a':1}",)], "t string")
     assert [r.ok for r in df.select(json_object_ok("t").alias("ok")).collect()] == [True, False]
+
+
+def test_idle_limiter_state_is_evicted_and_verdicts_stay(spark):
+    """Runs over one checkpoint; after each the state store is read back. A
+    client's state goes two windows after its window began."""
+    window, limit = 400, 3
+    src, out, ckpt = (shared_dir(spark, f"t/limit-{x}") for x in ("src", "out", "ckpt"))
+    runs = [[("a", i, i) for i in range(5)] + [("b", 10 + i, 50 * i) for i in range(6)],
+            [("c", 20 + i, 5_000 + i) for i in range(5)],
+            [("a", 30 + i, 10_000 + 60 * i) for i in range(9)], [("d", 40, 20_000)]]
+    runs = [[(c, i, ms + 1_000_000) for c, i, ms in rows] for rows in runs]  # nothing is before the first watermark, 1970
+    schema = "client string, request_id long, ms long"
+    kept = []
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = ST.intake_stream(spark, src, spark.createDataFrame([], schema).schema)
+        q = (ST.rate_limit_stream(stream, limit, window, evict=True).writeStream.option("checkpointLocation", ckpt)
+             .format("parquet").option("path", out).trigger(availableNow=True).start())
+        assert q.awaitTermination(60), q.stop()
+        assert q.exception() is None
+        state = spark.read.format("statestore").option("stateVarName", "window").load(ckpt)
+        kept.append({r[0] for r in state.selectExpr("key.client").collect()})
+    assert kept == [{"a", "b"}, {"c"}, {"a"}, {"d"}]
+    every = spark.createDataFrame([r for rows in runs for r in rows], schema)
+    want = sorted(map(tuple, rate_limit(every, limit, window).collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
+    assert {w[3] for w in want} == {True, False}
