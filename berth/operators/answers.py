@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from berth.functions import prompts
 from berth.functions.expr import (answer_get, answer_has, answer_ok, bind, dmy_impossible, first_by, last_by,
                                   parse_answer, parse_dmy, with_json_span)
+from berth.functions.json_text import quoted
 from berth.operators.jobs import classify_error
 
 # Error texts the reference produces on these paths.
@@ -77,6 +78,18 @@ def request_rows(work: DataFrame, provider: str | Column, model: str | Column,
     return work.withColumn("provider", F.lower(p)).withColumn("body", body)
 
 
+def text_request_rows(work: DataFrame, provider: str | Column, model: str | Column, prompt: str = "prompt") -> DataFrame:
+    """Text request body per row of prompts (repair, validation), in the
+    provider's shape and as compact as JSON.stringify prints it."""
+    p = F.lower(F.lit(provider) if isinstance(provider, str) else provider)
+    m = F.lit(model) if isinstance(model, str) else model
+    text = quoted(F.col(prompt))
+    chat = F.concat(F.lit('{"model":'), quoted(m), F.lit(f',"max_tokens":{prompts.MAX_TOKENS},"messages":[{{"role":"user","content":'), text, F.lit("}]}"))
+    parts = F.concat(F.lit('{"contents":[{"parts":[{"text":'), text, F.lit("}]}]}"))
+    body = F.when(p == "gemini", parts).when(p.isin("anthropic", "openai", "groq"), chat)
+    return work.withColumn("provider", p).withColumn("body", body)
+
+
 # X2 -----------------------------------------------------------------------
 
 ENVELOPE_SCHEMA = (

@@ -102,13 +102,21 @@ def session_facts(ext: DataFrame, as_of: str) -> DataFrame:
     return c.groupBy("session_id").agg(*aggs)
 
 
+# What a validation row tells of its call, where the table has it.
+VALIDATION_MORE = ("prompt_version", "llm_provider", "llm_model", "summary", "recommendations")
+
+
 def latest_validation(validations: DataFrame) -> DataFrame:
     """Top-1 per session by (created_at, id) as a max-struct aggregate
-    (partial aggregation, no sort, no window)."""
+    (partial aggregation, no sort, no window). Prompt version, provider,
+    model, summary and recommendations come along if the table has them, with
+    the time of validation; no recommendations are an empty list."""
+    more = [c for c in VALIDATION_MORE if c in validations.columns]
+    cols = ["validation_id", "overall_status", "overall_score",
+            *[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "recommendations" else F.col(c) for c in more],
+            *([F.col("created_at").alias("validated_at")] if more else [])]
     return validations.groupBy("session_id").agg(
-        last_by(["created_at", "validation_id"],
-                F.struct("validation_id", "overall_status", "overall_score"))
-        .alias("v")).select("session_id", "v.*")
+        last_by(["created_at", "validation_id"], F.struct(*cols)).alias("v")).select("session_id", "v.*")
 
 
 def _derive(facts_joined: DataFrame) -> DataFrame:

@@ -344,25 +344,40 @@ def _v2_sql() -> str:
     head = _sql_str(prompts.VALIDATION_PROMPT + prompts.RECORDS_HEADER + "[\n")
     tail = _sql_str("\n]" + prompts.RECORDS_FOOTER + fx.AS_OF + prompts.DATE_TAIL)
     return f"""
-SELECT session_id, n_docs, first_id, last_id, length(p) AS prompt_len, sha256(p) AS prompt_sha FROM (
-  SELECT session_id, COUNT(*) AS n_docs, arg_min(id, seq) AS first_id, arg_max(id, seq) AS last_id,
-    {head} || string_agg('  ' || doc, ',' || chr(10) ORDER BY seq) || {tail} AS p
-  FROM (SELECT x.session_id, x.id, x.seq, {doc} AS doc FROM cx x) GROUP BY session_id HAVING COUNT(*) >= 2)"""
+SELECT session_id, COUNT(*) AS n_docs, arg_min(id, seq) AS first_id, arg_max(id, seq) AS last_id,
+  {head} || string_agg('  ' || doc, ',' || chr(10) ORDER BY seq) || {tail} AS p
+FROM (SELECT x.session_id, x.id, x.seq, {doc} AS doc FROM cx x) GROUP BY session_id HAVING COUNT(*) >= 2"""
 
 
-register("v2_validation_requests", _v2_sql(), (), ("cx",))
+frag("v2p", _v2_sql(), (), ("cx",))
+register("v2_validation_requests", """
+SELECT session_id, n_docs, first_id, last_id, length(p) AS prompt_len, sha256(p) AS prompt_sha FROM v2p""", (), ("v2p",))
 frag("va", f"""
 SELECT validation_id, session_id, stage, sp AS span, {ok_sql('sp')} AS ok
 FROM (SELECT *, {span_sql('raw_text')} AS sp FROM fx_validation_answers)""", ("fx_validation_answers",))
-register("v3_parse_validations", """
-SELECT validation_id, session_id, COALESCE(i_ok OR r_ok, false) AS ok, NOT COALESCE(i_ok, false) AS used_repair,
-  json_extract_string(c, '$.overallStatus') AS overall_status,
-  CAST(json_extract(c, '$.overallScore') AS BIGINT) AS overall_score
+frag("v3p", f"""
+SELECT *, 'model-1' AS llm_model, CASE WHEN validation_id % 3 = 0 THEN 'anthropic' WHEN validation_id % 3 = 1 THEN 'openai' ELSE 'gemini' END AS llm_provider
 FROM (SELECT *, CASE WHEN i_ok THEN i_span WHEN r_ok THEN r_span END AS c FROM (
-  SELECT validation_id, session_id,
+  SELECT validation_id, session_id, max(length(raw_text)) FILTER (WHERE stage = 'INITIAL') AS prompt_tokens,
     max(span) FILTER (WHERE stage = 'INITIAL') AS i_span, bool_or(ok) FILTER (WHERE stage = 'INITIAL') AS i_ok,
     max(span) FILTER (WHERE stage = 'REPAIR') AS r_span, bool_or(ok) FILTER (WHERE stage = 'REPAIR') AS r_ok
-  FROM va GROUP BY validation_id, session_id))""", (), ("va",))
+  FROM (SELECT va.*, a.raw_text FROM va JOIN fx_validation_answers a USING (validation_id, stage)) GROUP BY validation_id, session_id))""",
+     ("fx_validation_answers",), ("va",))
+register("v3_parse_validations", f"""
+SELECT validation_id, session_id, COALESCE(i_ok OR r_ok, false) AS ok, NOT COALESCE(i_ok, false) AS used_repair,
+  json_extract_string(c, '$.overallStatus') AS overall_status, CAST(json_extract(c, '$.overallScore') AS BIGINT) AS overall_score,
+  json_extract_string(c, '$.summary') AS summary, CAST(json_array_length(c, '$.recommendations') AS BIGINT) AS n_recommendations,
+  {_sql_str(prompts.VALIDATION_PROMPT_VERSION)} AS prompt_version, llm_provider, llm_model, prompt_tokens,
+  CASE WHEN c IS NOT NULL THEN '{{"overallScore":' || json_extract_string(c, '$.overallScore') || ',"overallStatus":"' || json_extract_string(c, '$.overallStatus') || '"'
+    || COALESCE(',"recommendations":' || CAST(json_extract(c, '$.recommendations') AS VARCHAR), '')
+    || COALESCE(',"summary":"' || json_extract_string(c, '$.summary') || '"', '') || '}}' END AS result_json
+FROM v3p""", (), ("v3p",))
+register("r9_latest_validation_full", f"""
+SELECT session_id, validation_id, overall_status, overall_score, {_sql_str(prompts.VALIDATION_PROMPT_VERSION)} AS prompt_version, llm_provider, llm_model,
+  json_extract_string(c, '$.summary') AS summary, CAST(COALESCE(json_array_length(c, '$.recommendations'), 0) AS BIGINT) AS n_recommendations,
+  epoch_us(created_at) AS validated_us
+FROM (SELECT v.*, p.c, p.llm_provider, p.llm_model, ROW_NUMBER() OVER (PARTITION BY v.session_id ORDER BY v.created_at DESC, v.validation_id DESC) AS rn
+      FROM fx_validations v JOIN v3p p USING (validation_id)) WHERE rn = 1""", ("fx_validations",), ("v3p",))
 frag("v4c", """
 SELECT session_id, field,
   CASE WHEN COUNT(v) < 2 THEN 'INSUFFICIENT_DATA' WHEN COUNT(DISTINCT v) = 1 THEN 'CONSISTENT'
@@ -736,6 +751,14 @@ SELECT session_id, fid, kind, length(prompt) AS prompt_len, sha256(prompt) AS pr
       arg_min_null(conf, attempt_no) AS conf
     FROM att WHERE stage IN ('INITIAL', 'REPAIR') AND ok AND error_message IS NULL GROUP BY session_id, fid)
   WHERE conf = 'LOW')""", (), ("att",))
+register("x1_text_requests", f"""
+SELECT key, kind, provider, length(body) AS body_len, sha256(body) AS body_sha FROM (
+  SELECT key, kind, provider, CASE provider WHEN 'gemini' THEN '{{"contents":[{{"parts":[{{"text":' || to_json(prompt) || '}}]}}]}}'
+    ELSE '{{"model":"model-x","max_tokens":4096,"messages":[{{"role":"user","content":' || to_json(prompt) || '}}]}}' END AS body
+  FROM (SELECT key, kind, prompt, CASE WHEN session_id % 3 = 0 THEN 'anthropic' WHEN session_id % 3 = 1 THEN 'openai' ELSE 'gemini' END AS provider
+        FROM (SELECT CAST(session_id AS VARCHAR) || '-' || CAST(fid AS VARCHAR) AS key, 'REPAIR' AS kind, session_id, {_repair_prompt_sql()} AS prompt
+              FROM att WHERE stage = 'INITIAL' AND error_message IS NULL AND NOT ok
+              UNION ALL SELECT CAST(session_id AS VARCHAR), 'VALIDATION', session_id, p FROM v2p)))""", (), ("att", "v2p"))
 register("x7_classify_failures", """
 SELECT session_id, fid, attempt_no,
   CASE WHEN contains(error_message, 'timed out') THEN 'LLM_TIMEOUT' ELSE 'LLM_ERROR' END AS error_code

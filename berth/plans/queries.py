@@ -210,7 +210,26 @@ def v2(spark, sf):
 
 @query("v3_parse_validations")
 def v3(spark, sf):
-    return V.parse_validations(fx.view(spark, sf, "fx_validation_answers"))
+    return _parsed_validations(spark, sf).select(
+        "validation_id", "session_id", "ok", "used_repair", "overall_status", "overall_score", "summary",
+        F.size("recommendations").cast("long").alias("n_recommendations"), "prompt_version", "llm_provider", "llm_model",
+        "prompt_tokens", F.to_json("result").alias("result_json"))
+
+
+def _parsed_validations(spark, sf):
+    i = F.col("validation_id")
+    return V.parse_validations(fx.view(spark, sf, "fx_validation_answers").withColumns({
+        "llm_provider": _provider(i), "llm_model": F.concat(F.lit("model-"), F.col("attempt_no").cast("string")),
+        "prompt_tokens": F.length("raw_text").cast("long")}))
+
+
+@query("r9_latest_validation_full")
+def r9_full(spark, sf):
+    """R9 over stored validations with their parsed results."""
+    more = _parsed_validations(spark, sf).select("validation_id", *R.VALIDATION_MORE)
+    return R.latest_validation(fx.validations(spark, sf).join(more, "validation_id", "left")).select(
+        "session_id", "validation_id", "overall_status", "overall_score", "prompt_version", "llm_provider", "llm_model", "summary",
+        F.size("recommendations").cast("long").alias("n_recommendations"), F.unix_micros("validated_at").alias("validated_us"))
 
 
 @query("v4_consistency_checks")
@@ -437,6 +456,18 @@ def x1(spark, sf):
                     F.sha2("body", 256).alias("body_sha"))
 
 
+@query("x1_text_requests")
+def x1_text(spark, sf):
+    """Bodies of the repair prompts of X6 and of the validation prompts of V2."""
+    from berth.operators import validation as V
+    repair = X.followup_requests(llm(spark, sf)).where("kind = 'REPAIR'").select(
+        F.concat_ws("-", F.col("session_id").cast("string"), F.col("fid").cast("string")).alias("key"), "kind", "session_id", "prompt")
+    check = V.validation_requests(fx.extractions(spark, sf), AS_OF).select(
+        F.col("session_id").cast("string").alias("key"), F.lit("VALIDATION").alias("kind"), "session_id", "prompt")
+    r = X.text_request_rows(repair.unionByName(check), _provider(F.col("session_id")), "model-x")
+    return r.select("key", "kind", "provider", F.length("body").cast("long").alias("body_len"), F.sha2("body", 256).alias("body_sha"))
+
+
 @query("x2_decode_envelopes")
 def x2(spark, sf):
     return X.decode_envelopes(fx.view(spark, sf, "fx_envelopes")).select(

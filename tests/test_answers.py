@@ -212,3 +212,25 @@ def test_sections_stay_whole_and_times_are_summed(spark):
     assert (r.status, r.stage, r.is_expired, r.detection_reason) == ("COMPLETE", "REPAIR", False, "seal")
     assert (r.issuing_authority, r.processing_time_ms, r.flags) == ("7", 2200, None)
     assert json.loads(r.validity) == {"isExpired": "off", "extra": [1, None]} and json.loads(r.medical) == {"restrictions": None}
+
+
+def test_text_bodies_are_json_stringify(spark):
+    nasty = 'a "q" \\ \n\t\x0b ünï'
+    df = spark.createDataFrame([(p, nasty) for p in ("Anthropic", "openai", "GROQ", "gemini")], "provider string, prompt string")
+    got = {r.provider: r.body for r in X.text_request_rows(df, F.col("provider"), "m").collect()}
+    chat = {"model": "m", "max_tokens": 4096, "messages": [{"role": "user", "content": nasty}]}
+    want = {p: json.dumps(chat, ensure_ascii=False, separators=(",", ":")) for p in ("anthropic", "openai", "groq")}
+    want["gemini"] = json.dumps({"contents": [{"parts": [{"text": nasty}]}]}, ensure_ascii=False, separators=(",", ":"))
+    assert got == want
+
+
+def test_validation_keeps_the_whole_result_and_the_first_call(spark):
+    from berth.operators import validation as V
+    rows = [(1, 7, 1, "INITIAL", "{ broken", "gemini", 10), (1, 7, 2, "REPAIR", '{"overallStatus":"REJECTED","overallScore":12,"x":[null]}', "openai", 99),
+            (2, 7, 1, "INITIAL", '{"summary":"s","recommendations":["a","b"]} bye', "groq", 5), (3, 8, 1, "INITIAL", None, None, None)]
+    df = spark.createDataFrame(rows, "validation_id long, session_id long, attempt_no int, stage string, raw_text string, llm_provider string, total_tokens int")
+    got = {r.validation_id: r for r in V.parse_validations(df).withColumn("result", F.to_json("result")).collect()}
+    assert (got[1].ok, got[1].used_repair, got[1].overall_score, got[1].llm_provider, got[1].total_tokens) == (True, True, 12, "gemini", 10)
+    assert json.loads(got[1].result) == {"overallStatus": "REJECTED", "overallScore": 12, "x": [None]} and got[1].recommendations is None
+    assert (got[2].summary, got[2].recommendations, got[2].used_repair) == ("s", ["a", "b"], False)
+    assert (got[3].ok, got[3].result, got[3].prompt_version) == (False, None, prompts.VALIDATION_PROMPT_VERSION)
