@@ -51,37 +51,28 @@ def last_by(order: list[str | Column], value: Column, cond: Column | None = None
 # LLM answer text
 # --------------------------------------------------------------------------
 
-def fence_body(text: str | Column) -> Column:
-    """The first fenced block's inside if a fence exists, else the text.
-
-    Same result as the lazy pattern of the reference (leftmost opening fence that has a closing
-    fence after it; optional ``json`` tag; leading whitespace dropped; lazy
-    body), computed with ``instr`` / ``substr`` in linear time instead of a
-    backtracking lazy regex."""
-    t = col(text)
-    open_at = F.instr(t, "```")
-    rest = F.substr(t, open_at + 3, F.length(t))
-    close_at = F.instr(rest, "```")
-    inner = F.substr(rest, F.lit(1), close_at - 1)
-    inner = F.when(inner.startswith("json"), F.substr(inner, F.lit(5), F.length(inner))).otherwise(inner)
-    inner = F.regexp_replace(inner, r"^[ \t\n\x0B\f\r]+", "")
-    return F.when((open_at > 0) & (close_at > 0), inner).otherwise(t)
-
-
-def span_of_body(body: str | Column) -> Column:
-    """First ``{`` to last ``}`` of ``body``; null if absent or reversed."""
-    b = col(body)
-    first = F.instr(b, "{")
-    last = F.length(b) - F.length(F.substring_index(b, "}", -1))  # 0 without a brace
-    return F.when((first > 0) & (last > first), F.substr(b, first, last - first + 1))
-
-
 def with_json_span(df, text: str, out: str = "span"):
-    """Add the JSON span of ``text`` as column ``out``, binding the fence body
-    as its own column first: a non-cheap expression referenced several times
-    is kept in its own projection, so the regex runs once per row."""
-    tmp = f"_{out}_body"
-    return df.withColumn(tmp, fence_body(text)).withColumn(out, span_of_body(tmp)).drop(tmp)
+    """Add the JSON span of ``text`` as column ``out``: from the first ``{`` to
+    the last ``}`` of the first fenced block's inside if a fence is closed,
+    else of the text; null if absent or reversed.
+
+    Same result as the lazy pattern of the reference (its optional ``json``
+    tag and leading white space hold no brace, so they need no cutting off),
+    in linear time. Every step is a column of its own: an expression used
+    twice is not merged into the next projection, so it runs once a row."""
+    o, rest, close, body, first, last = (f"_{out}_{k}" for k in ("open", "rest", "close", "body", "first", "last"))
+    steps = {
+        o: F.instr(F.col(text), "```"),
+        rest: F.when(F.col(o) > 0, F.substr(F.col(text), F.col(o) + 3)),
+        close: F.coalesce(F.instr(F.col(rest), "```"), F.lit(0)),
+        body: F.when(F.col(close) > 0, F.substr(F.col(rest), F.lit(1), F.col(close) - 1)).otherwise(F.col(text)),
+        first: F.instr(F.col(body), "{"),
+        last: F.length(body) - F.length(F.substring_index(F.col(body), "}", -1)),  # 0 without a brace
+    }
+    for name, step in steps.items():
+        df = df.withColumn(name, step)
+    span = F.when((F.col(first) > 0) & (F.col(last) > F.col(first)), F.substr(F.col(body), F.col(first), F.col(last) - F.col(first) + 1))
+    return df.withColumn(out, span).drop(*steps)
 
 
 def bind(df, **exprs: Column):
