@@ -3,6 +3,7 @@ import glob
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from berth.plans.queries import REGISTRY
@@ -71,3 +72,41 @@ def test_registered_file_query_reads_every_document(spark):
     n = spark.read.parquet(f"{SF001}/documents.parquet").count()
     assert got.count() == n and got.where("size_bytes = 0").count() >= n // 20
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def _tables_with_repeats(spark, tmp_path):
+    """The smoke tables, where some customers and events come twice (one under
+    another name or score), and one of each has no key."""
+    for name in os.listdir(SF001):
+        if name not in ("customer.parquet", "events.parquet"):
+            os.symlink(f"{SF001}/{name}", tmp_path / name)
+    c = spark.read.parquet(f"{SF001}/customer.parquet")
+    more = c.where("c_custkey % 7 = 0").unionByName(c.where("c_custkey % 14 = 0").withColumn("c_name", F.lit("Other Name")))
+    c.unionByName(more).unionByName(c.limit(1).withColumn("c_custkey", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "customer.parquet"))
+    e = spark.read.parquet(f"{SF001}/events.parquet").limit(60)
+    more = e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    e.unionByName(more).unionByName(e.limit(1).withColumn("event_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", list(fx.PAIRED))
+def test_texts_are_made_beside_their_rows(spark, tmp_path, name):
+    """No join sends the texts through the driver, and the rows, those of
+    repeated and absent keys too, are those of the view's SQL."""
+    sf = _tables_with_repeats(spark, tmp_path)
+    got = fx.view(spark, sf, name)
+    want = fx.view_inline(spark, sf, name)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    table, key, _ = fx.PAIRED[name]
+    assert fx.view(spark, sf, table).groupBy(key).count().where(f"count > 1 and {key} is not null").count() > 0
+    plan = fx._built(spark, sf, name)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = []
+            for x in plan[i + 1:]:
+                if depth(x) <= depth(line):
+                    break
+                below.append(x)
+            assert below and not any("AS js#" in x for x in below)
