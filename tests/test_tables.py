@@ -110,3 +110,14 @@ def test_texts_are_made_beside_their_rows(spark, tmp_path, name):
                     break
                 below.append(x)
             assert below and not any("AS js#" in x for x in below)
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(90)
+    docs.repartition(20).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    os.mkdir(tmp_path / "single")
+    os.rename(glob.glob(str(tmp_path / "one" / "*.parquet"))[0], tmp_path / "single" / "documents.parquet")
+    got = [sorted(REGISTRY["s3_intake_stream"](spark, str(tmp_path / d)).collect()) for d in ("many", "single")]
+    assert len(got[0]) == 90 and got[0] == got[1]
+    assert {r.upload_id for r in got[0]} == {r.doc_id for r in docs.select("doc_id").collect()}
