@@ -137,3 +137,8 @@ def test_stream_of_a_table_in_many_files(spark, tmp_path):
     got = [sorted(REGISTRY["s3_intake_stream"](spark, str(tmp_path / d)).collect()) for d in ("many", "single")]
     assert len(got[0]) == 90 and got[0] == got[1]
     assert {r.upload_id for r in got[0]} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_parsed_results_are_not_broadcast(spark):
+    plan = REGISTRY["r9_latest_validation_full"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
