@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from berth.operators import validation as V
 from berth.plans.queries import REGISTRY
 from berth.session import shared_dir
 from berth.sources import fixtures as fx
@@ -142,3 +143,21 @@ def test_stream_of_a_table_in_many_files(spark, tmp_path):
 def test_parsed_results_are_not_broadcast(spark):
     plan = REGISTRY["r9_latest_validation_full"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_prompts_are_gathered_from_rows_not_shuffled_texts(spark, monkeypatch):
+    """The shuffle by session carries columns, not texts, to as many
+    partitions as the documents ask for; no other shuffle follows, and the
+    prompts don't depend on their number."""
+    ext = fx.extractions(spark, SF001)
+    want = V.validation_requests(ext, "2024-06-30").collect()
+    monkeypatch.setattr(V, "DOCS_PER_TASK", 20)
+    more = V.validation_requests(ext, "2024-06-30")
+    plan = more._jdf.queryExecution().executedPlan().toString().split("\n")
+    shuffles = [x for x in plan if "Exchange" in x]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
+    n = ext.where("status = 'COMPLETE'").count()
+    assert n > 20 * 8 and f", {-(-n // 20)}), REPARTITION_BY_NUM" in shuffles[0]
+    below = "\n".join(plan[plan.index(shuffles[0]):])
+    assert "createdAt" not in below
+    assert sorted(more.collect()) == sorted(want) and len(want) > 0
