@@ -8,6 +8,7 @@ batch rewrites only the partitions it touches.
 from __future__ import annotations
 
 import fnmatch
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,41 +109,88 @@ def mime_by_suffix(file_name: str) -> Column:
     return F.coalesce(F.try_element_at(known, suffix), F.lit(MIME_OTHER))
 
 
-def _empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """The files of no bytes, which Spark's file sources leave out: one task
-    lists the folder and tells of those alone."""
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+READ_BYTES = 16 << 20  # contents that a reading task holds at once, besides its longest file
+SHARDS = 256  # subfolders of landed files, each listed by a task
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's file sources have it."""
+    return ((name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")) and not name.startswith(
+        ("_common_metadata", "_metadata"))
+
+
+def _found(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path) of the files below a folder, listed and dealt out by tasks: one
+    lists the folder itself, the others its subfolders, each whole. No list of
+    files is made on the driver."""
+    def names(found: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    def shown(infos: list[pa_fs.FileInfo], root: str) -> list[str]:
+        return [f.path for f in infos if f.is_file and fnmatch.fnmatchcase(f.base_name, glob)
+                and not any(_hidden(p) for p in f.path[len(root):].split("/") if p)]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa_fs.FileSystem.from_uri(path)
         for b in batches:
             for _ in range(b.num_rows):
-                none = [f.path for f in fs.get_file_info(pa_fs.FileSelector(root, recursive=True))
-                        if f.is_file and f.size == 0 and fnmatch.fnmatchcase(f.base_name, glob)
-                        and not any(p[:1] in "._" for p in f.path[len(root):].split("/") if p)]
-                yield pa.RecordBatch.from_arrays([pa.array([b""] * len(none), pa.binary()), pa.array(none, pa.string())], names=["content", "path"])
-    return spark.range(1).mapInArrow(found, "content binary, path string")
+                infos = fs.get_file_info(pa_fs.FileSelector(root))
+                yield names(shown(infos, root) + [f.path + "/" for f in infos if not f.is_file and not _hidden(f.base_name)])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pa_fs.FileSystem.from_uri(path)
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                yield names(shown(fs.get_file_info(pa_fs.FileSelector(p[:-1], recursive=True)), p[:-1]) if p.endswith("/") else [p])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spark.range(0, 1, 1, 1).mapInArrow(top, "path string").repartition(n).mapInArrow(below, "path string")
+
+
+def _contents(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(content, path) of the files below a folder, read by the tasks that
+    listed them, some at a time."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pa_fs.FileSystem.from_uri(path)
+        for b in batches:
+            held, at, size = [], [], 0
+            for p in b.column("path").to_pylist():
+                with fs.open_input_file(p) as f:
+                    held.append(f.read())
+                at.append(p)
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(at, pa.string())], names=["content", "path"])
+                    held, at, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(at, pa.string())], names=["content", "path"])
+    return _found(spark, path, glob).mapInArrow(read, "content binary, path string")
 
 
 def read_binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Directory of uploaded files, empty ones too -> intake rows
-    (``binaryFile`` source: a file is one row, read where its task runs).
-    ``glob`` picks by name; hidden files are no uploads."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "true").load(path).select("content", "path"))
-    named = raw.unionByName(_empty_files(spark, path, glob)).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    """Directory of uploaded files, empty ones too -> intake rows (a file is
+    one row, listed and read in tasks). Spark's ``binaryFile`` source leaves
+    empty files out, keeps every file's status on the driver and makes a task
+    of some 30 of them. ``glob`` picks by name; hidden files are no uploads."""
+    named = _contents(spark, path, glob).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
     return intake_files(named.select("file_name", mime_by_suffix("file_name").alias("mime_type"), "content", "path"))
 
 
 def land_files(files: DataFrame, path: str) -> None:
-    """Write ``files(file_name, content)`` as one file each below ``path``,
-    from the tasks; of files of one name one stays. A task that runs again
-    writes the same files again. The store is any that pyarrow opens by its
-    URI."""
+    """Write ``files(file_name, content)`` as one file each into subfolders of
+    ``path`` (by the name's CRC-32), from the tasks; of files of one name one
+    stays. A task that runs again writes the same files again. The store is
+    any that pyarrow opens by its URI."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa_fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
+        made = set()
         for b in batches:
             for name, content in zip(b.column("file_name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with fs.open_output_stream(f"{root}/{name}") as out:
+                folder = f"{root}/{zlib.crc32(str(name).encode()) % SHARDS:02x}"
+                if folder not in made:
+                    fs.create_dir(folder)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/{name}") as out:
                     out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
     files.select("file_name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -39,6 +39,25 @@ def test_empty_folder(spark, tmp_path):
     assert S.read_binary_files(spark, str(tmp_path)).count() == 0
 
 
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    """1,500 files: no file's status comes to the driver (no file scan in the
+    plan), they lie in subfolders, nothing depends on how many there are."""
+    df = spark.range(1500).select(F.format_string("f%d.png", "id").alias("file_name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    S.land_files(df, str(tmp_path))
+    folders = [d for d in os.listdir(tmp_path) if os.path.isdir(tmp_path / d)]
+    assert len(folders) == S.SHARDS and max(len(os.listdir(tmp_path / d)) for d in folders) < 30
+    (tmp_path / "flat.png").write_bytes(b"flat")
+    (tmp_path / "_x=1").mkdir()
+    (tmp_path / "_x=1" / "kept.png").write_bytes(b"")
+    (tmp_path / "_tmp").mkdir()
+    (tmp_path / "_tmp" / "hidden.png").write_bytes(b"h")
+    rows = S.read_binary_files(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "InMemoryFileIndex" not in plan
+    got = {r.file_name: bytes(r.content) for r in rows.collect()}
+    assert got == {**{f"f{i}.png": str(i).encode() for i in range(1500)}, "flat.png": b"flat", "kept.png": b""}
+
+
 def _bytes(path):
     out = {}
     for f in glob.glob(f"{path}/date=*/part-*"):
