@@ -144,6 +144,52 @@ def test_first_row_wins_in_a_batch_and_over_batches(spark):
         {("a", "x"): (3, "other three"), ("b", "x"): (8, "eight"), ("c", None): (0, "zero")}]
 
 
+def test_a_table_of_runs_is_not_written_whole_for_each_batch(spark):
+    """T3 and T4's sink: 16 batches of new keys, a null key in each. Rows are
+    written a logarithm of the batches' number of times, the newest batch of a
+    key holds, and replays change nothing."""
+    path = shared_dir(spark, "t/runs")
+    schema = "k long, n long"
+    table = ST.RunTable(spark, path, spark.createDataFrame([], schema).schema, ["k"])
+    assert table.read().count() == 0
+    write, written = table._write, []
+    table._write = lambda rows, run: (write(rows, run), written.append(spark.read.parquet(table._folder(run)).count()))
+    n, per = 16, 200
+
+    def batch(i):
+        rows = [(k, i) for k in range(per * i, per * (i + 1))] + [(None, i), (0, i)][:1 if i == 0 else 2]
+        return spark.createDataFrame(rows, schema).coalesce(1)
+    for i in range(n):
+        table.sink(batch(i), i)
+    want = {**{k: k // per for k in range(per * n)}, None: n - 1, 0: n - 1}
+    assert {r.k: r.n for r in table.read().collect()} == want
+    assert len(table._runs()[0]) <= 6
+    assert sum(written) < n * per * 6 < sum(per * i for i in range(1, n + 1))  # the last: a table a batch
+    table.sink(batch(n - 1), n - 1)
+    table.sink(batch(n - 1), n - 1)
+    assert table.read().count() == len(want) and {r.k: r.n for r in table.read().collect()} == want
+
+
+def test_a_table_of_runs_after_a_driver_lost_amid_a_merge(spark):
+    """A merged run without its _SUCCESS is none; one with it hides its parts."""
+    path = shared_dir(spark, "t/runs-lost")
+    table = ST.RunTable(spark, path, _counts(spark, []).schema, ["k"])
+    table.sink(_counts(spark, range(100), 1), 0)
+    table._merge = lambda: None
+    table.sink(_counts(spark, range(50, 150), 2), 1)
+    want = {k: 1 + (k >= 50) for k in range(150)}
+    runs = table._runs()[0]
+    assert runs == [(0, 0), (1, 1)]
+    merged = table._folder((0, 1))
+    table._newest(runs).limit(7).write.parquet(merged)
+    os.remove(f"{merged.removeprefix('file://')}/_SUCCESS")
+    assert {r.k: r.n for r in table.read().collect()} == want
+    del table._merge
+    table.sink(_counts(spark, range(50, 150), 2), 1)  # the replay
+    assert table._runs()[0] == [(0, 1)]
+    assert table.read().count() == 150 and {r.k: r.n for r in table.read().collect()} == want
+
+
 def test_failed_repair_keeps_the_first_answer(spark):
     df = spark.createDataFrame(
         [("s", 1, 1, "INITIAL", "{ broken", None), ("s", 1, 2, "REPAIR", None, "LLM API error 500: upstream")],
