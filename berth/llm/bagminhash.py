@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from berth.llm.common import components, cut, gram_hash, mix64, powers, prepare, slices, utf8, words
@@ -229,19 +229,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = ["k1", "k2", "n"]
     sig = cut(docs.mapInArrow(
         _sign, "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch array<long>"))
-    cls = sig.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    member = cut(sig.select("doc_id", *key).join(cls, key).select("doc_id", F.col("n").alias("n_shingles"), "class_id"))
+    member = cut(sig.select("doc_id", F.col("n").alias("n_shingles"), F.min("doc_id").over(Window.partitionBy(*key)).alias("class_id")))
     reps = cut(sig.join(member.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
                .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch"))
 
-    band = reps.select("id", F.explode("bands").alias("band"))
-    full = band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    band = cut(band.join(full, "band"))
+    bucket = Window.partitionBy("band")
+    band = reps.select("id", F.explode("bands").alias("band")).withColumn("size", F.count("*").over(bucket)).where("size > 1")
     # the member that shares most buckets with most others stands in the middle of its group
-    central = band.groupBy("id").agg(F.sum("size").alias("weight"))
-    band = cut(band.join(central, "id"))
-    lead = band.groupBy("band").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("lead"))
-    star = cut(band.join(lead, "band").select(F.col("lead.id").alias("src"), F.col("id").alias("dst")).distinct())
+    band = cut(band.withColumn("weight", F.sum("size").over(Window.partitionBy("id"))))
+    lead = F.min(F.struct((-F.col("weight")).alias("w"), "id")).over(bucket)
+    star = cut(band.withColumn("lead", lead).select(F.col("lead.id").alias("src"), F.col("id").alias("dst")).distinct())
     sets = _set_table(star.select(F.col("dst").alias("id")), docs)
     links = cut(_links(star, sets, threshold))
     comp = cut(components(links))

@@ -283,6 +283,19 @@ def test_components(spark):
     assert got == comp
     assert common.components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
+def test_components_round_shuffles(spark, monkeypatch):
+    """A round shuffles its edges three times: the driver's memory grows with the shuffles' tasks."""
+    plans, cut = [], common.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut", seen)
+    common.components(spark.createDataFrame([(1, 2), (2, 3), (4, 3), (8, 9)], "src long, dst long")).collect()
+    assert len(plans) > 2
+    assert max(p.count("Exchange hashpartitioning") for p in plans[1:]) <= 3
+
 # --- op6 ---------------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
