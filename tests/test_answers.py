@@ -1,6 +1,7 @@
 """LLM answer processing on hand-made rows (the reference's unit cases)."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,36 @@ def test_validation_keeps_the_whole_result_and_the_first_call(spark):
     assert json.loads(got[1].result) == {"overallStatus": "REJECTED", "overallScore": 12, "x": [None]} and got[1].recommendations is None
     assert (got[2].summary, got[2].recommendations, got[2].used_repair) == ("s", ["a", "b"], False)
     assert (got[3].ok, got[3].result, got[3].prompt_version) == (False, None, prompts.VALIDATION_PROMPT_VERSION)
+
+
+def _shuffled(df):
+    """Names of the columns that go through the shuffles of a plan, one set a
+    shuffle."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text, re.DOTALL)
+    return [set(re.findall(r"(\w+)#\d+", x)) for x in found]
+
+
+BASIC = [(1, 1, 1, "INITIAL", _answer("LOW"), None), (1, 1, 3, "LOW_CONF_RETRY", _answer(), None),
+         (1, 2, 1, "INITIAL", "{ broken", None), (1, 2, 2, "REPAIR", _answer(holder=False), None),
+         (1, 3, 1, "INITIAL", "{ broken", None), (1, 4, 1, "INITIAL", None, "LLM request timed out"), (None, None, 1, "INITIAL", _answer(), None)]
+
+
+def test_upsert_shuffles_neither_texts_nor_answers(spark):
+    """X12 over X5 and X9: rows are dealt once by their key, uncombined and
+    without texts, if nothing above reads them."""
+    df = spark.createDataFrame(BASIC, ATT).withColumn("file_hash", F.concat(F.lit("h"), F.col("fid")))
+    names = ["document_type", "is_expired"]
+    none = {c: F.lit(None).cast("string") for c in ("id", "file_name", "mime_type", "prompt_version")}
+    batch = (X.promote(X.resolve_attempts(df, carry=("file_hash",), members=names))
+             .withColumns({**none, "created_at": F.lit(None).cast("timestamp"), "version": F.lit(2)}))
+    up = X.upsert_extractions(batch.withColumn("version", F.lit(1)), batch, names)
+    narrow = up.select("session_id", "file_hash", "id", "status", "error_message", *names)
+    shuffles = _shuffled(narrow)
+    assert shuffles and not any({"raw_text", "answer", "span", "mime_type"} & s for s in shuffles)
+    assert {"attempt_no", "members"} <= set.union(*shuffles)  # rows, not buffers
+    whole = {(r.session_id, r.file_hash): r for r in up.collect()}
+    assert whole[1, "h3"].raw_text == "{ broken" and whole[1, "h1"].raw_text == _answer() and len(whole) == 5
+    for r in narrow.collect():
+        w = whole[r.session_id, r.file_hash]
+        assert tuple(r) == tuple(w[c] for c in narrow.columns)
