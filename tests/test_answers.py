@@ -268,3 +268,18 @@ def test_upsert_shuffles_neither_texts_nor_answers(spark):
     for r in narrow.collect():
         w = whole[r.session_id, r.file_hash]
         assert tuple(r) == tuple(w[c] for c in narrow.columns)
+
+
+def test_promoted_members_equal_those_of_the_whole_answer(spark):
+    """X9 with members taken before the shuffle of X5: the same values, and no
+    text or answer in the shuffle."""
+    df = spark.createDataFrame(BASIC, ATT)
+    every = [*X.PROMOTED, *X.MADE, *X.WHOLE]
+    early, late = (X.promote(r) for r in (X.resolve_attempts(df, members=every), X.resolve_attempts(df)))
+    assert early.columns == late.columns
+    cols = [F.to_json(c).alias(c) if c in X.WHOLE else c for c in early.columns]
+    assert sorted(map(str, early.select(cols).collect())) == sorted(map(str, late.select(cols).collect()))
+    few = X.promote(X.resolve_attempts(df, members=["holder_name"]))
+    assert "rank" not in few.columns and {r.holder_name for r in few.collect()} == {"A B", None}
+    shuffle, = _shuffled(early.drop("raw_text"))
+    assert "members" in shuffle and not {"raw_text", "answer", "span"} & shuffle
