@@ -283,3 +283,16 @@ def test_promoted_members_equal_those_of_the_whole_answer(spark):
     assert "rank" not in few.columns and {r.holder_name for r in few.collect()} == {"A B", None}
     shuffle, = _shuffled(early.drop("raw_text"))
     assert "members" in shuffle and not {"raw_text", "answer", "span"} & shuffle
+
+
+def test_resolved_text_may_be_a_digest(spark):
+    """X5 with what the caller makes of a text: only that is shuffled."""
+    df = spark.createDataFrame(BASIC, ATT)
+    digest = X.resolve_attempts(df, keep_answer=False, text=F.unhex(F.sha2("raw_text", 256)))
+    shuffle, = _shuffled(digest)
+    assert not {"answer", "span"} & shuffle
+    sent = digest.sparkSession._jvm.PythonSQLUtils.explainString(digest._jdf.queryExecution(), "formatted")
+    assert "unhex(sha2" in sent[sent.index("Scan"):sent.index(") Exchange")]  # below the shuffle
+    got = sorted(map(str, digest.select("fid", "status", F.lower(F.hex("raw_text"))).collect()))
+    whole = X.resolve_attempts(df).select("fid", "status", F.sha2("raw_text", 256).alias("lower(hex(raw_text))"))
+    assert got == sorted(map(str, whole.collect()))
