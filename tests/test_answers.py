@@ -296,3 +296,13 @@ def test_resolved_text_may_be_a_digest(spark):
     got = sorted(map(str, digest.select("fid", "status", F.lower(F.hex("raw_text"))).collect()))
     whole = X.resolve_attempts(df).select("fid", "status", F.sha2("raw_text", 256).alias("lower(hex(raw_text))"))
     assert got == sorted(map(str, whole.collect()))
+
+
+def test_followups_shuffle_only_texts_to_be_repaired(spark):
+    """Sound first answers and low-confidence retries leave their texts behind."""
+    df = spark.createDataFrame(BASIC, ATT).withColumns({"file_name": F.lit("a.pdf"), "mime_type": F.lit("application/pdf")})
+    got = X.followup_requests(df)
+    shuffle, = _shuffled(got)
+    assert shuffle == {"session_id", "fid", "i", "c"}
+    rows = {(r.fid, r.kind): r.prompt for r in got.collect()}
+    assert set(rows) == {(1, "LOW_CONF_RETRY"), (2, "REPAIR"), (3, "REPAIR")} and "{ broken" in rows[3, "REPAIR"]
