@@ -230,3 +230,33 @@ def test_idle_limiter_state_is_evicted_and_verdicts_stay(spark):
     want = sorted(map(tuple, rate_limit(every, limit, window).collect()))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == want
     assert {w[3] for w in want} == {True, False}
+
+
+def test_a_merge_shuffles_a_bounded_part_of_the_table_at_a_time(spark):
+    """T5's table: a batch that touches every bucket is merged some buckets at
+    a time; a driver lost amid the moves loses and repeats nothing."""
+    path = shared_dir(spark, "t/parts")
+    table = ST.BucketTable(spark, path, _counts(spark, []).schema, ["k"], _counts(spark, range(400)), buckets=8)
+    table.MERGE_ROWS = 200
+    seen = []
+
+    def add(stored, rows):
+        seen.append(stored.count() + rows.count())
+        return _add(stored, rows)
+    real, moved = table._fs, []
+
+    def fs(p):
+        if "/_bucket=" in p:
+            if len(moved) == 3:
+                raise RuntimeError("driver lost")
+            moved.append(p)
+        return real(p)
+    table._fs = fs
+    with pytest.raises(RuntimeError, match="driver lost"):
+        table.merge(_counts(spark, range(300, 500)), 0, add)
+    del table._fs
+    assert len(seen) == 4 and max(seen) <= 300 and sum(seen) == 600
+    for _ in range(2):
+        table.merge(_counts(spark, range(300, 500)), 0, add)
+    assert len(seen) == 4  # nothing is folded again
+    assert {r.k: r.n for r in table.read().collect()} == {k: 1 + (300 <= k < 400) for k in range(500)}

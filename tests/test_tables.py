@@ -180,3 +180,23 @@ def test_prompts_are_gathered_from_rows_not_shuffled_texts(spark, monkeypatch):
     below = "\n".join(plan[plan.index(shuffles[0]):])
     assert "createdAt" not in below
     assert sorted(more.collect()) == sorted(want) and len(want) > 0
+
+
+def test_shuffle_files_of_finished_steps_go(spark):
+    import time
+
+    from berth.session import release
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    dirs = list(env.blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    release(spark)
+    time.sleep(2)
+    before = files()
+    spark.range(10_000).repartition(3, "id").write.parquet(shared_dir(spark, "t/released"))
+    made = files() - before
+    assert made
+    until = time.time() + 30
+    while made & files() and time.time() < until:
+        release(spark)  # the step's last events may still hold its plan
+        time.sleep(0.5)
+    assert not made & files()
