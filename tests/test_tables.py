@@ -200,3 +200,16 @@ def test_shuffle_files_of_finished_steps_go(spark):
         release(spark)  # the step's last events may still hold its plan
         time.sleep(0.5)
     assert not made & files()
+
+
+@pytest.mark.parametrize("name", ["fx_llm_attempts", "fx_envelopes"])
+def test_stored_tables_are_zstd_and_their_shuffles_released(spark, monkeypatch, name):
+    """X3 reads the attempts, X2 and X13 the envelopes."""
+    calls = []
+    monkeypatch.setattr(fx, "release", lambda s: calls.append(s))
+    monkeypatch.setattr(fx, "_STORED", {})
+    fx.view(spark, SF001, name)
+    for path in fx._STORED.values():
+        files = glob.glob(f"{path.removeprefix('file://')}/part-*")
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert len(calls) == len(fx._STORED) > 4
