@@ -260,3 +260,14 @@ def test_a_merge_shuffles_a_bounded_part_of_the_table_at_a_time(spark):
         table.merge(_counts(spark, range(300, 500)), 0, add)
     assert len(seen) == 4  # nothing is folded again
     assert {r.k: r.n for r in table.read().collect()} == {k: 1 + (300 <= k < 400) for k in range(500)}
+
+
+def test_runs_and_landed_files_are_zstd(spark):
+    path = shared_dir(spark, "t/runs-zstd")
+    table = ST.RunTable(spark, path, _counts(spark, []).schema, ["k"])
+    for i in range(3):
+        table.sink(_counts(spark, range(100)), i)
+    landed = shared_dir(spark, "t/landed-zstd")
+    ST.land_in_order(_counts(spark, range(10)), landed, "k", 2)
+    files = glob.glob(f"{path}/run-*/part-*") + glob.glob(f"{landed}/part-*")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
