@@ -306,3 +306,14 @@ def test_followups_shuffle_only_texts_to_be_repaired(spark):
     assert shuffle == {"session_id", "fid", "i", "c"}
     rows = {(r.fid, r.kind): r.prompt for r in got.collect()}
     assert set(rows) == {(1, "LOW_CONF_RETRY"), (2, "REPAIR"), (3, "REPAIR")} and "{ broken" in rows[3, "REPAIR"]
+
+
+def test_text_without_specials_is_not_searched_for_each(spark):
+    """V2 and X1 write many short strings; one look tells that nothing is escaped."""
+    from berth.functions.json_text import quoted
+    texts = ["", "plain ä 漢", 'a"b', "a\\b", "a\nb\u0001", "\u007f", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", quoted(F.col("t")).alias("q"))
+    assert [r.q for r in out.orderBy("i").collect()] == [None if t is None else json.dumps(t, ensure_ascii=False) for t in texts]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("RLIKE") < plan.index("replace(")
