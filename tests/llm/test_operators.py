@@ -500,3 +500,19 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in P.STAGES:
         cur = stage(spark, cur, SF001)
         assert cur.count() == 0
+
+
+def test_cover_tree_compares_in_rounds(spark, monkeypatch):
+    """Block pairs grow with the square of the blocks; a round shuffles about
+    as many as there are blocks, with the results of one round."""
+    from berth.llm import cover_tree
+    x = np.random.default_rng(3).normal(size=(160, 8))
+    x[80:] = x[:80] + 0.01
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    run = lambda: sorted(map(tuple, cover_tree.link_vectors(df, block=8, max_cells=4).collect()))
+    calls = []
+    monkeypatch.setattr(cover_tree, "release", lambda s: calls.append(s))
+    whole = run()
+    assert not calls and {r[1] for r in whole} == {1} and sum(r[3] for r in whole) == 80
+    monkeypatch.setattr(cover_tree, "ROUND", 1)
+    assert run() == whole and len(calls) > 2
